@@ -10,8 +10,9 @@ Shingles are hashed into groups. Two uses of the same idea:
    sum of the coordinate-wise minima of their points; of a point and a tree node, of the point and the node's upper corner. Nodes and
    points that cannot reach the overlap needed are pruned, the rest is verified on the sets. Pairs already in one class are skipped.
 
-Clusters over ``BLOCK`` documents are cut into blocks: one block of leaders meets all blocks; then only documents outside the cluster's
-largest class meet all blocks again. Every pair is thereby tested or known to be connected; no task holds more than two blocks.
+Clusters of over ``BLOCK`` shingles are cut into blocks: one block of leaders meets all blocks; then only documents outside the cluster's
+largest class, in blocks of their own, meet all blocks. Every pair is thereby tested or known to be connected; no task holds more
+than two blocks (and no block is larger unless by one document).
 """
 
 from __future__ import annotations
@@ -27,13 +28,13 @@ from .wordhash import blocks, mix, shingle_hashes, word_hashes
 #: Link if NUM/DEN of the union is shared.
 NUM, DEN = 90, 100
 SHINGLE = 3
-#: Coordinates of the points, tree fan-out, documents of a block.
-GROUPS, FANOUT, BLOCK = 64, 16, 256
-#: Size classes grow by this factor.
-CLASS = 1.5
+#: Coordinates of the points, tree fan-out, shingles (8 bytes each) of a block.
+GROUPS, FANOUT, BLOCK = 64, 16, 1 << 20
+#: Size classes grow by this factor; one spare group for so many.
+CLASS, SPARE = 1.25, 3
 #: Candidate ids (8 bytes each) up to which they are broadcast to fetch texts.
 BROADCAST_IDS = 2_000_000
-_BATCH = 8 << 20
+_BATCH = 1 << 20
 
 
 def shingle_set(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
@@ -53,17 +54,22 @@ def size_classes(n: int, num: int = NUM, den: int = DEN) -> list[tuple[int, int]
 
 
 def keys_of(shingles: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
-    """Routing keys of a set, one per group (empty groups too, as they may be the equal ones)."""
+    """Routing keys of a set. With ``spare`` groups more than differences plus one, linked sets agree in ``spare`` + 1 groups at least. So a
+    set may leave out all its groups of up to s shingles, where s is the largest size of which it has ``spare`` groups at most: linked
+    sets still agree in a group that is above both their s. This drops the keys that say least (empty groups first)."""
     out = []
-    for cls, groups in size_classes(len(shingles), num, den):
+    for cls, least in size_classes(len(shingles), num, den):
+        spare = least // SPARE
+        groups = least + spare
         g = (mix(shingles + np.uint64(977 * cls + 11)) % np.uint64(groups)).astype(np.int64)
-        content = np.zeros(groups, np.uint64)
         order = np.argsort(g, kind="stable")
         sums = np.cumsum(np.concatenate([[np.uint64(0)], mix(shingles[order] ^ np.uint64(0x5851F42D4C957F2D))]), dtype=np.uint64)
         at = np.searchsorted(g[order], np.arange(groups + 1))
-        content = sums[at[1:]] - sums[at[:-1]]
+        content, size = sums[at[1:]] - sums[at[:-1]], np.diff(at)
         tag = np.arange(groups, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(cls * 7919 + 1)
-        out.append(mix(mix(content + np.uint64(1)) ^ mix(tag)))
+        by_size = np.cumsum(np.bincount(size))
+        small = np.searchsorted(by_size, spare, side="right") - 1
+        out.append(mix(mix(content + np.uint64(1)) ^ mix(tag))[size > small])
     return np.concatenate(out)
 
 
@@ -161,27 +167,44 @@ def join_block(ids: np.ndarray, items: list[np.ndarray], left: np.ndarray, right
     return least[roots]
 
 
-def _meet(members: DataFrame, first: DataFrame, label: str) -> DataFrame:
-    """(a, b) class edges: rows of ``first`` (cluster, lead, doc_id, items) meet all blocks of ``members`` (cluster, blocks, blk, doc_id, items)."""
-    other = members.select("cluster", "blk", "blocks", "doc_id", "items")
-    lead = first.select("cluster", "lead", "doc_id", "items", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"), F.lit(True).alias("left"))
-    leads = first.select("cluster", "lead").distinct()
-    right = other.join(leads, "cluster").select("cluster", "lead", "doc_id", "items", "blk", F.lit(False).alias("left"))
+def _with_items(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """``members`` (doc_id, cluster, ...) with their sets, from the texts; a repeated doc_id comes once per row of ``docs``."""
+    from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+
+    few = members.count() <= BROADCAST_IDS
+    names = members.columns
+    rows = docs.select("doc_id", "text").join(F.broadcast(members) if few else members, "doc_id").select(*names, "text")
+
+    def run(it):
+        for pdf in it:
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in pdf.pop("text")]
+            for a, b in blocks(texts, _BATCH):
+                hashes, counts = word_hashes(texts[a:b])
+                part = pdf.iloc[a:b].copy()
+                part["items"] = [shingle_set(h).view(np.int64) for h in np.split(hashes, np.cumsum(counts)[:-1])]
+                yield part
+
+    return rows.mapInPandas(run, StructType([*members.schema.fields, StructField("items", ArrayType(LongType()))]))
+
+
+def _meet(cells: DataFrame, label: str) -> DataFrame:
+    """(a, b) class edges. Rows (cluster, lead, blk, doc_id, left, right, items) of one (cluster, lead, blk) meet in a task: those marked
+    left with those marked right."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "left"], kind="stable")
+        pdf = pdf.sort_values("doc_id", kind="stable")
         ids = pdf["doc_id"].to_numpy()
         new = np.r_[True, ids[1:] != ids[:-1]]
         at = np.cumsum(new) - 1
         left, right = np.zeros(at[-1] + 1, bool), np.zeros(at[-1] + 1, bool)
         left[at[pdf["left"].to_numpy()]] = True
-        right[at[~pdf["left"].to_numpy()]] = True
+        right[at[pdf["right"].to_numpy()]] = True
         items = [np.asarray(x, np.int64) for x, n in zip(pdf["items"], new, strict=True) if n]
         least = join_block(ids[new], items, left, right)
         keep = least != ids[new]
         return pd.DataFrame({"a": ids[new][keep], "b": least[keep]})
 
-    return materialize(lead.unionByName(right).groupBy("cluster", "lead", "blk").applyInPandas(run, "a long, b long"), label)
+    return materialize(cells.groupBy("cluster", "lead", "blk").applyInPandas(run, "a long, b long"), label)
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -190,7 +213,7 @@ def classes(docs: DataFrame) -> DataFrame:
     A document without words has no shingles and links with nothing. Null text counts as empty. Rows with a null doc_id link with
     nothing and have a null component. Rows that repeat a doc_id are one node (n_shingles is each row's own).
     """
-    known = materialize(_sets(docs, True), "jkeys")
+    known = keyed = materialize(_sets(docs, True), "jkeys")
     real = known.where("doc_id is not null and n > 0")
     same = real.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))  # equal sets link; one of them stands for all
     rep = materialize(real.select("doc_id", "n", "d1", "d2").join(same, ["n", "d1", "d2"]).select("doc_id", "rep").distinct(), "jrep")
@@ -199,37 +222,35 @@ def classes(docs: DataFrame) -> DataFrame:
     least = keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "least")
     near = keys.join(least, "key").where("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
     cluster = materialize(connected_components(near, "jcand").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "jclu")
-    size = cluster.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    member = cluster.join(size, "cluster").withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    few = member.count() <= BROADCAST_IDS
-    wanted = docs.select("doc_id", "text").join(F.broadcast(member) if few else member, "doc_id")
-    # Sets of the candidates only; a repeated doc_id counts once per distinct text.
-    ids = wanted.select("doc_id", "cluster", "blocks", "blk", "text")
-
-    def run(it):
-        for pdf in it:
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in pdf["text"]]
-            for a, b in blocks(texts, _BATCH):
-                hashes, counts = word_hashes(texts[a:b])
-                part, cut = pdf.iloc[a:b][["doc_id", "cluster", "blocks", "blk"]].copy(), np.cumsum(counts)[:-1]
-                part["items"] = [shingle_set(h).view(np.int64) for h in np.split(hashes, cut)]
-                yield part
-
-    member = materialize(ids.mapInPandas(run, "doc_id long, cluster long, blocks int, blk int, items array<long>"), "jmem")
-    lead = member.where("blk = 0").withColumn("lead", F.lit(0))
-    found = _meet(member, lead, "jlink")
+    known = materialize(known.select("doc_id", "n"), "jsize")
+    discard(keyed)
+    weight = known.groupBy("doc_id").agg(F.max("n").alias("n")).join(cluster, "doc_id")
+    size = weight.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    member = weight.join(size, "cluster").withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    member = materialize(member, "jmem")
+    # Leaders: block 0 of each cluster, which meets itself and every other block.
+    lead = _with_items(docs, member.select("doc_id", "cluster", "blocks", "blk").withColumn("lead", F.lit(0)))
+    lead = lead.withColumn("blk", F.explode(F.when(F.col("blk") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("blk"))))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")) == 0
+    found = _meet(lead.select("cluster", "lead", "blk", "doc_id", own.alias("left"), (~own | (F.col("blk") == 0)).alias("right"), "items"), "jlink")
     links = found
     if member.where("blocks > 1").limit(1).count():
         # What the leaders did not connect to the largest class of a cluster meets all blocks of it.
         cls = connected_components(found.select("a", "b"), "jcls")
         placed = member.where("blocks > 1").join(cls.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("cls", F.coalesce("component", "doc_id"))
         tally = placed.groupBy("cluster", "cls").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max(F.struct("k", "cls")).alias("top"))
-        rest = placed.join(tally, "cluster").where("cls <> top.cls and blk <> 0").select("cluster", "blocks", "doc_id", "items", (F.col("blk")).alias("lead"))
-        links = found.unionByName(_meet(member, rest, "jlink2"))
+        rest = placed.join(tally, "cluster").where("cls <> top.cls and blk <> 0").select("doc_id", "cluster", "n")
+        parts = rest.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts"))
+        rest = rest.join(parts, "cluster").select("doc_id", (1 + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts"))).cast("int").alias("part"))
+        second = materialize(member.where("blocks > 1").join(parts, "cluster").join(rest, "doc_id", "left"), "jrest")
+        rows = _with_items(docs, second)
+        meets = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda p: F.struct(p.alias("lead"), F.col("blk").alias("blk"), (p == F.coalesce("part", F.lit(0))).alias("left"), F.lit(True).alias("right")))
+        other = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.col("part").isNotNull() & (b != F.col("blk"))), lambda b: F.struct(F.col("part").alias("lead"), b.alias("blk"), F.lit(True).alias("left"), F.lit(False).alias("right")))
+        cells = rows.withColumn("cell", F.explode(F.concat(meets, other))).select("cluster", "cell.lead", "cell.blk", "doc_id", "cell.left", "cell.right", "items")
+        links = found.unionByName(_meet(cells, "jlink2"))
     equal = rep.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     comp = connected_components(links.select("a", "b").unionByName(equal), "jcomp")
     out = known.select("doc_id", F.col("n").alias("n_shingles")).join(comp, known["doc_id"] == comp["node"], "left")
-    discard(member)
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
