@@ -167,28 +167,15 @@ def join_block(ids: np.ndarray, items: list[np.ndarray], left: np.ndarray, right
     return least[roots]
 
 
-def _with_items(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """``members`` (doc_id, cluster, ...) with their sets, from the texts; a repeated doc_id comes once per row of ``docs``."""
-    from pyspark.sql.types import ArrayType, LongType, StructField, StructType
-
+def _with_text(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """``members`` (doc_id, cluster, ...) with their texts, which compress better than their sets; a repeated doc_id comes once per row of
+    ``docs``."""
     few = members.count() <= BROADCAST_IDS
-    names = members.columns
-    rows = docs.select("doc_id", "text").join(F.broadcast(members) if few else members, "doc_id").select(*names, "text")
-
-    def run(it):
-        for pdf in it:
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in pdf.pop("text")]
-            for a, b in blocks(texts, _BATCH):
-                hashes, counts = word_hashes(texts[a:b])
-                part = pdf.iloc[a:b].copy()
-                part["items"] = [shingle_set(h).view(np.int64) for h in np.split(hashes, np.cumsum(counts)[:-1])]
-                yield part
-
-    return rows.mapInPandas(run, StructType([*members.schema.fields, StructField("items", ArrayType(LongType()))]))
+    return docs.select("doc_id", "text").join(F.broadcast(members) if few else members, "doc_id")
 
 
 def _meet(cells: DataFrame, label: str) -> DataFrame:
-    """(a, b) class edges. Rows (cluster, lead, blk, doc_id, left, right, items) of one (cluster, lead, blk) meet in a task: those marked
+    """(a, b) class edges. Rows (cluster, lead, blk, doc_id, left, right, text) of one (cluster, lead, blk) meet in a task: those marked
     left with those marked right."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -199,7 +186,11 @@ def _meet(cells: DataFrame, label: str) -> DataFrame:
         left, right = np.zeros(at[-1] + 1, bool), np.zeros(at[-1] + 1, bool)
         left[at[pdf["left"].to_numpy()]] = True
         right[at[pdf["right"].to_numpy()]] = True
-        items = [np.asarray(x, np.int64) for x, n in zip(pdf["items"], new, strict=True) if n]
+        texts = [(t or "").encode("utf-8", "surrogatepass") for t, n in zip(pdf["text"], new, strict=True) if n]
+        items: list[np.ndarray] = []
+        for a, b in blocks(texts, _BATCH):
+            hashes, counts = word_hashes(texts[a:b])
+            items += [shingle_set(h).view(np.int64) for h in np.split(hashes, np.cumsum(counts)[:-1])]
         least = join_block(ids[new], items, left, right)
         keep = least != ids[new]
         return pd.DataFrame({"a": ids[new][keep], "b": least[keep]})
@@ -229,10 +220,10 @@ def classes(docs: DataFrame) -> DataFrame:
     member = weight.join(size, "cluster").withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     member = materialize(member, "jmem")
     # Leaders: block 0 of each cluster, which meets itself and every other block.
-    lead = _with_items(docs, member.select("doc_id", "cluster", "blocks", "blk").withColumn("lead", F.lit(0)))
+    lead = _with_text(docs, member.select("doc_id", "cluster", "blocks", "blk").withColumn("lead", F.lit(0)))
     lead = lead.withColumn("blk", F.explode(F.when(F.col("blk") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("blk"))))
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")) == 0
-    found = _meet(lead.select("cluster", "lead", "blk", "doc_id", own.alias("left"), (~own | (F.col("blk") == 0)).alias("right"), "items"), "jlink")
+    found = _meet(lead.select("cluster", "lead", "blk", "doc_id", own.alias("left"), (~own | (F.col("blk") == 0)).alias("right"), "text"), "jlink")
     links = found
     if member.where("blocks > 1").limit(1).count():
         # What the leaders did not connect to the largest class of a cluster meets all blocks of it.
@@ -243,10 +234,10 @@ def classes(docs: DataFrame) -> DataFrame:
         parts = rest.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts"))
         rest = rest.join(parts, "cluster").select("doc_id", (1 + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts"))).cast("int").alias("part"))
         second = materialize(member.where("blocks > 1").join(parts, "cluster").join(rest, "doc_id", "left"), "jrest")
-        rows = _with_items(docs, second)
+        rows = _with_text(docs, second)
         meets = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda p: F.struct(p.alias("lead"), F.col("blk").alias("blk"), (p == F.coalesce("part", F.lit(0))).alias("left"), F.lit(True).alias("right")))
         other = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.col("part").isNotNull() & (b != F.col("blk"))), lambda b: F.struct(F.col("part").alias("lead"), b.alias("blk"), F.lit(True).alias("left"), F.lit(False).alias("right")))
-        cells = rows.withColumn("cell", F.explode(F.concat(meets, other))).select("cluster", "cell.lead", "cell.blk", "doc_id", "cell.left", "cell.right", "items")
+        cells = rows.withColumn("cell", F.explode(F.concat(meets, other))).select("cluster", "cell.lead", "cell.blk", "doc_id", "cell.left", "cell.right", "text")
         links = found.unionByName(_meet(cells, "jlink2"))
     equal = rep.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     comp = connected_components(links.select("a", "b").unionByName(equal), "jcomp")
