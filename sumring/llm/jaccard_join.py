@@ -32,7 +32,7 @@ SHINGLE = 3
 GROUPS, FANOUT, BLOCK = 64, 16, 1 << 20
 #: Size classes grow by this factor; one spare group for so many.
 CLASS, SPARE = 1.25, 3
-#: Candidate ids (8 bytes each) up to which they are broadcast to fetch texts.
+#: Ids (8 bytes each) of candidates, of copies and of dropped documents up to which they are broadcast; beyond it joins shuffle.
 BROADCAST_IDS = 2_000_000
 _BATCH = 1 << 20
 
@@ -73,8 +73,8 @@ def keys_of(shingles: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _sets(docs: DataFrame, with_keys: bool) -> DataFrame:
-    """doc_id, n, and a digest of the set with its keys, or the sorted set itself."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, n, a digest of the set (d1, d2), and its keys."""
 
     def run(it):
         for pdf in it:
@@ -85,15 +85,12 @@ def _sets(docs: DataFrame, with_keys: bool) -> DataFrame:
                 for doc_id, c in zip(ids[a:b], counts, strict=True):
                     s = shingle_set(hashes[at : at + c])
                     at += c
-                    if with_keys:
-                        m = mix(s + np.uint64(3))
-                        rows.append((doc_id, len(s), int(m.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(m).view(np.int64)) if len(s) else 0, keys_of(s).view(np.int64) if len(s) else None))
-                    else:
-                        rows.append((doc_id, len(s), s.view(np.int64)))
+                    m = mix(s + np.uint64(3))
+                    rows.append((doc_id, len(s), int(m.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(m).view(np.int64)) if len(s) else 0, keys_of(s).view(np.int64) if len(s) else None))
                 yield pd.DataFrame(rows, columns=cols)
 
-    cols = ["doc_id", "n", "d1", "d2", "keys"] if with_keys else ["doc_id", "n", "items"]
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, d1 long, d2 long, keys array<long>" if with_keys else "doc_id long, n long, items array<long>")
+    cols = ["doc_id", "n", "d1", "d2", "keys"]
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, d1 long, d2 long, keys array<long>")
 
 
 class Tree:
@@ -204,11 +201,13 @@ def classes(docs: DataFrame) -> DataFrame:
     A document without words has no shingles and links with nothing. Null text counts as empty. Rows with a null doc_id link with
     nothing and have a null component. Rows that repeat a doc_id are one node (n_shingles is each row's own).
     """
-    known = keyed = materialize(_sets(docs, True), "jkeys")
+    known = keyed = materialize(_keyed(docs), "jkeys")
     real = known.where("doc_id is not null and n > 0")
     same = real.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))  # equal sets link; one of them stands for all
     rep = materialize(real.select("doc_id", "n", "d1", "d2").join(same, ["n", "d1", "d2"]).select("doc_id", "rep").distinct(), "jrep")
-    keys = known.join(rep.where("doc_id = rep").select("doc_id").distinct(), "doc_id").select("doc_id", F.explode("keys").alias("key"))
+    copies = rep.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("rep")).alias("own")).where("not own").select("doc_id")
+    few = copies.count() <= BROADCAST_IDS
+    keys = real.join(F.broadcast(copies) if few else copies, "doc_id", "left_anti").select("doc_id", F.explode("keys").alias("key"))
     keys = keys.repartition("key")  # one shuffle serves the count and the join
     least = keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "least")
     near = keys.join(least, "key").where("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
