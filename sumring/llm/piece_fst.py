@@ -9,7 +9,7 @@ of s + t into s, t. By that locality of BPE exactly one path is accepted, the en
 state is enough and an arc weighs minus the log-probability. The machine runs once per distinct segment; merges never cross the
 start of a run of U+2581 nor a character that is in no longer piece, so texts are cut there.
 
-Scale: one scan, no shuffle; a worker's tables are bounded by the vocabulary and ``CACHE`` segments.
+Scale: one scan, no shuffle; a worker's tables are bounded by the vocabulary and twice ``CACHE`` segments.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Segments, and piece pairs, that a worker keeps.
-CACHE = 1_500_000
+#: Segments of each of the two generations that a worker keeps (what is used again moves to the younger one), and piece pairs.
+CACHE = 350_000
 PAIRS = 4_000_000
 MARK = "▁"
 
@@ -53,6 +53,7 @@ class Machine:
         self.joined = joined
         self.valid: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # Surface bytes of each id, for decoding.
         back = {i: b for b, i in self.byte.items()}
         self.surface = [b"" if i in special else bytes([back[i]]) if i in back else p.replace(MARK, " ").encode() for i, p in enumerate(self.piece)]
@@ -154,8 +155,8 @@ class Machine:
         if not text:
             return b""
         if len(self.cache) > CACHE:
-            self.cache.clear()
-        cache = self.cache
+            self.cache, self.older = {}, self.cache
+        cache, older = self.cache, self.older
         out = []
         normal = MARK + text.replace(" ", MARK)
         for line in normal.split("\n"):  # keeps segments short; a line end is a segment of its own
@@ -165,7 +166,8 @@ class Machine:
             if not out:
                 out.append("")
         for s in set(out).difference(cache):
-            cache[s] = self._ids(s)
+            got = older.get(s)
+            cache[s] = self._ids(s) if got is None else got
         return b"".join(map(cache.__getitem__, out))
 
     def decode(self, ids) -> str:
