@@ -80,7 +80,7 @@ def _descend(a: np.ndarray, b: np.ndarray, step: float, max_iter: int) -> np.nda
         for _ in range(500):
             new = theta - step * grad
             new_cost = new @ a @ new / 2 - new @ b
-            if new_cost < cost + 1e-15 * abs(cost):
+            if new_cost < cost + 1e-12 * abs(cost):  # costs near the optimum differ by rounding only
                 break
             step /= 2
         else:
