@@ -167,11 +167,11 @@ def gram(df: DataFrame, cont: list[str], by: list[str] | None = None) -> DataFra
 
 def categorical_sums(df: DataFrame, cont: list[str], cat: list[str], by: list[str] | None = None) -> DataFrame:
     """(by, cats, n, s_i): counts and sums by category and by pair of categories, in one GROUPING SETS aggregation; columns outside a set
-    are null and ``g`` is its grouping number."""
+    are null and ``_gid`` is its grouping number."""
     by = by or []
     sets = [[F.col(x) for x in [*by, *s]] for s in [*((c,) for c in cat), *combinations(cat, 2)]]
     agg = [F.count(F.lit(1)).alias("n"), *(F.sum(F.col(c).cast("double")).alias(f"s_{i}") for i, c in enumerate(cont))]
-    return df.groupingSets(sets, *by, *cat).agg(F.grouping_id().alias("g"), *agg)
+    return df.groupingSets(sets, *by, *cat).agg(F.grouping_id().alias("_gid"), *agg)
 
 
 def cofactor(df: DataFrame, cont: list[str], cat: list[str] | None = None, strategy: str = "auto") -> Cofactor:
@@ -188,7 +188,7 @@ def cofactor(df: DataFrame, cont: list[str], cat: list[str] | None = None, strat
         out.n, out.lin, out.quad = _from_sums(rows.agg(*sum_expressions(cont)).first(), cont)
     if cat:
         for r in categorical_sums(rows, cont, cat).collect():
-            in_set = [c for i, c in enumerate(cat) if not r["g"] >> (len(cat) - 1 - i) & 1]
+            in_set = [c for i, c in enumerate(cat) if not r["_gid"] >> (len(cat) - 1 - i) & 1]
             if len(in_set) == 1:
                 c, k = in_set[0], r[in_set[0]]
                 out.lin_cat[c][k] = float(r["n"])
@@ -208,7 +208,7 @@ def cofactor_by(df: DataFrame, label: str, cont: list[str], cat: list[str] | Non
         out[r[label]] = Cofactor(list(cont), list(cat), *_from_sums(r, cont))
     if cat:
         for r in categorical_sums(rows, cont, cat, [label]).collect():
-            v, g = out[r[label]], r["g"]
+            v, g = out[r[label]], r["_gid"]
             in_set = [c for i, c in enumerate(cat) if not g >> (len(cat) - 1 - i) & 1]
             if len(in_set) == 1:
                 c, k = in_set[0], r[in_set[0]]

@@ -94,8 +94,8 @@ def factorized_cofactor(tree: JoinTree) -> Cofactor:
             out.quad[i, j] = r[_pair(a, b)] or 0.0
     if cat:
         sets = [[F.col(c) for c in s] for s in [*((c,) for c in cat), *combinations(cat, 2)]]
-        for r in rows.groupingSets(sets, *cat).agg(F.grouping_id().alias("g"), F.sum("n").alias("n"), *(F.sum(f"s_{c}").alias(f"s_{c}") for c in cont)).collect():
-            inside = [c for i, c in enumerate(cat) if not r["g"] >> (len(cat) - 1 - i) & 1]
+        for r in rows.groupingSets(sets, *cat).agg(F.grouping_id().alias("_gid"), F.sum("n").alias("n"), *(F.sum(f"s_{c}").alias(f"s_{c}") for c in cont)).collect():
+            inside = [c for i, c in enumerate(cat) if not r["_gid"] >> (len(cat) - 1 - i) & 1]
             if len(inside) == 1:
                 out.lin_cat[inside[0]][r[inside[0]]] = float(r["n"])
                 for c in cont:

@@ -60,12 +60,9 @@ def ridge(value: Cofactor, label: str, lam: float = 0.0, solver: str = "closed",
     a, b, yy = sigma[np.ix_(rest, rest)] / n, sigma[rest, at] / n, sigma[at, at] / n
     penalty = lam * np.eye(len(rest))
     penalty[0, 0] = 0.0
-    if solver == "closed":
-        scale = np.sqrt(np.maximum(np.diag(a), 1e-300))
-        core = (a + penalty) / np.outer(scale, scale)
-        theta = np.linalg.lstsq(core, b / scale, rcond=1e-12)[0] / scale
-    else:
-        theta = _descend(a + penalty, b, step, max_iter)
+    scale = np.sqrt(np.maximum(np.diag(a), 1e-300))
+    core = (a + penalty) / np.outer(scale, scale)
+    theta = (np.linalg.lstsq(core, b / scale, rcond=1e-12)[0] if solver == "closed" else _descend(core, b / scale, step, max_iter)) / scale
     return Ridge([names[i] for i in rest], theta, float(max(0.0, theta @ a @ theta - 2 * theta @ b + yy)))
 
 

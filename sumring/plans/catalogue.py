@@ -220,17 +220,17 @@ def _sets(t):
 
 @query(f"WITH {LI} SELECT rf AS k, count(*) AS n FROM li GROUP BY rf")
 def cofactor_lin_cat(t):
-    return _sets(t).where("g = 1").select(F.col("rf").alias("k"), "n")
+    return _sets(t).where("_gid = 1").select(F.col("rf").alias("k"), "n")
 
 
 @query(f"WITH {LI} SELECT rf AS k, sum(q) AS s_q, sum(p) AS s_p FROM li GROUP BY rf")
 def cofactor_num_cat(t):
-    return _sets(t).where("g = 1").select(F.col("rf").alias("k"), F.col("s_0").alias("s_q"), F.col("s_1").alias("s_p"))
+    return _sets(t).where("_gid = 1").select(F.col("rf").alias("k"), F.col("s_0").alias("s_q"), F.col("s_1").alias("s_p"))
 
 
 @query(f"WITH {LI} SELECT rf, ls, count(*) AS n FROM li GROUP BY rf, ls")
 def cofactor_cat_cat(t):
-    return _sets(t).where("g = 0").select("rf", "ls", "n")
+    return _sets(t).where("_gid = 0").select("rf", "ls", "n")
 
 
 def _value_row(t, v: co.Cofactor) -> DataFrame:
