@@ -15,7 +15,30 @@ from pyspark.sql import functions as F
 #: ASCII white space, the separator of words in every operator here.
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: Rows and bytes of an Arrow batch of whole texts.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
 _own: dict[str, str] = {}
+_kept: dict = {}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches to Python workers hold at most ``BATCH_ROWS`` rows and about ``BATCH_BYTES``, as rows here are whole texts. A smaller
+    setting of the session stays."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def worker_tables(owner=None, make=None):
+    """What ``owner`` keeps in a Python worker between tasks (made on first use). What other owners kept there is freed, so that a worker,
+    which outlives stages, holds one operator's tables at a time. Without an owner all is freed."""
+    if owner not in _kept:
+        _kept.clear()
+        if owner is not None:
+            _kept[owner] = make()
+    return _kept.get(owner)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -34,6 +34,8 @@ GROUPS, FANOUT, BLOCK = 64, 16, 1 << 20
 CLASS, SPARE = 1.25, 3
 #: Ids (8 bytes each) of candidates, of copies and of dropped documents up to which they are broadcast; beyond it joins shuffle.
 BROADCAST_IDS = 2_000_000
+#: Parts into which the rows of one set are dealt where equal sets are matched.
+SALTS = 256
 _BATCH = 1 << 20
 
 
@@ -203,8 +205,12 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     known = keyed = materialize(_keyed(docs), "jkeys")
     real = known.where("doc_id is not null and n > 0")
-    same = real.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))  # equal sets link; one of them stands for all
-    rep = materialize(real.select("doc_id", "n", "d1", "d2").join(same, ["n", "d1", "d2"]).select("doc_id", "rep").distinct(), "jrep")
+    # Equal sets link; one of them stands for all. Rows of a large group are spread by a salt, and a group's least id goes to each salt it has.
+    spread = real.select("doc_id", "n", "d1", "d2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+    part = spread.groupBy("n", "d1", "d2", "salt").agg(F.min("doc_id").alias("rep"))
+    same = part.groupBy("n", "d1", "d2").agg(F.min("rep").alias("rep"), F.collect_set("salt").alias("salts"))
+    same = same.select("n", "d1", "d2", "rep", F.explode("salts").alias("salt"))
+    rep = materialize(spread.join(same, ["n", "d1", "d2", "salt"]).select("doc_id", "rep").distinct(), "jrep")
     copies = rep.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("rep")).alias("own")).where("not own").select("doc_id")
     few = copies.count() <= BROADCAST_IDS
     keys = real.join(F.broadcast(copies) if few else copies, "doc_id", "left_anti").select("doc_id", F.explode("keys").alias("key"))

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, worker_tables
+
 #: Segments of each of the two generations that a worker keeps (what is used again moves to the younger one), and piece pairs.
 CACHE = 350_000
 PAIRS = 4_000_000
@@ -30,8 +32,6 @@ MARK = "▁"
 
 
 class Machine:
-    _made: dict[str, Machine] = {}
-
     def __init__(self, model: str):
         import sentencepiece
 
@@ -63,9 +63,7 @@ class Machine:
 
     @classmethod
     def of(cls, model: str) -> Machine:
-        if model not in cls._made:
-            cls._made[model] = cls(model)
-        return cls._made[model]
+        return worker_tables(("pieces", model), lambda: cls(model))
 
     def merges(self, text: str) -> list[str]:
         """Plain BPE on a short text: the pair of highest score merges first, leftmost of equals. Defines which arcs exist."""
@@ -187,6 +185,8 @@ def encode_decode(docs: DataFrame, model: str, keep: list[str], with_ids: bool =
     names = [c for c in keep if c not in {f.name for f in new}]
     src = docs.select(*names, F.col("text").alias("_piece_text"))
 
+    small_batches(docs.sparkSession)
+
     def run(it):
         m = Machine.of(model)
         for pdf in it:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, small_batches, worker_tables
 
 #: Labelled training documents at most, those of least xxhash64(doc_id).
 MAX_LABELS = 20_000
@@ -82,7 +82,10 @@ def score(model: dict, x: np.ndarray) -> np.ndarray:
 
 
 def _featured(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
+
     def run(it):
+        worker_tables()
         for pdf in it:
             pdf["x"] = [features(t) for t in pdf.pop("text")]
             yield pdf
@@ -109,8 +112,10 @@ def scored(docs: DataFrame, model: dict, out: str = "quality_score") -> DataFram
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     docs = docs.drop(out)
+    small_batches(docs.sparkSession)
 
     def run(it):
+        worker_tables()
         for pdf in it:
             x = np.array([features(t) for t in pdf["text"]], float).reshape(-1, N_FEATURES)
             pdf[out] = score(model, x)
