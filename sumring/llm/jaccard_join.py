@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, materialize
+from .common import connected_components, discard, materialize, small_batches, worker_tables
 from .wordhash import blocks, mix, shingle_hashes, word_hashes
 
 #: Link if NUM/DEN of the union is shared.
@@ -36,7 +36,7 @@ CLASS, SPARE = 1.25, 3
 BROADCAST_IDS = 2_000_000
 #: Parts into which the rows of one set are dealt where equal sets are matched.
 SALTS = 256
-_BATCH = 1 << 20
+_BATCH = 1 << 18
 
 
 def shingle_set(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
@@ -79,6 +79,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, n, a digest of the set (d1, d2), and its keys."""
 
     def run(it):
+        worker_tables()
         for pdf in it:
             ids, texts = pdf["doc_id"].to_numpy(), [(t or "").encode("utf-8", "surrogatepass") for t in pdf["text"]]
             for a, b in blocks(texts, _BATCH):
@@ -203,6 +204,7 @@ def classes(docs: DataFrame) -> DataFrame:
     A document without words has no shingles and links with nothing. Null text counts as empty. Rows with a null doc_id link with
     nothing and have a null component. Rows that repeat a doc_id are one node (n_shingles is each row's own).
     """
+    small_batches(docs.sparkSession)
     known = keyed = materialize(_keyed(docs), "jkeys")
     real = known.where("doc_id is not null and n > 0")
     # Equal sets link; one of them stands for all. Rows of a large group are spread by a salt, and a group's least id goes to each salt it has.
