@@ -6,7 +6,8 @@ File: segments one after another, each readable alone by byte range. A segment h
     doc lengths u32[n_docs], checkpoints u32[ceil(n_tokens / BLOCK)] (bit offset of each block of ids), bit stream u8[n_bytes]
 
 Decoding is by one table lookup of ``LIMIT`` bits per id, all blocks of a segment in lockstep. The code book is the list of code
-lengths by id (0: unused), kept beside the files. Ids are counted over all documents; each task tokenises white-space separated
+lengths by id (0: unused), kept beside the files. Documents are tokenised once; the ids are counted over all of them, then written in
+order. Each task tokenises white-space separated
 chunks through a cache, which gives the same ids as the whole text, because this vocabulary drops white space.
 """
 
@@ -20,11 +21,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize
+from .common import discard, fresh_path, materialize, small_batches
 from .store import Ranges, Writer
 
 #: Longest code in bits (the decoding table has 2**LIMIT entries), ids per block, ids per segment.
 LIMIT, BLOCK, SEGMENT = 18, 128, 1 << 20
+#: Segments that a task decodes.
+TASK = 16
 #: Id that ends each document.
 END = 1
 #: Chunks a worker keeps.
@@ -170,27 +173,38 @@ def open_segment(data: bytes, table: tuple) -> tuple[np.ndarray, np.ndarray]:
     return lens, unpack(data[begin : begin + size], marks, n, table)
 
 
-def count_ids(docs: DataFrame, tokenizer: str, vocabulary: int) -> np.ndarray:
+def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id and all ids of each document (end included) as little-endian u32 bytes, written once for the counts and the files."""
+
+    def run(it):
+        enc = Encoder.of(tokenizer)
+        for pdf in it:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": enc([t or "" for t in pdf["text"]])})
+
+    small_batches(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return materialize(docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, ids binary"), "tokids")
+
+
+def count_ids(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     """Counts of all ids over all documents, ends included; the result is bounded by the vocabulary."""
 
     def run(it):
         total = np.zeros(vocabulary, np.int64)
-        enc = Encoder.of(tokenizer)
         for pdf in it:
-            got = enc([t or "" for t in pdf["text"]])
-            total += np.bincount(np.frombuffer(b"".join(got), "<u4"), minlength=vocabulary)
+            total += np.bincount(np.frombuffer(b"".join(pdf["ids"]), "<u4"), minlength=vocabulary)
         ids = np.flatnonzero(total)
         yield pd.DataFrame({"id": ids, "n": total[ids]})
 
-    rows = docs.select("text").mapInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.select("ids").mapInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(vocabulary, np.int64)
     for r in rows:
         out[r["id"]] = r["n"]
     return out
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, lengths: np.ndarray) -> DataFrame:
-    """Write all documents in ascending doc_id order (nulls first); a file per task, in a range of ids of its own. Returns the index:
+def write_tokens(tokens: DataFrame, folder: str, lengths: np.ndarray) -> DataFrame:
+    """Write all documents in ascending doc_id order (nulls first; rows that repeat a doc_id by the bytes of their ids); a file per task, in a range of ids of its own. Returns the index:
     uri, offset, length, part, seg, n_docs, n_tokens and the doc_ids of each segment."""
     codes = canonical(lengths)
 
@@ -198,20 +212,18 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, lengths: np.ndarr
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        enc, out, held, ids, size, seg = Encoder.of(tokenizer), None, [], [], 0, 0
+        out, held, ids, size, seg = None, [], [], 0, 0
         for pdf in it:
             rows = []
-            texts = [t or "" for t in pdf["text"]]
-            for a in range(0, len(texts), 256):
-                for doc_id, got in zip(pdf["doc_id"].iloc[a : a + 256], enc(texts[a : a + 256]), strict=True):
-                    if held and size + len(got) // 4 > SEGMENT:
-                        data = segment(held, lengths, codes)
-                        rows.append((out.uri, out.write(data), len(data), part, seg, len(held), size, ids))
-                        held, ids, size, seg = [], [], 0, seg + 1
-                    out = out or Writer(folder, ".htk")
-                    held.append(got)
-                    ids.append(doc_id)
-                    size += len(got) // 4
+            for doc_id, got in zip(pdf["doc_id"], pdf["ids"], strict=True):
+                if held and size + len(got) // 4 > SEGMENT:
+                    data = segment(held, lengths, codes)
+                    rows.append((out.uri, out.write(data), len(data), part, seg, len(held), size, ids))
+                    held, ids, size, seg = [], [], 0, seg + 1
+                out = out or Writer(folder, ".htk")
+                held.append(got)
+                ids.append(doc_id)
+                size += len(got) // 4
             yield pd.DataFrame(rows, columns=COLS)
         if held:
             data = segment(held, lengths, codes)
@@ -220,7 +232,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, lengths: np.ndarr
             out.close()
 
     COLS = ["uri", "offset", "length", "part", "seg", "n_docs", "n_tokens", "doc_ids"]
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").alias("_k"), "text").repartitionByRange(F.col("_k").asc_nulls_first()).sortWithinPartitions(F.col("_k").asc_nulls_first(), "text").drop("_k")
+    rows = tokens.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").alias("_k"), "ids").repartitionByRange(F.col("_k").asc_nulls_first()).sortWithinPartitions(F.col("_k").asc_nulls_first(), "ids").drop("_k")
     return materialize(rows.mapInPandas(run, "uri string, offset long, length long, part int, seg int, n_docs long, n_tokens long, doc_ids array<string>"), "tokidx")
 
 
@@ -231,7 +243,7 @@ def read_tokens(index: DataFrame, lengths: np.ndarray, digest_only: bool = False
     before = files.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("file_start"))
     within = Window.partitionBy("part").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
     rows = index.withColumn("seg_start", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(before, "part")
-    rows = rows.select("uri", "offset", "length", (F.col("file_start") + F.col("seg_start")).alias("start"), "doc_ids").repartitionByRange("uri", "offset").sortWithinPartitions("uri", "offset")
+    rows = rows.select("uri", "offset", "length", (F.col("file_start") + F.col("seg_start")).alias("start"), "doc_ids").repartitionByRange(-(-max(1, index.count()) // TASK), "uri", "offset").sortWithinPartitions("uri", "offset")
 
     def run(it):
         ranges, table = Ranges(), decoding_table(lengths)
@@ -256,6 +268,8 @@ def query(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     tokenizer = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     vocabulary = Encoder.of(tokenizer).tok.get_vocab_size(with_added_tokens=True)
-    lengths = code_lengths(count_ids(docs, tokenizer, vocabulary))
-    index = write_tokens(docs, fresh_path(spark, "tokens"), tokenizer, lengths)
+    tokens = encoded(docs, tokenizer)
+    lengths = code_lengths(count_ids(tokens, vocabulary))
+    index = write_tokens(tokens, fresh_path(spark, "tokens"), lengths)
+    discard(tokens)
     return read_tokens(index, lengths, digest_only=True)

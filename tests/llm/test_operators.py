@@ -162,14 +162,16 @@ def test_tokens(spark, docs):
     tok = tokenizers.Tokenizer.from_file(path)
     for text in ("a b  c\x0bd\x1cg <|endoftext|>x it's İstanbul ÀÉ é ́x 12ab\x85q", "'s don't", "", " "):
         assert np.frombuffer(enc([text])[0], "<u4").tolist() == [*tok.encode(text, add_special_tokens=False).ids, 1]
-    lengths = token_store.code_lengths(token_store.count_ids(docs, path, tok.get_vocab_size()))
-    out = token_store.read_tokens(token_store.write_tokens(docs, fresh_path(spark, "toktest"), path, lengths), lengths).toPandas().sort_values("start")
+    tokens = token_store.encoded(docs, path)
+    lengths = token_store.code_lengths(token_store.count_ids(tokens, tok.get_vocab_size()))
+    out = token_store.read_tokens(token_store.write_tokens(tokens, fresh_path(spark, "toktest"), lengths), lengths).toPandas().sort_values("start")
     rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
     ids = [[*tok.encode(t, add_special_tokens=False).ids, 1] for _, t in rows]
     assert out.n_tokens.tolist() == [len(x) for x in ids] and out.start.tolist() == np.cumsum([0, *map(len, ids[:-1])]).tolist()
     assert out.ids_crc32.tolist() == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
-    none = token_store.code_lengths(token_store.count_ids(empty(spark), path, tok.get_vocab_size()))
-    assert token_store.read_tokens(token_store.write_tokens(empty(spark), fresh_path(spark, "toktest"), path, none), none).count() == 0
+    tokens = token_store.encoded(empty(spark), path)
+    none = token_store.code_lengths(token_store.count_ids(tokens, tok.get_vocab_size()))
+    assert token_store.read_tokens(token_store.write_tokens(tokens, fresh_path(spark, "toktest"), none), none).count() == 0
 
 
 def sets(text, k):
