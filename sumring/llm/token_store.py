@@ -7,17 +7,21 @@ File: segments one after another, each readable alone by byte range. A segment h
 
 Decoding is by one table lookup of ``LIMIT`` bits per id, all blocks of a segment in lockstep. The code book is the list of code
 lengths by id (0: unused), kept beside the files. Documents are tokenised once; the ids are counted over all of them, then written in
-order. Each task tokenises white-space separated
-chunks through a cache, which gives the same ids as the whole text, because this vocabulary drops white space.
+order.
 """
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import struct
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,21 +34,47 @@ LIMIT, BLOCK, SEGMENT = 18, 128, 1 << 20
 TASK = 16
 #: Id that ends each document.
 END = 1
-#: Chunks a worker keeps.
-CACHE = 400_000
-SPACES = b" \t\n\r\x0b\x0c"
+#: Chunks, and as many letter sequences, in each of the two generations that a worker keeps.
+CACHE = 200_000
+#: What may follow the letters of a chunk, and chunks of letters that lower-casing alone normalises.
+PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 MAGIC = b"HTK1"
 
 
+def id_width(vocabulary: int) -> np.dtype:
+    """How ids are held between tokenising and the files."""
+    return np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
+
+
 class Encoder:
-    """Ids of texts as little-endian u32 bytes, by the tokenizers library."""
+    """Ids of texts by the tokenizers library.
+
+    Where the file has the normaliser and pattern below, white space and every border between a letter and ASCII punctuation (but the
+    apostrophe) end a word, so chunks are encoded apart, each once while it is cached: a chunk that is letters of Latin-1 and a tail of
+    such punctuation as lower-cased letters, which need no normaliser, and tail. Chunks that may hold a special token stay whole. With
+    any other file whole texts are encoded.
+    """
+
+    # The normaliser and the pattern of words that make chunks independent.
+    NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     _made: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tok, self.cache = Tokenizer.from_file(path), {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
+        self.tok = Tokenizer.from_file(path)
+        made = json.loads(self.tok.to_str())
+        split = ((made["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        self.chunks = (made["normalizer"] or {}).get("normalizers") == self.NORMAL and split.get("pattern") == {"Regex": self.WORD} and all("|" in t["content"] and "<" in t["content"] for t in made["added_tokens"])
+        if self.chunks:
+            bare = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}
+            self.bare = Tokenizer.from_str(json.dumps(made | {"normalizer": None, "added_tokens": [], "pre_tokenizer": bare}))
+        self.width = id_width(self.tok.get_vocab_size(with_added_tokens=True))
+        self.known, self.stems = Kept(CACHE), Kept(CACHE)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -52,23 +82,73 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    def _encode(self, tok, texts: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(texts), 20_000):
+            out += [np.array(e.ids, self.width).tobytes() for e in tok.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False)]
+        return out
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that are not cached."""
+        stems, cuts = [], []
+        for w in chunks:
+            stem = w.rstrip(PUNCTUATION)
+            if LETTERS(stem):
+                stem, tail = stem.lower(), w[len(stem) :]
+            else:
+                stem, tail = "", w
+            stems.append(stem)
+            cuts.append(tail)
+        head = self.stems.of(set(stems), lambda new: self._encode(self.bare, new))
+        rest = list(set(cuts))
+        tails = dict(zip(rest, self._encode(self.tok, rest), strict=True))
+        return [head[a] + tails[b] for a, b in zip(stems, cuts, strict=True)]
+
+    def batch(self, texts: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a batch of texts (null: empty) one after another, each text closed by ``end``, and where each text ends."""
+        texts = pc.fill_null(texts, "")
+        if self.chunks:
+            split = pc.ascii_split_whitespace(texts)
+            offsets, coded = split.offsets.to_numpy(), split.flatten().dictionary_encode()
+            words, codes, last = coded.dictionary.to_pylist(), coded.indices.to_numpy(), offsets[1:] - offsets[0]
+            known = self.known.of(words, self._chunks)
+            values = [known[w] for w in words]
+        else:
+            values, codes, last = self._encode(self.tok, texts.to_pylist()), np.arange(len(texts)), np.arange(1, len(texts) + 1)
+        codes = np.insert(codes, last, len(values))
+        values.append(np.array([end], self.width).tobytes())
+        size = np.fromiter(map(len, values), np.int64, len(values)) // self.width.itemsize
+        pool = np.frombuffer(b"".join(values), self.width)
+        n = size[codes]
+        ends = np.cumsum(n)
+        ids = pool[np.repeat((np.cumsum(size) - size)[codes] - (ends - n), n) + np.arange(n.sum())]
+        return ids, ends[last + np.arange(len(last))]
+
     def __call__(self, texts: list[str], end: int = END) -> list[bytes]:
-        """White space splits before the tokenizer sees it; every chunk that is not cached is encoded once."""
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        split = [t.split() if t.isascii() else t.replace("\x0b", " ").replace("\x0c", " ").translate(_ONLY_ASCII).split(" ") for t in texts]
-        new = list({w for ws in split for w in ws if w not in cache})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-        last = struct.pack("<I", end)
-        get = cache.__getitem__
-        return [b"".join([*map(get, ws), last]) for ws in split]
+        """The ids of each text, its end included, as little-endian u32 bytes."""
+        ids, ends = self.batch(pa.array(texts, pa.string()), end)
+        return [x.astype("<u4").tobytes() for x in np.split(ids, ends[:-1])]
+
+
+class Kept:
+    """Values by key in two generations of about ``most`` keys; what is used again moves to the younger one."""
 
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
 
-_ONLY_ASCII = {0x09: " ", 0x0A: " ", 0x0D: " "}
+    def of(self, keys, make) -> dict:
+        """A table that holds all of ``keys``; those that are not kept are made together."""
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        young, old, new = self.young, self.old, []
+        for k in set(keys).difference(young):
+            got = old.get(k)
+            if got is None:
+                new.append(k)
+            else:
+                young[k] = got
+        young.update(zip(new, make(new), strict=True))
+        return young
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -157,9 +237,10 @@ def unpack(stream: bytes, checkpoints: np.ndarray, n: int, table: tuple, block:
 
 
 def segment(docs: list[bytes], lengths: np.ndarray, codes: np.ndarray) -> bytes:
-    ids = np.frombuffer(b"".join(docs), "<u4")
+    width = id_width(len(lengths))
+    ids = np.frombuffer(b"".join(docs), width)
     stream, checkpoints = pack(ids, lengths, codes)
-    return struct.pack("<4sIII", MAGIC, len(docs), len(ids), len(stream)) + np.array([len(d) // 4 for d in docs], "<u4").tobytes() + checkpoints.tobytes() + stream
+    return struct.pack("<4sIII", MAGIC, len(docs), len(ids), len(stream)) + np.array([len(d) // width.itemsize for d in docs], "<u4").tobytes() + checkpoints.tobytes() + stream
 
 
 def open_segment(data: bytes, table: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -174,29 +255,38 @@ def open_segment(data: bytes, table: tuple) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id and all ids of each document (end included) as little-endian u32 bytes, written once for the counts and the files."""
+    """doc_id and all ids of each document (end included) as little-endian numbers of ``Encoder.width``, written once for the counts and
+    the files."""
 
     def run(it):
         enc = Encoder.of(tokenizer)
-        for pdf in it:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": enc([t or "" for t in pdf["text"]])})
+        for rows in it:
+            ids, ends = enc.batch(rows.column(1))
+            offsets = np.concatenate([[0], ends]) * enc.width.itemsize
+            if offsets[-1] < 1 << 31:
+                column = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([rows.column(0), column], ["doc_id", "ids"])
+            else:  # texts so long that their ids pass what one batch holds
+                for k, x in enumerate(np.split(ids, ends[:-1])):
+                    yield pa.RecordBatch.from_arrays([rows.column(0).slice(k, 1), pa.array([x.tobytes()], pa.binary())], ["doc_id", "ids"])
 
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return materialize(docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, ids binary"), "tokids")
+    return materialize(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary"), "tokids")
 
 
 def count_ids(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     """Counts of all ids over all documents, ends included; the result is bounded by the vocabulary."""
+    width = id_width(vocabulary)
 
     def run(it):
         total = np.zeros(vocabulary, np.int64)
-        for pdf in it:
-            total += np.bincount(np.frombuffer(b"".join(pdf["ids"]), "<u4"), minlength=vocabulary)
+        for rows in it:
+            total += np.bincount(np.frombuffer(b"".join(rows.column(0).to_pylist()), width), minlength=vocabulary)
         ids = np.flatnonzero(total)
-        yield pd.DataFrame({"id": ids, "n": total[ids]})
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["id", "n"])
 
-    rows = tokens.select("ids").mapInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(vocabulary, np.int64)
     for r in rows:
         out[r["id"]] = r["n"]
@@ -206,7 +296,7 @@ def count_ids(tokens: DataFrame, vocabulary: int) -> np.ndarray:
 def write_tokens(tokens: DataFrame, folder: str, lengths: np.ndarray) -> DataFrame:
     """Write all documents in ascending doc_id order (nulls first; rows that repeat a doc_id by the bytes of their ids); a file per task, in a range of ids of its own. Returns the index:
     uri, offset, length, part, seg, n_docs, n_tokens and the doc_ids of each segment."""
-    codes = canonical(lengths)
+    codes, width = canonical(lengths), id_width(len(lengths)).itemsize
 
     def run(it):
         from pyspark import TaskContext
@@ -216,14 +306,14 @@ def write_tokens(tokens: DataFrame, folder: str, lengths: np.ndarray) -> DataFra
         for pdf in it:
             rows = []
             for doc_id, got in zip(pdf["doc_id"], pdf["ids"], strict=True):
-                if held and size + len(got) // 4 > SEGMENT:
+                if held and size + len(got) // width > SEGMENT:
                     data = segment(held, lengths, codes)
                     rows.append((out.uri, out.write(data), len(data), part, seg, len(held), size, ids))
                     held, ids, size, seg = [], [], 0, seg + 1
                 out = out or Writer(folder, ".htk")
                 held.append(got)
                 ids.append(doc_id)
-                size += len(got) // 4
+                size += len(got) // width
             yield pd.DataFrame(rows, columns=COLS)
         if held:
             data = segment(held, lengths, codes)
