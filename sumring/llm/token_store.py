@@ -34,11 +34,12 @@ LIMIT, BLOCK, SEGMENT = 18, 128, 1 << 20
 TASK = 16
 #: Id that ends each document.
 END = 1
-#: Chunks, and as many letter sequences, in each of the two generations that a worker keeps.
-CACHE = 200_000
+#: Letter sequences, tails and other chunks in each of the two generations that a worker keeps.
+CACHE = 400_000
 #: What may follow the letters of a chunk, and chunks of letters that lower-casing alone normalises.
 PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
-LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+LATIN = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+LETTERS = re.compile(LATIN).fullmatch
 MAGIC = b"HTK1"
 
 
@@ -74,7 +75,7 @@ class Encoder:
             bare = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}
             self.bare = Tokenizer.from_str(json.dumps(made | {"normalizer": None, "added_tokens": [], "pre_tokenizer": bare}))
         self.width = id_width(self.tok.get_vocab_size(with_added_tokens=True))
-        self.known, self.stems = Kept(CACHE), Kept(CACHE)
+        self.known = Kept(CACHE)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -88,21 +89,24 @@ class Encoder:
             out += [np.array(e.ids, self.width).tobytes() for e in tok.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False)]
         return out
 
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks that are not cached."""
-        stems, cuts = [], []
-        for w in chunks:
-            stem = w.rstrip(PUNCTUATION)
-            if LETTERS(stem):
-                stem, tail = stem.lower(), w[len(stem) :]
-            else:
-                stem, tail = "", w
-            stems.append(stem)
-            cuts.append(tail)
-        head = self.stems.of(set(stems), lambda new: self._encode(self.bare, new))
-        rest = list(set(cuts))
-        tails = dict(zip(rest, self._encode(self.tok, rest), strict=True))
-        return [head[a] + tails[b] for a, b in zip(stems, cuts, strict=True)]
+    def _new(self, keys: list[str]) -> list[bytes]:
+        """Ids of what is not kept: lower-case letters, or chunks and tails as they are."""
+        easy = [LETTERS(k) is not None for k in keys]
+        parts = {e: iter(self._encode(self.bare if e else self.tok, [k for k, x in zip(keys, easy, strict=True) if x is e])) for e in (True, False)}
+        return [next(parts[e]) for e in easy]
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of distinct chunks one after another, and how many each has."""
+        stems = pc.utf8_rtrim(words, characters=PUNCTUATION)
+        easy = pc.match_substring_regex(stems, f"^{LATIN}$")
+        cut = np.where(easy.to_numpy(zero_copy_only=False), pc.binary_length(words).to_numpy() - pc.binary_length(stems).to_numpy(), 0)
+        stems = pc.if_else(easy, pc.utf8_lower(stems), words).dictionary_encode()
+        tails = endings(words, cut).dictionary_encode()
+        heads = stems.dictionary.to_pylist()
+        values = self.known.of(heads, self._new) + self.known.of(tails.dictionary.to_pylist(), self._new)
+        size = np.fromiter(map(len, values), np.int64, len(values)) // self.width.itemsize
+        both = np.stack([stems.indices.to_numpy(), tails.indices.to_numpy() + len(heads)], 1).reshape(-1)
+        return spliced(np.frombuffer(b"".join(values), self.width), size, both)[0], size[both].reshape(-1, 2).sum(1)
 
     def batch(self, texts: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch of texts (null: empty) one after another, each text closed by ``end``, and where each text ends."""
@@ -110,18 +114,13 @@ class Encoder:
         if self.chunks:
             split = pc.ascii_split_whitespace(texts)
             offsets, coded = split.offsets.to_numpy(), split.flatten().dictionary_encode()
-            words, codes, last = coded.dictionary.to_pylist(), coded.indices.to_numpy(), offsets[1:] - offsets[0]
-            known = self.known.of(words, self._chunks)
-            values = [known[w] for w in words]
+            codes, last = coded.indices.to_numpy(), offsets[1:] - offsets[0]
+            pool, size = self._words(coded.dictionary)
         else:
-            values, codes, last = self._encode(self.tok, texts.to_pylist()), np.arange(len(texts)), np.arange(1, len(texts) + 1)
-        codes = np.insert(codes, last, len(values))
-        values.append(np.array([end], self.width).tobytes())
-        size = np.fromiter(map(len, values), np.int64, len(values)) // self.width.itemsize
-        pool = np.frombuffer(b"".join(values), self.width)
-        n = size[codes]
-        ends = np.cumsum(n)
-        ids = pool[np.repeat((np.cumsum(size) - size)[codes] - (ends - n), n) + np.arange(n.sum())]
+            values = self._encode(self.tok, texts.to_pylist())
+            codes, last = np.arange(len(texts)), np.arange(1, len(texts) + 1)
+            pool, size = np.frombuffer(b"".join(values), self.width), np.fromiter(map(len, values), np.int64, len(values)) // self.width.itemsize
+        ids, ends = spliced(np.append(pool, self.width.type(end)), np.append(size, 1), np.insert(codes, last, len(size)))
         return ids, ends[last + np.arange(len(last))]
 
     def __call__(self, texts: list[str], end: int = END) -> list[bytes]:
@@ -130,25 +129,43 @@ class Encoder:
         return [x.astype("<u4").tobytes() for x in np.split(ids, ends[:-1])]
 
 
+def spliced(pool: np.ndarray, size: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs ``codes`` of a pool that holds runs of ``size`` elements, one after another, and where each ends."""
+    n = size[codes]
+    ends = np.cumsum(n)
+    return pool[np.repeat((np.cumsum(size) - size)[codes] - (ends - n), n) + np.arange(n.sum())], ends
+
+
+def endings(texts: pa.Array, n: np.ndarray) -> pa.Array:
+    """The last ``n`` bytes of each text, which begin and end characters."""
+    if not n.any():
+        return pa.array([""] * len(texts), pa.string())
+    _, offsets, data = texts.buffers()
+    stop = np.frombuffer(offsets, np.int32)[texts.offset + 1 : texts.offset + 1 + len(texts)].astype(np.int64)
+    ends = np.cumsum(n)
+    got = np.frombuffer(data, np.uint8)[np.repeat(stop - ends, n) + np.arange(ends[-1])]
+    return pa.Array.from_buffers(pa.string(), len(texts), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(got)])
+
+
 class Kept:
     """Values by key in two generations of about ``most`` keys; what is used again moves to the younger one."""
 
     def __init__(self, most: int):
         self.most, self.young, self.old = most, {}, {}
 
-    def of(self, keys, make) -> dict:
-        """A table that holds all of ``keys``; those that are not kept are made together."""
+    def of(self, keys: list, make) -> list:
+        """The value of each of ``keys``, which are distinct; those that are not kept are made together."""
         if len(self.young) > self.most:
             self.young, self.old = {}, self.young
-        young, old, new = self.young, self.old, []
-        for k in set(keys).difference(young):
-            got = old.get(k)
-            if got is None:
-                new.append(k)
-            else:
-                young[k] = got
-        young.update(zip(new, make(new), strict=True))
-        return young
+        out = list(map(self.young.get, keys))
+        for i in [i for i, v in enumerate(out) if v is None]:
+            got = self.old.get(keys[i])
+            if got is not None:
+                out[i] = self.young[keys[i]] = got
+        new = [i for i, v in enumerate(out) if v is None]
+        for i, v in zip(new, make([keys[i] for i in new]), strict=True):
+            out[i] = self.young[keys[i]] = v
+        return out
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:

@@ -162,6 +162,12 @@ def test_tokens(spark, docs):
     tok = tokenizers.Tokenizer.from_file(path)
     for text in ("a b  c\x0bd\x1cg <|endoftext|>x it's İstanbul ÀÉ é ́x 12ab\x85q", "'s don't", "", " "):
         assert np.frombuffer(enc([text])[0], "<u4").tolist() == [*tok.encode(text, add_special_tokens=False).ids, 1]
+    rng = np.random.default_rng(7)
+    parts = [*"aAbsStTrRd'\"|<>.,;-_ \t\x1c\x85 ÀéßÿŸ×÷1２̸́ΣİǅK#@", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "'s", "n't", "re"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 24))) for _ in range(2000)]
+    for at in range(0, len(texts), 100):  # whole batches, whose chunks are cut, cached and put together again
+        some = texts[at : at + 100]
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc(some)] == [[*tok.encode(t, add_special_tokens=False).ids, 1] for t in some]
     tokens = token_store.encoded(docs, path)
     lengths = token_store.code_lengths(token_store.count_ids(tokens, tok.get_vocab_size()))
     out = token_store.read_tokens(token_store.write_tokens(tokens, fresh_path(spark, "toktest"), lengths), lengths).toPandas().sort_values("start")
