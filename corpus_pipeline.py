@@ -13,6 +13,9 @@ from sumring.llm import jaccard_join, line_dedup, mixing, piece_fst, quality
 from sumring.llm.common import materialize
 from sumring.session import ship_package
 
+#: Near duplicates share at least so much (numerator, denominator) of the union of their shingles of so many words.
+NEAR = (5, 80, 100)
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
@@ -28,7 +31,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return jaccard_join.keep_one(docs).select(*docs.columns)
+    return jaccard_join.keep_one(docs, *NEAR).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

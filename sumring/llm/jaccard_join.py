@@ -1,4 +1,4 @@
-"""N-gram Jaccard self-join: documents whose sets of 3-word shingles overlap by 90 % or more, as linked classes.
+"""N-gram Jaccard self-join: documents whose sets of word shingles overlap by a share or more (op7: 3 words, 90 %), as linked classes.
 
 Shingles are hashed into groups. Two uses of the same idea:
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, discard, materialize, small_batches, worker_tables
 from .wordhash import blocks, mix, shingle_hashes, word_hashes
 
-#: Link if NUM/DEN of the union is shared.
+#: Link if NUM/DEN of the union is shared, of sets of SHINGLE words; what op7 asks for.
 NUM, DEN = 90, 100
 SHINGLE = 3
 #: Coordinates of the points, tree fan-out, shingles (8 bytes each) of a block.
@@ -75,7 +75,7 @@ def keys_of(shingles: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """doc_id, n, a digest of the set (d1, d2), and its keys."""
 
     def run(it):
@@ -86,10 +86,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
                 hashes, counts = word_hashes(texts[a:b])
                 rows, at = [], 0
                 for doc_id, c in zip(ids[a:b], counts, strict=True):
-                    s = shingle_set(hashes[at : at + c])
+                    s = shingle_set(hashes[at : at + c], k)
                     at += c
                     m = mix(s + np.uint64(3))
-                    rows.append((doc_id, len(s), int(m.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(m).view(np.int64)) if len(s) else 0, keys_of(s).view(np.int64) if len(s) else None))
+                    rows.append((doc_id, len(s), int(m.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(m).view(np.int64)) if len(s) else 0, keys_of(s, num, den).view(np.int64) if len(s) else None))
                 yield pd.DataFrame(rows, columns=cols)
 
     cols = ["doc_id", "n", "d1", "d2", "keys"]
@@ -174,7 +174,7 @@ def _with_text(docs: DataFrame, members: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(members) if few else members, "doc_id")
 
 
-def _meet(cells: DataFrame, label: str) -> DataFrame:
+def _meet(cells: DataFrame, label: str, k: int, num: int, den: int) -> DataFrame:
     """(a, b) class edges. Rows (cluster, lead, blk, doc_id, left, right, text) of one (cluster, lead, blk) meet in a task: those marked
     left with those marked right."""
 
@@ -190,22 +190,23 @@ def _meet(cells: DataFrame, label: str) -> DataFrame:
         items: list[np.ndarray] = []
         for a, b in blocks(texts, _BATCH):
             hashes, counts = word_hashes(texts[a:b])
-            items += [shingle_set(h).view(np.int64) for h in np.split(hashes, np.cumsum(counts)[:-1])]
-        least = join_block(ids[new], items, left, right)
+            items += [shingle_set(h, k).view(np.int64) for h in np.split(hashes, np.cumsum(counts)[:-1])]
+        least = join_block(ids[new], items, left, right, num, den)
         keep = least != ids[new]
         return pd.DataFrame({"a": ids[new][keep], "b": least[keep]})
 
     return materialize(cells.groupBy("cluster", "lead", "blk").applyInPandas(run, "a long, b long"), label)
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text); component_id is the least doc_id reachable by links.
+def classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text); component_id is the least doc_id reachable by links,
+    which join documents that share num / den of the union of their ``k``-word shingles.
 
     A document without words has no shingles and links with nothing. Null text counts as empty. Rows with a null doc_id link with
     nothing and have a null component. Rows that repeat a doc_id are one node (n_shingles is each row's own).
     """
     small_batches(docs.sparkSession)
-    known = keyed = materialize(_keyed(docs), "jkeys")
+    known = keyed = materialize(_keyed(docs, k, num, den), "jkeys")
     real = known.where("doc_id is not null and n > 0")
     # Equal sets link; one of them stands for all. Rows of a large group are spread by a salt, and a group's least id goes to each salt it has.
     spread = real.select("doc_id", "n", "d1", "d2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
@@ -230,7 +231,7 @@ def classes(docs: DataFrame) -> DataFrame:
     lead = _with_text(docs, member.select("doc_id", "cluster", "blocks", "blk").withColumn("lead", F.lit(0)))
     lead = lead.withColumn("blk", F.explode(F.when(F.col("blk") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("blk"))))
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")) == 0
-    found = _meet(lead.select("cluster", "lead", "blk", "doc_id", own.alias("left"), (~own | (F.col("blk") == 0)).alias("right"), "text"), "jlink")
+    found = _meet(lead.select("cluster", "lead", "blk", "doc_id", own.alias("left"), (~own | (F.col("blk") == 0)).alias("right"), "text"), "jlink", k, num, den)
     links = found
     if member.where("blocks > 1").limit(1).count():
         # What the leaders did not connect to the largest class of a cluster meets all blocks of it.
@@ -245,16 +246,16 @@ def classes(docs: DataFrame) -> DataFrame:
         meets = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda p: F.struct(p.alias("lead"), F.col("blk").alias("blk"), (p == F.coalesce("part", F.lit(0))).alias("left"), F.lit(True).alias("right")))
         other = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.col("part").isNotNull() & (b != F.col("blk"))), lambda b: F.struct(F.col("part").alias("lead"), b.alias("blk"), F.lit(True).alias("left"), F.lit(False).alias("right")))
         cells = rows.withColumn("cell", F.explode(F.concat(meets, other))).select("cluster", "cell.lead", "cell.blk", "doc_id", "cell.left", "cell.right", "text")
-        links = found.unionByName(_meet(cells, "jlink2"))
+        links = found.unionByName(_meet(cells, "jlink2", k, num, den))
     equal = rep.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     comp = connected_components(links.select("a", "b").unionByName(equal), "jcomp")
     out = known.select("doc_id", F.col("n").alias("n_shingles")).join(comp, known["doc_id"] == comp["node"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """The rows of ``docs`` that stand for their class (least doc_id), all their columns kept; of rows that repeat a doc_id all stay."""
-    gone = materialize(classes(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "jgone")
+    gone = materialize(classes(docs, k, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "jgone")
     few = gone.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["_gone"], "left_anti")
 

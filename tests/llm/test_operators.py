@@ -225,6 +225,45 @@ def test_jaccard_join(spark, docs, block, monkeypatch):
     assert jaccard_join.classes(empty(spark)).count() == 0
 
 
+def test_near_duplicate_stage_against_brute_force(spark):
+    """Pairs around a Jaccard of 0.8 on 5-word shingles, many of them under 0.9 on 3-word ones."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(rng.choice(WORDS, rng.integers(1, 200)))) for i in range(60)]
+    for i in range(60):
+        words = rows[i][1].split()
+        for at in rng.integers(0, len(words), 1 + len(words) // 60):
+            words[at] = f"y{i}"
+        rows.append((100 + i, " ".join(words)))
+    rows += [(300, None), (301, ""), (302, "a b c"), (303, "A  b c"), (304, rows[0][1].upper())]
+    five = {i: sets(t, 5) for i, t in rows}
+    parent = {i: i for i, _ in rows}
+    for i, a in five.items():
+        for j, b in five.items():
+            if i < j and a and b and 100 * len(a & b) >= 80 * len(a | b):
+                low, high = sorted((parent[i], parent[j]))
+                parent = {k: low if p == high else p for k, p in parent.items()}
+    loose = [i for i in range(60) if parent[100 + i] == i and jaccard(sets(rows[i][1], 3), sets(rows[60 + i][1], 3)) < 0.9]
+    assert len(loose) > 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(i for i, p in parent.items() if i == p)
+
+
+def test_keys_are_shared_by_linked_pairs_of_the_pipeline():
+    rng = np.random.default_rng(6)
+    for n in [*range(1, 60), 200, 777, 3000]:
+        for _ in range(3):
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            drop = int(rng.integers(0, n * 0.2 + 1))
+            grow = int((n - drop) / 0.8 - n) if drop < n else 0
+            b = np.union1d(rng.choice(a, n - drop, replace=False), rng.integers(0, 2**63, max(0, grow)).astype(np.uint64))
+            inter = len(np.intersect1d(a, b))
+            if 100 * inter >= 80 * (len(a) + len(b) - inter):
+                assert set(jaccard_join.keys_of(a, 80, 100).tolist()) & set(jaccard_join.keys_of(b, 80, 100).tolist())
+
+
 def test_keys_are_shared_by_every_linked_pair():
     rng = np.random.default_rng(5)
     for n in [*range(1, 60), 200, 777, 3000]:
