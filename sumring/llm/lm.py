@@ -1,40 +1,39 @@
 """LM scoring by online logistic context mixing.
 
-A text is predicted bit by bit. For each context (the last 1, 2, 3, 5 bytes, and the word so far) hashed slots hold how often each
-bit followed; a slot covers a nibble (15 nodes), so a byte touches two slots a context. A predictor's output is the stretched
-probability ln((n1 + d) / (n0 + d)). The mixer adds them with weights chosen by a gate (class of the byte before, bits of the byte so
-far); weights are learnt online, by AdaGrad steps on coding cost, on a training fold that the counts seen by the mixer leave out. An
-adaptive map (bits so far, stretched probability -> observed frequency), filled in the same pass, refines the result. The log10
-probability of a text is the sum over its bits and an end symbol (byte 0xFF, which UTF-8 never has).
-
-Distribution: counts and token counts are sums over training documents, so they merge in any order; weights of tasks are averaged by
-bytes; then all is frozen and every document is scored on its own, which makes scores independent of partitioning and of retried
-tasks. The model is of fixed size (``len(ORDERS)`` x 2**22 nodes, 1 byte each) and is broadcast; the vocabulary of tokens is not: its
+A text is predicted bit by bit. For each context (the last 1, 2, 3, 5 bytes, and the word so far) slots hold how often each bit
+followed; a slot covers a nibble (15 nodes), so a byte touches two slots a context. A slot is known by a 64-bit hash of its context, and
+every context of the corpus has its own. A predictor's output is the stretched probability ln((n1 + d) / (n0 + d)). The mixer adds them
+with weights chosen by a gate (class of the byte before, bits of the byte so far); weights are learnt online, by AdaGrad steps on coding
+cost, on all training documents, each chunk of them against counts that leave the chunk out. An adaptive map (bits so far, stretched
+probability -> observed frequency), filled in the same pass, refines the result. The log10 probability of a text is the sum over its bits
+and an end symbol (byte 0xFF, which UTF-8 never has).
+
+Distribution: counts grow with the corpus and are never in one place. Documents are cut into chunks; a chunk sends its distinct slots with
+its own counts, by parts of the hash, and gets back what the whole corpus has for them. A task holds one chunk or one part. Weights of
+tasks are averaged by bytes; then all is frozen and every document is scored on its own. The vocabulary of tokens is a table too: its
 ``HOT`` most frequent tokens are broadcast, all others are looked up by a shuffled join.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialize
+from .common import crc_mod, materialize, small_batches
 from .wordhash import _R, _RINV, _SPACE, LOWER, _power, blocks, mix, word_hashes
 
 #: Contexts: number of bytes, 0 for the word so far.
 ORDERS = (1, 2, 3, 5, 0)
-#: Slots a context (16 nodes each), cells of a segment of the count tables when they are merged.
-SLOT_BITS, SEGMENT_BITS = 18, 18
+#: Bits of a slot in a dense table of ``CELLS``.
+SLOT_BITS = 18
+#: Bytes of text in a chunk and for which there is a part of the slots; a small corpus is cut into about ``CHUNKS`` chunks.
+CHUNK, PART, CHUNKS = 8 << 20, 4 << 20, 40
 #: Count added to both bits, scale of stretched probabilities in a byte.
 DELTA, SCALE = 0.4, 16.0
 #: Tokens that are broadcast (16 bytes each).
 HOT = 1 << 17
-#: Share of training documents (crc32 of the id, divided by 10, modulo FOLDS) on which mixer and map learn.
-MIX_FOLD, FOLDS = 5, 40
 #: AdaGrad rate and start weight.
 RATE, START = 0.06, 0.3
 PAD, END = 6, 0xFF
@@ -71,7 +70,7 @@ class Positions:
     """Every coded byte with its context. Bytes of equal context (all that any predictor sees) are worked on once: ``at`` holds one
     position of each kind, ``kind`` the kind of each coded byte."""
 
-    def __init__(self, flat: np.ndarray, coded: np.ndarray | None = None, repeats: bool = False):
+    def __init__(self, flat: np.ndarray, coded: np.ndarray | None = None):
         n = len(flat)
         wide = np.zeros(n + 8, np.uint32)
         wide[8:] = flat
@@ -91,39 +90,36 @@ class Positions:
         word *= np.uint64(0xBF58476D1CE4E5B9)
         if coded is None:
             coded = np.arange(n)
-        if repeats:
-            self.at, self.kind = coded, np.arange(len(coded))
-        else:
-            key = (four.astype(np.uint64) | (five << np.uint64(32)) | (flat.astype(np.uint64) << np.uint64(40))) * np.uint64(_R)
-            key = ((key ^ (key >> np.uint64(29))) + word) * np.uint64(0x94D049BB133111EB)
-            self.kind, found = pd.factorize(key[coded])
-            first = np.empty(len(found), np.int64)
-            first[self.kind[::-1]] = coded[::-1]
-            self.at = first
+        key = (four.astype(np.uint64) | (five << np.uint64(32)) | (flat.astype(np.uint64) << np.uint64(40))) * np.uint64(_R)
+        key = ((key ^ (key >> np.uint64(29))) + word) * np.uint64(0x94D049BB133111EB)
+        self.kind, found = pd.factorize(key[coded])
+        first = np.empty(len(found), np.int64)
+        first[self.kind[::-1]] = coded[::-1]
+        self.at = first
         at = self.at
-        self.byte, self.four, self.five = flat[at], four[at], five[at].astype(np.uint32)
-        self.word = (word[at] >> np.uint64(32)).astype(np.uint32)
+        self.byte, self.four, self.five = flat[at], four[at], five[at]
+        self.word = word[at]
         self.gate = _CLASS[wide[at + 7]]
 
+    def slots(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of the high and the low nibble in the context ``ORDERS[i]``."""
+        o = ORDERS[i]
+        if o == 0:
+            key = self.word
+        elif o < 4:
+            key = (self.four & np.uint32((1 << (8 * o)) - 1)).astype(np.uint64)
+        else:
+            key = self.four.astype(np.uint64) | (self.five << np.uint64(32))
+        first = mix(key + np.uint64((o + 1) * 0x9E3779B97F4A7C15 % 2**64))
+        return first, mix(first ^ (((self.byte >> 4).astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)))
+
+    def nibbles(self) -> tuple[np.ndarray, np.ndarray]:
+        return (self.byte >> 4).astype(np.int64), (self.byte & 15).astype(np.int64)
+
     def cells(self):
-        """For each context, the cells (slot * 16 + nibble) of the high and the low nibble."""
-        high, low = (self.byte >> 4).astype(np.uint32), (self.byte & 15).astype(np.uint32)
-        turned = (high + np.uint32(1)) * np.uint32(0xC2B2AE35)
-        shift = np.uint32(32 - SLOT_BITS)
-        for o in ORDERS:
-            if o == 0:
-                key = self.word
-            elif o < 4:
-                key = (self.four & np.uint32((1 << (8 * o)) - 1)) + np.uint32(o << 24)
-            else:
-                key = (self.four * np.uint32(0x9E3779B1) ^ self.five) * np.uint32(0x85EBCA6B)
-                key ^= key >> np.uint32(15)
-            key = (key + np.uint32(1 + o)) * np.uint32(0x9E3779B1)
-            first = key ^ (key >> np.uint32(16))
-            first = ((first * np.uint32(0x7FEB352D)) >> shift) << np.uint32(4) | high
-            second = key ^ turned
-            second = (((second ^ (second >> np.uint32(15))) * np.uint32(0x846CA68B)) >> shift) << np.uint32(4) | low
-            yield first.astype(np.int64), second.astype(np.int64)
+        """For each context, the cells (slot * 16 + nibble) of the high and the low nibble in a dense table."""
+        for i in range(N):
+            yield tuple(((x >> np.uint64(64 - SLOT_BITS)) << np.uint64(4)).astype(np.int64) | y for x, y in zip(self.slots(i), self.nibbles(), strict=True))
 
 
 def coded_bytes(flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -133,13 +129,47 @@ def coded_bytes(flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.flatnonzero(coded)
 
 
-def count_cells(flat: np.ndarray, coded: np.ndarray, tables: np.ndarray) -> None:
-    """Add the coded bytes' nibbles to ``tables`` (a row a context)."""
-    pos = Positions(flat, coded)
-    times = np.bincount(pos.kind, minlength=len(pos.at)).astype(np.uint32)
-    for table, pair in zip(tables, pos.cells(), strict=True):
-        for cell in pair:
-            np.add.at(table, cell, times)
+class Chunk:
+    """Texts of a chunk in blocks, and its distinct slots (``keys``, by part): cells of a block point to rows of them."""
+
+    def __init__(self, texts: list[bytes], parts: int):
+        self.blocks = []
+        for a, b in blocks(texts, 1 << 20):
+            flat, begin, end = _flat(texts[a:b])
+            coded = coded_bytes(flat, begin)
+            self.blocks.append((a, b, Positions(flat, coded)))
+        at, keys, size = [], [], 0
+        for i in range(N):
+            codes, found = pd.factorize(np.concatenate([x for _, _, pos in self.blocks for x in pos.slots(i)] or [np.zeros(0, np.uint64)]))
+            at.append((codes + size).astype(np.int32))
+            keys.append(found)
+            size += len(found)
+        keys = np.concatenate(keys)
+        part = part_of(keys, parts)
+        order = np.argsort(part, kind="stable")
+        place = np.empty(size, np.int32)
+        place[order] = np.arange(size, dtype=np.int32)
+        self.keys, self.at = keys[order], [place[x] for x in at]
+        self.ends = np.searchsorted(part[order], np.arange(parts + 1))
+        cuts = np.cumsum([0, *(2 * len(pos.at) for _, _, pos in self.blocks)])
+        for k, (_, _, pos) in enumerate(self.blocks):
+            pos.found = [x[cuts[k] : cuts[k + 1]].reshape(2, -1) for x in self.at]
+        del self.at
+
+    def counts(self, texts: list[bytes], train: np.ndarray) -> np.ndarray:
+        """How often each nibble followed (a row a slot) in the training documents."""
+        out = np.zeros(len(self.keys) * 16, np.uint32)
+        for a, b, pos in self.blocks:
+            kind = pos.kind[np.repeat(train[a:b], [len(t) + 1 for t in texts[a:b]])]
+            times = np.bincount(kind, minlength=len(pos.at)).astype(np.uint32)
+            for found in pos.found:
+                for slot, nibble in zip(found, pos.nibbles(), strict=True):
+                    np.add.at(out, slot.astype(np.int64) * 16 + nibble, times)
+        return out.reshape(-1, 16)
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
 
 
 def stretch(counts: np.ndarray) -> np.ndarray:
@@ -178,17 +208,22 @@ class Mixer:
         self.map = np.ascontiguousarray(taken.reshape(-1)).astype(np.float32)
 
     @staticmethod
-    def signed(tables: list[np.ndarray], pos: Positions):
-        """For each context, its outputs towards the bits taken, (kinds, 8)."""
-        for i, (first, second) in enumerate(pos.cells()):
+    def signed(tables: list[np.ndarray] | np.ndarray, pos: Positions):
+        """For each context, its outputs towards the bits taken, (kinds, 8). Tables: one a context, or one of the chunk's slots."""
+        dense = isinstance(tables, list)
+        cells = pos.cells() if dense else ([slot.astype(np.int64) * 16 + x for slot, x in zip(found, pos.nibbles(), strict=True)] for found in pos.found)
+        for i, (first, second) in enumerate(cells):
+            table = tables[i] if dense else tables
             x = np.empty((len(first), 2), np.uint32)
-            x[:, 0] = np.take(tables[i], first)
-            x[:, 1] = np.take(tables[i], second)
+            x[:, 0] = np.take(table, first)
+            x[:, 1] = np.take(table, second)
             yield i, x.view(np.int8).reshape(len(first), 8)
 
     def log10(self, tables: list[np.ndarray], flat: np.ndarray, coded: np.ndarray, step: int = 1 << 16) -> np.ndarray:
         """log10 probability of each coded byte; call ``freeze`` before."""
-        pos = Positions(flat, coded)
+        return self.cost(tables, Positions(flat, coded), step)
+
+    def cost(self, tables: list[np.ndarray] | np.ndarray, pos: Positions, step: int = 1 << 16) -> np.ndarray:
         out = np.zeros(len(pos.at))
         row = pos.gate * 256 + pos.byte
         xs = [x for _, x in self.signed(tables, pos)]
@@ -208,14 +243,16 @@ class Mixer:
             out[a : a + step] = np.log10(z.prod(1))
         return out[pos.kind]
 
-    def learn(self, tables: list[np.ndarray], flat: np.ndarray, coded: np.ndarray, step: int = 2048) -> None:
-        """Online: block by block, predict, then move the weights down the gradient of the cost and count for the map."""
-        pos = Positions(flat, coded, repeats=True)
-        xs = [x.astype(np.float32) / np.float32(SCALE) for _, x in self.signed(tables, pos)]
-        gates = pos.gate[:, None] * 256 + _NODE[pos.byte]
-        for a in range(0, len(gates), step):
-            g, bit = gates[a : a + step].reshape(-1), _BIT[pos.byte[a : a + step]].reshape(-1)
-            x = [v[a : a + step].reshape(-1) for v in xs]
+    def learn(self, tables: np.ndarray, pos: Positions, which: np.ndarray, step: int = 2048) -> None:
+        """Online, over the coded bytes ``which``: block by block, predict, then move the weights down the gradient of the cost and count for
+        the map."""
+        kinds = pos.kind[which]
+        outputs = [x for _, x in self.signed(tables, pos)]
+        for a in range(0, len(kinds), step):
+            kind = kinds[a : a + step]
+            byte = pos.byte[kind]
+            g, bit = (pos.gate[kind][:, None] * 256 + _NODE[byte]).reshape(-1), _BIT[byte].reshape(-1)
+            x = [v[kind].astype(np.float32).reshape(-1) / np.float32(SCALE) for v in outputs]
             z = np.clip(sum(self.w[i][g] * x[i] for i in range(N)), -8, 8)
             miss = 1 / (1 + np.exp(z))
             bucket = np.rint((np.where(bit == 1, z, -z) + 8) * 4).astype(np.int64)
@@ -226,21 +263,6 @@ class Mixer:
                 self.w[i] += RATE * grad / np.sqrt(self.g2[i])
 
 
-_loaded: dict[str, tuple] = {}
-
-
-def _load(bc, key: str):
-    """Path tables of a broadcast model, expanded once a worker."""
-    got = _loaded.get(bc.value["id"] + key)
-    if got is None:
-        _loaded.clear()
-        import pyarrow as pa
-
-        got = [paths(np.frombuffer(pa.decompress(b, decompressed_size=CELLS, codec="zstd", asbytes=True), np.int8)) for b in bc.value[key]]
-        _loaded[bc.value["id"] + key] = got
-    return got
-
-
 def _zstd(x: bytes) -> bytes:
     import pyarrow as pa
 
@@ -257,61 +279,135 @@ def _texts(col) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in col]
 
 
-def _gather(train: DataFrame) -> DataFrame:
-    """One pass over training texts: partial count tables (kind 0 and 1: all but the mixer's fold, and that fold) by segment, and partial
-    token counts (kind 2)."""
-    width = 1 << SEGMENT_BITS
+_ROWS = "kind int, part long, chunk long, n long, keys binary, blob binary"
+
+
+def _chunked(docs: DataFrame, most: int, parts: int) -> DataFrame:
+    """One pass over ``docs`` (doc_id, text, train): for each chunk its documents (kind 0) and, by part, its distinct slots with their counts
+    in training documents (kind 1); of training documents, token counts (kind 2: part is the token) and their number (kind 3)."""
 
     def run(it):
-        tables = [None, None]
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId() << 32
+        held: list[tuple] = []
         words: list = []
-        held: list[list[bytes]] = [[], []]
-        size, docs = [0, 0], 0
-        cols = ["kind", "key", "n", "blob"]
-
-        def flush(f):
-            if held[f]:
-                if tables[f] is None:
-                    tables[f] = np.zeros((N, CELLS), np.uint32)
-                flat, begin, end = _flat(held[f])
-                count_cells(flat, coded_bytes(flat, begin), tables[f])
-                held[f], size[f] = [], 0
+        size = n_train = 0
+        cols = ["kind", "part", "chunk", "n", "keys", "blob"]
 
         def merged():
             h, n = np.concatenate([x for x, _ in words]), np.concatenate([x for _, x in words])
             u, inv = np.unique(h, return_inverse=True)
             return u, np.bincount(inv, n, len(u)).astype(np.int64)
 
+        def tokens(u, n):
+            return pd.DataFrame({"kind": 2, "part": u.view(np.int64), "chunk": 0, "n": n, "keys": None, "blob": None}, columns=cols)
+
+        def flush():
+            texts, train = [t for _, t, _ in held], np.array([x for _, _, x in held], bool)
+            data = _pack(held)
+            yield pd.DataFrame([(0, -1, chunk, len(data), None, _zstd(data))], columns=cols)
+            c = Chunk(texts, parts)
+            counts = c.counts(texts, train) if train.any() else None
+            for p in range(parts):
+                a, b = c.ends[p], c.ends[p + 1]
+                if a < b:
+                    yield pd.DataFrame([(1, p, chunk, b - a, c.keys[a:b].tobytes(), None if counts is None else _zstd(counts[a:b].tobytes()))], columns=cols)
+
         for pdf in it:
-            for a, b in blocks(texts := _texts(pdf["text"]), 1 << 20):
-                h, _ = word_hashes(texts[a:b])
-                u, n = np.unique(h, return_counts=True)
-                words.append((u, n.astype(np.int64)))
-                docs += b - a
-                if len(words) == 16:
-                    words = [merged()]
-                    if len(words[0][0]) > 1 << 20:  # bounded memory: pass on what is there
-                        u, n = words.pop()
-                        yield pd.DataFrame({"kind": 2, "key": u.view(np.int64), "n": n, "blob": None}, columns=cols)
-                for t, f in zip(texts[a:b], pdf["fold"].iloc[a:b], strict=True):
-                    held[f].append(t)
-                    size[f] += len(t)
-                    if size[f] > 1 << 20:
-                        flush(f)
-        flush(0)
-        flush(1)
+            train = pdf["train"].to_numpy(bool)
+            texts = _texts(pdf["text"])
+            h, _ = word_hashes([t for t, x in zip(texts, train, strict=True) if x])
+            words.append(tuple(x.astype(y) for x, y in zip(np.unique(h, return_counts=True), (np.uint64, np.int64), strict=True)))
+            n_train += int(train.sum())
+            if len(words) == 16:
+                words = [merged()]
+                if len(words[0][0]) > 1 << 20:  # bounded memory: pass on what is there
+                    yield tokens(*words.pop())
+            for i, t, x in zip(pdf["doc_id"], texts, train, strict=True):
+                held.append((i, t, x))
+                size += len(t) + 1
+                if size >= most:
+                    yield from flush()
+                    held, size, chunk = [], 0, chunk + 1
+        if held:
+            yield from flush()
         if words:
-            u, n = merged()
-            yield pd.DataFrame({"kind": 2, "key": u.view(np.int64), "n": n, "blob": None}, columns=cols)
-        if docs:
-            yield pd.DataFrame({"kind": [3], "key": [0], "n": [docs], "blob": [None]}, columns=cols)
-        for f in (0, 1):
-            if tables[f] is not None:
-                flat = tables[f].reshape(-1, width)
-                rows = [(f, s, 0, _zstd(flat[s].tobytes())) for s in np.flatnonzero(flat.any(1))]
-                yield pd.DataFrame(rows, columns=cols)
+            yield tokens(*merged())
+        if n_train:
+            yield pd.DataFrame([(3, 0, 0, n_train, None, None)], columns=cols)
+
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "train").mapInPandas(run, _ROWS)
+
+
+def _pack(rows: list[tuple]) -> bytes:
+    import pyarrow as pa
+
+    ids, texts, train = zip(*rows, strict=True)
+    batch = pa.record_batch([pa.array(ids, pa.string(), from_pandas=True), pa.array(texts, pa.binary()), pa.array([bool(x) for x in train])], names=["i", "t", "x"])
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema) as w:
+        w.write_batch(batch)
+    return out.getvalue().to_pybytes()
 
-    return train.mapInPandas(run, "kind int, key long, n long, blob binary")
+
+def _unpack(data: bytes) -> tuple[list, list[bytes], np.ndarray]:
+    import pyarrow as pa
+
+    ids, texts, train = pa.ipc.open_stream(data).read_all().columns
+    return ids.to_pylist(), texts.to_pylist(), np.array(train.to_pylist(), bool)
+
+
+def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one part: what all training documents have for the slots of each chunk (kind 1), and the part's table (kind 4)."""
+    keys = [np.frombuffer(k, np.uint64) for k in pdf["keys"]]
+    codes, found = pd.factorize(np.concatenate(keys))
+    cuts = np.cumsum([0, *map(len, keys)])
+    total = np.zeros((len(found), 16), np.int64)
+    for k, (blob, n) in enumerate(zip(pdf["blob"], pdf["n"], strict=True)):
+        if blob is not None:
+            total[codes[cuts[k] : cuts[k + 1]]] += np.frombuffer(_unzstd(blob, n * 64), np.uint32).reshape(-1, 16)  # slots of a row are distinct
+    total = np.minimum(total, 2**32 - 1).astype(np.uint32)
+    part, rows = int(pdf["part"].iloc[0]), []
+    for k, (kind, chunk, n) in enumerate(zip(pdf["kind"], pdf["chunk"], pdf["n"], strict=True)):
+        if kind == 1:
+            rows.append((1, part, chunk, n, None, _zstd(total[codes[cuts[k] : cuts[k + 1]]].tobytes())))
+    if not (pdf["kind"] == 4).any():
+        has = total.any(1)
+        rows.append((4, part, -1, int(has.sum()), found[has].astype(np.uint64).tobytes(), _zstd(total[has].tobytes())))
+    return pd.DataFrame(rows, columns=["kind", "part", "chunk", "n", "keys", "blob"])
+
+
+def _looked_up(chunked: DataFrame, table: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Chunks with the counts of their slots (a row a chunk or part of one, for ``_by_chunk``), and the table of all slots."""
+    slots = chunked.where("kind = 1")
+    totals = materialize((slots if table is None else slots.unionByName(table)).groupBy("part").applyInPandas(_summed, _ROWS), "lmtotals")
+    return chunked.where("kind = 0").unionByName(totals.where("kind = 1")), totals.where("kind = 4") if table is None else table
+
+
+def _by_chunk(rows: DataFrame) -> DataFrame:
+    return rows.repartition("chunk").sortWithinPartitions("chunk", "part")
+
+
+def _each_chunk(it, parts: int):
+    """(ids, texts, train, Chunk, counts) of each chunk in rows by ``_by_chunk``."""
+    head, blobs = None, []
+
+    def done():
+        ids, texts, train = _unpack(_unzstd(*head))
+        counts = np.frombuffer(b"".join([_unzstd(x, n * 64) for x, n in blobs]), np.uint32).reshape(-1, 16)
+        return ids, texts, train, Chunk(texts, parts), counts
+
+    for pdf in it:
+        for kind, n, blob in pdf[["kind", "n", "blob"]].itertuples(index=False, name=None):
+            if kind == 0:
+                if head is not None:
+                    yield done()
+                head, blobs = (blob, n), []
+            else:
+                blobs.append((blob, n))
+    if head is not None:
+        yield done()
 
 
 def _sum_blobs(rows: DataFrame, dtype: str, finish) -> DataFrame:
@@ -331,42 +427,35 @@ def _sum_blobs(rows: DataFrame, dtype: str, finish) -> DataFrame:
     return rows.repartition("key").mapInPandas(run, "name string, key long, blob binary")
 
 
-def train_model(docs: DataFrame) -> dict:
-    """Learn from ``docs`` (doc_id, text): returns the frozen model's parts and the table of token counts (h, c)."""
+def train_model(docs: DataFrame, train=None) -> dict:
+    """Learn from the rows of ``docs`` (doc_id, text) where ``train`` holds (all by default): returns weights and map, the tables of slots and
+    of token counts (h, c), and the chunks of ``docs`` with what they need of the slots."""
     spark = docs.sparkSession
-    fold = (F.floor(crc_mod(F.col("doc_id"), 10 * FOLDS) / 10) == MIX_FOLD).cast("int")
-    train = docs.select("text", fold.alias("fold"))
-    got = materialize(_gather(train), "lmcounts")
-    width = 1 << SEGMENT_BITS
-
-    def finish(key, sums):
-        a = sums.get(0, np.zeros(width, np.uint64))
-        return {"part": _zstd(stretch(a).tobytes()), "full": _zstd(stretch(a + sums.get(1, np.zeros(width, np.uint64))).tobytes())}
-
-    blobs = got.where("kind < 2").withColumn("n", F.lit(4 * width))
-    tables = {"id": uuid.uuid4().hex}
-    flat = {k: np.zeros((N * CELLS // width, width), np.int8) for k in ("part", "full")}
-    for r in _sum_blobs(blobs, "u4", finish).collect():  # of fixed size, whatever the corpus
-        flat[r["name"]][r["key"]] = np.frombuffer(_unzstd(bytes(r["blob"]), width), np.int8)
-    tables |= {k: [_zstd(x.tobytes()) for x in v.reshape(N, CELLS)] for k, v in flat.items()}
-    del flat
-    vocab = materialize(got.where("kind = 2").groupBy(F.col("key").alias("h")).agg(F.sum("n").alias("c")), "lmvocab")
+    small_batches(spark)
+    docs = docs.withColumn("train", F.lit(True) if train is None else train)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
+    most, parts = max(1 << 12, min(CHUNK, size // CHUNKS)), max(4, size // PART)
+    got = materialize(_chunked(docs, most, parts), "lmcounts")
+    rows, table = _looked_up(got)
+    vocab = materialize(got.where("kind = 2").groupBy(F.col("part").alias("h")).agg(F.sum("n").alias("c")), "lmvocab")
     ends = got.where("kind = 3").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n, v = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    bc = spark.sparkContext.broadcast(tables)
 
     def learn(it):
         mixer, size = Mixer(), 0
-        for pdf in it:
-            for a, b in blocks(texts := _texts(pdf["text"]), 1 << 18):
-                flat, begin, _ = _flat(texts[a:b])
-                mixer.learn(_load(bc, "part"), flat, coded_bytes(flat, begin))
-                size += len(flat)
+        for _, texts, train, chunk, counts in _each_chunk(it, parts):
+            if not train.any():
+                continue
+            tables = paths(stretch(counts - np.minimum(counts, chunk.counts(texts, train))))  # what the others have
+            for a, b, pos in chunk.blocks:
+                which = np.repeat(train[a:b], [len(t) + 1 for t in texts[a:b]])
+                mixer.learn(tables, pos, which)
+                size += int(which.sum())
         if size:
             both = np.concatenate([(mixer.w * size).reshape(-1), [size], mixer.seen.reshape(-1)])
             yield pd.DataFrame({"kind": [0], "key": [0], "n": [both.nbytes], "blob": [_zstd(both.tobytes())]})
 
-    sums = _sum_blobs(train.where("fold = 1").mapInPandas(learn, "kind int, key long, n long, blob binary"), "f8", lambda _, s: {"sum": _zstd(s[0].tobytes())}).collect()
+    sums = _sum_blobs(_by_chunk(rows).mapInPandas(learn, "kind int, key long, n long, blob binary"), "f8", lambda _, s: {"sum": _zstd(s[0].tobytes())}).collect()
     mixer = Mixer()
     if sums:
         nw = mixer.w.size
@@ -374,14 +463,17 @@ def train_model(docs: DataFrame) -> dict:
         mixer = Mixer((both[:nw] / both[nw]).reshape(mixer.w.shape), both[nw + 1 :].reshape(mixer.seen.shape))
     hot = vocab.orderBy(F.col("c").desc(), "h").limit(HOT).toPandas()
     order = np.argsort(hot["h"].to_numpy(np.int64).view(np.uint64), kind="stable")
-    return {"model": {"id": tables["id"], "full": tables["full"]}, "weights": mixer.w, "seen": mixer.seen, "vocab": vocab, "n": int(n + ends), "v": int(v + (ends > 0)), "ends": int(ends),
+    return {"rows": rows, "table": table, "most": most, "parts": parts, "weights": mixer.w, "seen": mixer.seen, "vocab": vocab, "n": int(n + ends), "v": int(v + (ends > 0)), "ends": int(ends),
             "hot": hot["h"].to_numpy(np.int64).view(np.uint64)[order], "hot_c": hot["c"].to_numpy(np.int64)[order]}
 
 
-def score_documents(docs: DataFrame, m: dict) -> DataFrame:
-    """Score every row of ``docs`` (doc_id, text; null text as empty)."""
-    spark = docs.sparkSession
-    bc = spark.sparkContext.broadcast({k: m[k] for k in ("weights", "seen", "hot", "hot_c")} | m["model"])
+def score_documents(docs: DataFrame | None, m: dict) -> DataFrame:
+    """Score every row of ``docs`` (doc_id, text; null text as empty), or without it of what ``train_model`` was given."""
+    spark = m["vocab"].sparkSession
+    small_batches(spark)
+    parts = m["parts"]
+    rows = m["rows"] if docs is None else _looked_up(materialize(_chunked(docs.withColumn("train", F.lit(False)), m["most"], parts), "lmslots"), m["table"])[0]
+    bc = spark.sparkContext.broadcast({k: m[k] for k in ("weights", "seen", "hot", "hot_c")})
     base = m["n"] + 0.1 * (m["v"] + 1)
     end_score, end_known = float(np.log10((m["ends"] + 0.1) / base)), int(m["ends"] > 0)
 
@@ -389,19 +481,17 @@ def score_documents(docs: DataFrame, m: dict) -> DataFrame:
         from pyspark import TaskContext
 
         rid = TaskContext.get().partitionId() << 40
-        tables, mixer = _load(bc, "full"), Mixer(bc.value["weights"], bc.value["seen"])
+        mixer = Mixer(bc.value["weights"], bc.value["seen"])
         mixer.freeze()
         hot, c = bc.value["hot"], bc.value["hot_c"]
         log_c = np.log10((c + 0.1) / base)
-        for pdf in it:
-            texts = _texts(pdf["text"])
+        for ids, texts, _, chunk, slots in _each_chunk(it, parts):
+            tables = paths(stretch(slots))
             out = {k: [] for k in ("rid", "n_tokens", "known", "base", "score", "bytes", "h")}
-            for a, b in blocks(texts, 1 << 20):
-                flat, begin, end = _flat(texts[a:b])
-                coded, cost = coded_bytes(flat, begin), np.zeros(len(flat))
-                cost[coded] = mixer.log10(tables, flat, coded)
-                total = np.concatenate([[0.0], np.cumsum(cost)])
-                out["score"].append(total[end] - total[begin])
+            for a, b, pos in chunk.blocks:
+                total = np.concatenate([[0.0], np.cumsum(mixer.cost(tables, pos))])
+                end = np.cumsum([len(t) + 1 for t in texts[a:b]])
+                out["score"].append(total[end] - total[np.concatenate([[0], end[:-1]])])
                 h, counts = word_hashes(texts[a:b])
                 at = np.minimum(np.searchsorted(hot, h), max(0, len(hot) - 1))
                 hit = hot[at] == h if len(hot) else np.zeros(len(h), bool)
@@ -414,11 +504,10 @@ def score_documents(docs: DataFrame, m: dict) -> DataFrame:
                 out["h"] += [x[~y].view(np.int64) for x, y in zip(np.split(h, stop[:-1]), np.split(hit, stop[:-1]), strict=True)]
                 out["bytes"].append(np.array([len(t) for t in texts[a:b]]))
             k = len(texts)
-            yield pd.DataFrame({"rid": rid + np.arange(k), "doc_id": pdf["doc_id"], **{x: np.concatenate(out[x]) if out[x] else np.zeros(0) for x in ("n_tokens", "known", "base", "score", "bytes")}, "h": out["h"]})
+            yield pd.DataFrame({"rid": rid + np.arange(k), "doc_id": ids, **{x: np.concatenate(out[x]) if out[x] else np.zeros(0) for x in ("n_tokens", "known", "base", "score", "bytes")}, "h": out["h"]})
             rid += k
 
-    ids = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    got = materialize(ids.mapInPandas(run, "rid long, doc_id string, n_tokens long, known long, base double, score double, bytes long, h array<long>"), "lmscores")
+    got = materialize(_by_chunk(rows).mapInPandas(run, "rid long, doc_id string, n_tokens long, known long, base double, score double, bytes long, h array<long>"), "lmscores")
     rare = got.select("rid", F.explode("h").alias("h")).groupBy("rid", "h").agg(F.count("*").alias("k")).join(m["vocab"], "h", "left")
     rare = rare.groupBy("rid").agg(F.sum(F.col("k") * F.log10((F.coalesce("c", F.lit(0)) + 0.1) / base)).alias("rare_base"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("rare_known"))
     out = got.drop("h").join(rare, "rid", "left").withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -430,4 +519,4 @@ def score_documents(docs: DataFrame, m: dict) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return score_documents(docs, train_model(docs.where(crc_mod(F.col("doc_id"), 10) != 0)))
+    return score_documents(None, train_model(docs, crc_mod(F.col("doc_id"), 10) != 0))

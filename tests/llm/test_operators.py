@@ -72,6 +72,29 @@ def test_lm(spark, docs):
     assert lm.score_documents(empty(spark), lm.train_model(empty(spark))).count() == 0
 
 
+def test_lm_keeps_every_context(spark, docs):
+    train = docs.where(lm.crc_mod(F.col("doc_id"), 10) != 0)
+    m = lm.train_model(train)
+    texts = [(r["text"] or "").encode() for r in train.collect()]
+    slots = {}
+    for t in texts:
+        lower, begin = t.lower(), 0
+        for at, byte in enumerate(t + b"\xff"):
+            before = b"\0" * 6 + t[:at]
+            for o in lm.ORDERS:
+                key = (o, before[-o:] if o else lower[begin:at])
+                for slot, nibble in ((key, byte >> 4), ((*key, byte >> 4), byte & 15)):
+                    slots.setdefault(slot, [0] * 16)[nibble] += 1
+            if byte in b" \t\n\x0b\x0c\r":
+                begin = at + 1
+    table = m["table"].collect()
+    got = [np.frombuffer(lm._unzstd(bytes(r["blob"]), r["n"] * 64), np.uint32).reshape(-1, 16).tolist() for r in table]
+    assert sorted(x for rows in got for x in rows) == sorted(slots.values())
+    both = [lm.score_documents(None, m), lm.score_documents(train, m)]
+    a, b = ([(r["doc_id"], round(r["score"], 4)) for r in x.collect()] for x in both)
+    assert sorted(a, key=str) == sorted(b, key=str)
+
+
 def test_lm_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     m = lm.Mixer(rng.normal(0.3, 0.1, (lm.N, lm.GATES * 256)), rng.integers(0, 50, (256, lm.BUCKETS, 2)).astype(float))
@@ -95,6 +118,15 @@ def test_line_dedup(spark):
     assert [h[0] for h in hosts] == ["ex.com", "", ""]
 
 
+def test_line_stage_cuts_what_stands_on_8_percent_of_a_host(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"body {i}" + "\nmenu" * (i < 16) + "\nphrase" * (i % 23 == 0), "h", 0) for i in range(200)]
+    out = corpus_pipeline.line_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long"), "").collect()
+    assert len(out) == 200
+    assert all(r["text"] == rows[r["doc_id"]][1].replace("\nmenu", "") and r["n_chars"] == len(r["text"]) for r in out)
+
+
 def test_pivots_against_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(150, 24))
