@@ -1,7 +1,7 @@
 """LM scoring by online logistic context mixing.
 
 A text is predicted bit by bit. For each context (the last 1, 2, 3, 5 bytes, and the word so far) slots hold how often each bit
-followed; a slot covers a nibble (15 nodes), so a byte touches two slots a context. A slot is known by a 64-bit hash of its context, and
+followed; a slot covers a nibble (15 nodes), so a byte touches two slots a context. A slot is known by a 48-bit hash of its context, and
 every context of the corpus has its own. A predictor's output is the stretched probability ln((n1 + d) / (n0 + d)). The mixer adds them
 with weights chosen by a gate (class of the byte before, bits of the byte so far); weights are learnt online, by AdaGrad steps on coding
 cost, on all training documents, each chunk of them against counts that leave the chunk out. An adaptive map (bits so far, stretched
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialize, small_batches
+from .common import crc_mod, discard, materialize, small_batches
 from .wordhash import _R, _RINV, _SPACE, LOWER, _power, blocks, mix, word_hashes
 
 #: Contexts: number of bytes, 0 for the word so far.
@@ -29,7 +29,7 @@ ORDERS = (1, 2, 3, 5, 0)
 #: Bits of a slot in a dense table of ``CELLS``.
 SLOT_BITS = 18
 #: Bytes of text in a chunk and for which there is a part of the slots; a small corpus is cut into about ``CHUNKS`` chunks.
-CHUNK, PART, CHUNKS = 8 << 20, 4 << 20, 40
+CHUNK, PART, CHUNKS = 8 << 20, 4 << 20, 16
 #: Count added to both bits, scale of stretched probabilities in a byte.
 DELTA, SCALE = 0.4, 16.0
 #: Tokens that are broadcast (16 bytes each).
@@ -140,13 +140,13 @@ class Chunk:
             self.blocks.append((a, b, Positions(flat, coded)))
         at, keys, size = [], [], 0
         for i in range(N):
-            codes, found = pd.factorize(np.concatenate([x for _, _, pos in self.blocks for x in pos.slots(i)] or [np.zeros(0, np.uint64)]))
+            codes, found = pd.factorize(np.concatenate([x >> np.uint64(16) for _, _, pos in self.blocks for x in pos.slots(i)] or [np.zeros(0, np.uint64)]))
             at.append((codes + size).astype(np.int32))
             keys.append(found)
             size += len(found)
         keys = np.concatenate(keys)
         part = part_of(keys, parts)
-        order = np.argsort(part, kind="stable")
+        order = np.lexsort([keys, part])
         place = np.empty(size, np.int32)
         place[order] = np.arange(size, dtype=np.int32)
         self.keys, self.at = keys[order], [place[x] for x in at]
@@ -169,7 +169,7 @@ class Chunk:
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+    return (keys % np.uint64(parts)).astype(np.int64)
 
 
 def stretch(counts: np.ndarray) -> np.ndarray:
@@ -275,6 +275,40 @@ def _unzstd(x: bytes, size: int) -> bytes:
     return pa.decompress(x, decompressed_size=size, codec="zstd", asbytes=True)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Compressed numbers, byte by byte of equal rank."""
+    return _zstd(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+
+
+def _unplanes(blob: bytes, n: int, dtype) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(_unzstd(blob, n * width), np.uint8).reshape(width, n).T).reshape(-1).view(dtype)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys, as differences."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_keys(blob: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_unplanes(blob, n, np.uint64), dtype=np.uint64)
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Rows of 16 counts: how many are not zero (8 bytes), how far each is from the one before, and what it is."""
+    flat = counts.reshape(-1)
+    at = np.flatnonzero(flat)
+    where = _planes(np.diff(at, prepend=0).astype(np.uint32))
+    return len(at).to_bytes(8, "little") + len(where).to_bytes(8, "little") + where + _planes(flat[at])
+
+
+def unpack_counts(blob: bytes, n: int) -> np.ndarray:
+    k, cut = int.from_bytes(blob[:8], "little"), 16 + int.from_bytes(blob[8:16], "little")
+    out = np.zeros(n * 16, np.uint32)
+    out[np.cumsum(_unplanes(blob[16:cut], k, np.uint32), dtype=np.int64)] = _unplanes(blob[cut:], k, np.uint32)
+    return out.reshape(-1, 16)
+
+
 def _texts(col) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in col]
 
@@ -312,7 +346,7 @@ def _chunked(docs: DataFrame, most: int, parts: int) -> DataFrame:
             for p in range(parts):
                 a, b = c.ends[p], c.ends[p + 1]
                 if a < b:
-                    yield pd.DataFrame([(1, p, chunk, b - a, c.keys[a:b].tobytes(), None if counts is None else _zstd(counts[a:b].tobytes()))], columns=cols)
+                    yield pd.DataFrame([(1, p, chunk, b - a, pack_keys(c.keys[a:b]), None if counts is None else pack_counts(counts[a:b]))], columns=cols)
 
         for pdf in it:
             train = pdf["train"].to_numpy(bool)
@@ -360,54 +394,44 @@ def _unpack(data: bytes) -> tuple[list, list[bytes], np.ndarray]:
 
 def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one part: what all training documents have for the slots of each chunk (kind 1), and the part's table (kind 4)."""
-    keys = [np.frombuffer(k, np.uint64) for k in pdf["keys"]]
+    keys = [unpack_keys(k, n) for k, n in zip(pdf["keys"], pdf["n"], strict=True)]
     codes, found = pd.factorize(np.concatenate(keys))
     cuts = np.cumsum([0, *map(len, keys)])
     total = np.zeros((len(found), 16), np.int64)
     for k, (blob, n) in enumerate(zip(pdf["blob"], pdf["n"], strict=True)):
         if blob is not None:
-            total[codes[cuts[k] : cuts[k + 1]]] += np.frombuffer(_unzstd(blob, n * 64), np.uint32).reshape(-1, 16)  # slots of a row are distinct
+            total[codes[cuts[k] : cuts[k + 1]]] += unpack_counts(blob, n)  # slots of a row are distinct
     total = np.minimum(total, 2**32 - 1).astype(np.uint32)
     part, rows = int(pdf["part"].iloc[0]), []
     for k, (kind, chunk, n) in enumerate(zip(pdf["kind"], pdf["chunk"], pdf["n"], strict=True)):
         if kind == 1:
-            rows.append((1, part, chunk, n, None, _zstd(total[codes[cuts[k] : cuts[k + 1]]].tobytes())))
+            rows.append((1, part, chunk, n, None, pack_counts(total[codes[cuts[k] : cuts[k + 1]]])))
     if not (pdf["kind"] == 4).any():
-        has = total.any(1)
-        rows.append((4, part, -1, int(has.sum()), found[has].astype(np.uint64).tobytes(), _zstd(total[has].tobytes())))
+        order = np.argsort(found)
+        order = order[total[order].any(1)]
+        rows.append((4, part, -1, len(order), pack_keys(found[order]), pack_counts(total[order])))
     return pd.DataFrame(rows, columns=["kind", "part", "chunk", "n", "keys", "blob"])
 
 
-def _looked_up(chunked: DataFrame, table: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """Chunks with the counts of their slots (a row a chunk or part of one, for ``_by_chunk``), and the table of all slots."""
+def _looked_up(chunked: DataFrame, table: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Chunks with the counts of their slots (rows of a chunk together, for ``_each_chunk``), and the table of all slots."""
     slots = chunked.where("kind = 1")
     totals = materialize((slots if table is None else slots.unionByName(table)).groupBy("part").applyInPandas(_summed, _ROWS), "lmtotals")
-    return chunked.where("kind = 0").unionByName(totals.where("kind = 1")), totals.where("kind = 4") if table is None else table
-
-
-def _by_chunk(rows: DataFrame) -> DataFrame:
-    return rows.repartition("chunk").sortWithinPartitions("chunk", "part")
+    if table is None:
+        table = materialize(totals.where("kind = 4"), "lmtable")
+    both = chunked.where("kind = 0").unionByName(totals.where("kind = 1")).drop("keys")
+    rows = materialize(both.groupBy("chunk").agg(F.max(F.when(F.col("kind") == 0, F.struct("n", "blob"))).alias("head"), F.sort_array(F.collect_list(F.when(F.col("kind") == 1, F.struct("part", "n", "blob")))).alias("slots")), "lmchunks")
+    discard(chunked)
+    discard(totals)
+    return rows, table
 
 
 def _each_chunk(it, parts: int):
-    """(ids, texts, train, Chunk, counts) of each chunk in rows by ``_by_chunk``."""
-    head, blobs = None, []
-
-    def done():
-        ids, texts, train = _unpack(_unzstd(*head))
-        counts = np.frombuffer(b"".join([_unzstd(x, n * 64) for x, n in blobs]), np.uint32).reshape(-1, 16)
-        return ids, texts, train, Chunk(texts, parts), counts
-
+    """(ids, texts, train, Chunk, counts) of each chunk in rows by ``_looked_up``."""
     for pdf in it:
-        for kind, n, blob in pdf[["kind", "n", "blob"]].itertuples(index=False, name=None):
-            if kind == 0:
-                if head is not None:
-                    yield done()
-                head, blobs = (blob, n), []
-            else:
-                blobs.append((blob, n))
-    if head is not None:
-        yield done()
+        for head, slots in zip(pdf["head"], pdf["slots"], strict=True):
+            ids, texts, train = _unpack(_unzstd(head["blob"], head["n"]))
+            yield ids, texts, train, Chunk(texts, parts), np.concatenate([unpack_counts(x["blob"], x["n"]) for x in slots])
 
 
 def _sum_blobs(rows: DataFrame, dtype: str, finish) -> DataFrame:
@@ -436,9 +460,9 @@ def train_model(docs: DataFrame, train=None) -> dict:
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
     most, parts = max(1 << 12, min(CHUNK, size // CHUNKS)), max(4, size // PART)
     got = materialize(_chunked(docs, most, parts), "lmcounts")
-    rows, table = _looked_up(got)
     vocab = materialize(got.where("kind = 2").groupBy(F.col("part").alias("h")).agg(F.sum("n").alias("c")), "lmvocab")
     ends = got.where("kind = 3").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows, table = _looked_up(got)
     n, v = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
 
     def learn(it):
@@ -455,7 +479,7 @@ def train_model(docs: DataFrame, train=None) -> dict:
             both = np.concatenate([(mixer.w * size).reshape(-1), [size], mixer.seen.reshape(-1)])
             yield pd.DataFrame({"kind": [0], "key": [0], "n": [both.nbytes], "blob": [_zstd(both.tobytes())]})
 
-    sums = _sum_blobs(_by_chunk(rows).mapInPandas(learn, "kind int, key long, n long, blob binary"), "f8", lambda _, s: {"sum": _zstd(s[0].tobytes())}).collect()
+    sums = _sum_blobs(rows.mapInPandas(learn, "kind int, key long, n long, blob binary"), "f8", lambda _, s: {"sum": _zstd(s[0].tobytes())}).collect()
     mixer = Mixer()
     if sums:
         nw = mixer.w.size
@@ -507,7 +531,7 @@ def score_documents(docs: DataFrame | None, m: dict) -> DataFrame:
             yield pd.DataFrame({"rid": rid + np.arange(k), "doc_id": ids, **{x: np.concatenate(out[x]) if out[x] else np.zeros(0) for x in ("n_tokens", "known", "base", "score", "bytes")}, "h": out["h"]})
             rid += k
 
-    got = materialize(_by_chunk(rows).mapInPandas(run, "rid long, doc_id string, n_tokens long, known long, base double, score double, bytes long, h array<long>"), "lmscores")
+    got = materialize(rows.mapInPandas(run, "rid long, doc_id string, n_tokens long, known long, base double, score double, bytes long, h array<long>"), "lmscores")
     rare = got.select("rid", F.explode("h").alias("h")).groupBy("rid", "h").agg(F.count("*").alias("k")).join(m["vocab"], "h", "left")
     rare = rare.groupBy("rid").agg(F.sum(F.col("k") * F.log10((F.coalesce("c", F.lit(0)) + 0.1) / base)).alias("rare_base"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("rare_known"))
     out = got.drop("h").join(rare, "rid", "left").withColumn("doc_id", F.col("doc_id").cast("long"))

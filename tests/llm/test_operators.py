@@ -72,10 +72,11 @@ def test_lm(spark, docs):
     assert lm.score_documents(empty(spark), lm.train_model(empty(spark))).count() == 0
 
 
-def test_lm_keeps_every_context(spark, docs):
+def test_lm_keeps_every_context_and_learns_on_every_document(spark, docs):
     train = docs.where(lm.crc_mod(F.col("doc_id"), 10) != 0)
     m = lm.train_model(train)
     texts = [(r["text"] or "").encode() for r in train.collect()]
+    assert m["seen"].sum() == 8 * sum(len(t) + 1 for t in texts)
     slots = {}
     for t in texts:
         lower, begin = t.lower(), 0
@@ -88,7 +89,7 @@ def test_lm_keeps_every_context(spark, docs):
             if byte in b" \t\n\x0b\x0c\r":
                 begin = at + 1
     table = m["table"].collect()
-    got = [np.frombuffer(lm._unzstd(bytes(r["blob"]), r["n"] * 64), np.uint32).reshape(-1, 16).tolist() for r in table]
+    got = [lm.unpack_counts(bytes(r["blob"]), r["n"]).tolist() for r in table]
     assert sorted(x for rows in got for x in rows) == sorted(slots.values())
     both = [lm.score_documents(None, m), lm.score_documents(train, m)]
     a, b = ([(r["doc_id"], round(r["score"], 4)) for r in x.collect()] for x in both)
