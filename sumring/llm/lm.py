@@ -1,17 +1,23 @@
 """LM scoring by online logistic context mixing.
 
-A text is predicted bit by bit. For each context (the last 1, 2, 3, 5 bytes, and the word so far) slots hold how often each bit
-followed; a slot covers a nibble (15 nodes), so a byte touches two slots a context. A slot is known by a 48-bit hash of its context, and
-every context of the corpus has its own. A predictor's output is the stretched probability ln((n1 + d) / (n0 + d)). The mixer adds them
-with weights chosen by a gate (class of the byte before, bits of the byte so far); weights are learnt online, by AdaGrad steps on coding
-cost, on all training documents, each chunk of them against counts that leave the chunk out. An adaptive map (bits so far, stretched
-probability -> observed frequency), filled in the same pass, refines the result. The log10 probability of a text is the sum over its bits
-and an end symbol (byte 0xFF, which UTF-8 never has).
-
-Distribution: counts grow with the corpus and are never in one place. Documents are cut into chunks; a chunk sends its distinct slots with
-its own counts, by parts of the hash, and gets back what the whole corpus has for them. A task holds one chunk or one part. Weights of
-tasks are averaged by bytes; then all is frozen and every document is scored on its own. The vocabulary of tokens is a table too: its
-``HOT`` most frequent tokens are broadcast, all others are looked up by a shuffled join.
+A text is predicted bit by bit. For each context (the last 1, 2, 3, 4 and 6 bytes) a slot holds how often each byte followed, and so, for
+each prefix of its bits, each bit. A predictor's output is the stretched probability ln((n1 + d) / (n0 + d)). The mixer adds the outputs
+with weights chosen by a gate (how many contexts know the bits so far, and these bits); weights are learnt online, by AdaGrad steps on
+coding cost. An adaptive map (bits so far, stretched probability -> observed frequency) refines the result. The log10 probability of a
+text is the sum over its bits and an end symbol (byte 0xFF, which UTF-8 never has), in units of 1 / ``UNIT`` for each byte.
+
+Counts are kept by ``gram``: the last 6 bytes and the byte that follows, as one number. Contexts of 3, 4 and 6 bytes are routed by a hash
+of their last 3 bytes, so that a part holds whole slots of all three; those of 1 and 2 bytes are one table of at most 256**3 entries, which
+is broadcast. Training occurrences are learnt from against the counts of all others (their own is taken out), each as often as it occurs.
+
+Distribution: documents are cut into chunks; a chunk sends its distinct grams and tokens, with its own training counts, by parts. A part
+sums them, learns, and later answers with the cost of each gram and the count of each token; a chunk then adds up its documents. Nothing
+depends on how the input is partitioned: a part sees its grams in hashed order, and costs are whole numbers. What is gathered grows with
+the corpus and is never in one place; a task holds one chunk or one part.
+
+Edges: null text counts as empty; an empty text has its end symbol and end token only; a very long text is worked on in windows; repeated
+rows are scored each; null and repeated ids are kept as they are; without training rows all counts are 0; an empty table gives an empty
+result; columns other than doc_id and text (and a condition for training) are not read.
 """
 
 from __future__ import annotations
@@ -21,246 +27,184 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, discard, materialize, small_batches
-from .wordhash import _R, _RINV, _SPACE, LOWER, _power, blocks, mix, word_hashes
-
-#: Contexts: number of bytes, 0 for the word so far.
-ORDERS = (1, 2, 3, 5, 0)
-#: Bits of a slot in a dense table of ``CELLS``.
-SLOT_BITS = 18
-#: Bytes of text in a chunk and for which there is a part of the slots; a small corpus is cut into about ``CHUNKS`` chunks.
-CHUNK, PART, CHUNKS = 8 << 20, 4 << 20, 16
-#: Count added to both bits, scale of stretched probabilities in a byte.
-DELTA, SCALE = 0.4, 16.0
-#: Tokens that are broadcast (16 bytes each).
-HOT = 1 << 17
-#: AdaGrad rate and start weight.
-RATE, START = 0.06, 0.3
-PAD, END = 6, 0xFF
-GATES = 4  # classes of the byte before
-BUCKETS = 65  # of stretched probability, -8 to 8 in quarters
-_CLASS = np.full(256, 1, np.int64)
-_CLASS[_SPACE] = 0
-_CLASS[33:65] = 2
-_CLASS[91:97] = 2
-_CLASS[123:127] = 2
-_CLASS[128:] = 3
-
+from .common import crc_mod, discard, fresh_path, materialize, small_batches, worker_tables
+from .store import Ranges, Writer
+from .wordhash import mix, word_hashes
+
+#: Contexts, in bytes; the longest is the gram's.
+ORDERS = (1, 2, 3, 4, 6)
+M = ORDERS[-1]
+#: Bytes of text in a chunk, and for which there is a part; a small corpus is cut into about ``CHUNKS`` chunks and ``PARTS`` parts.
+CHUNK, PART, CHUNKS, PARTS = 16 << 20, 32 << 20, 16, 12
+#: Bytes that are worked on at once, grams whose predictions are.
+WINDOW, SLICE = 1 << 20, 1 << 15
+#: Count added to both bits; AdaGrad rate, start weight, grams of a step, passes within a part, rounds of averaging over parts.
+DELTA, RATE, START, STEP, PASSES, ROUNDS = 0.15, 0.05, 0.3, 512, 2, 2
+#: Bytes before each text, and after it.
+PAD, END = 0xFE, 0xFF
+#: Bounds of stretched probability in the mixer and in the map, buckets of the map; a symbol's cost is a whole number of log10 / UNIT.
+LIMIT, BOUND, BUCKETS, UNIT = 12.0, 8.0, 65, 1 << 16
+
+N, GATES = len(ORDERS), (len(ORDERS) + 1) * 256
 _BYTE = np.arange(256)
 #: Node (1..255, the bits so far with a leading 1) and bit at each of the 8 steps of a byte.
 _NODE = np.stack([(1 << k) | (_BYTE >> (8 - k)) for k in range(8)], 1)
-_BIT = np.stack([(_BYTE >> (7 - k)) & 1 for k in range(8)], 1)
-_NIB = np.arange(16)
-_NIB_NODE = np.stack([(1 << k) | (_NIB >> (4 - k)) for k in range(4)], 1)
-_NIB_SIGN = np.stack([2 * ((_NIB >> (3 - k)) & 1) - 1 for k in range(4)], 1).astype(np.int8)
-N = len(ORDERS)
-CELLS = 16 << SLOT_BITS
-
-
-def _flat(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Joined bytes, each text after ``PAD`` zeros and before its end symbol; begin and end of what is coded."""
-    pad, end = b"\0" * PAD, b"\xff"
-    flat = np.frombuffer(b"".join([x for t in texts for x in (pad, t, end)]), np.uint8)
-    size = np.array([len(t) + PAD + 1 for t in texts], np.int64)
-    stop = np.cumsum(size)
-    return flat, stop - size + PAD, stop
-
-
-class Positions:
-    """Every coded byte with its context. Bytes of equal context (all that any predictor sees) are worked on once: ``at`` holds one
-    position of each kind, ``kind`` the kind of each coded byte."""
-
-    def __init__(self, flat: np.ndarray, coded: np.ndarray | None = None):
-        n = len(flat)
-        wide = np.zeros(n + 8, np.uint32)
-        wide[8:] = flat
-        prior = lambda k: wide[8 - k : n + 8 - k]
-        four = prior(1) | (prior(2) << np.uint32(8)) | (prior(3) << np.uint32(16)) | (prior(4) << np.uint32(24))
-        five = wide[3 : n + 3].astype(np.uint64)
-        lower = LOWER[flat]
-        outer = _SPACE[lower] | (lower == END) | (lower == 0)
-        edge = np.flatnonzero(outer)  # the word that a byte continues begins after the last outer byte before it
-        begin = np.zeros(n + 1, np.int64)
-        begin[edge + 1] = edge + 1
-        begin = np.maximum.accumulate(begin)[:-1]
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((lower.astype(np.uint64) + np.uint64(1)) * _power(_R, n, "r"), out=total[1:])
-        word = (total[:-1] - total[begin]) * _power(_RINV, n + 1, "inv")[begin]
-        word ^= word >> np.uint64(29)
-        word *= np.uint64(0xBF58476D1CE4E5B9)
-        if coded is None:
-            coded = np.arange(n)
-        key = (four.astype(np.uint64) | (five << np.uint64(32)) | (flat.astype(np.uint64) << np.uint64(40))) * np.uint64(_R)
-        key = ((key ^ (key >> np.uint64(29))) + word) * np.uint64(0x94D049BB133111EB)
-        self.kind, found = pd.factorize(key[coded])
-        first = np.empty(len(found), np.int64)
-        first[self.kind[::-1]] = coded[::-1]
-        self.at = first
-        at = self.at
-        self.byte, self.four, self.five = flat[at], four[at], five[at]
-        self.word = word[at]
-        self.gate = _CLASS[wide[at + 7]]
-
-    def slots(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Slots of the high and the low nibble in the context ``ORDERS[i]``."""
-        o = ORDERS[i]
-        if o == 0:
-            key = self.word
-        elif o < 4:
-            key = (self.four & np.uint32((1 << (8 * o)) - 1)).astype(np.uint64)
-        else:
-            key = self.four.astype(np.uint64) | (self.five << np.uint64(32))
-        first = mix(key + np.uint64((o + 1) * 0x9E3779B97F4A7C15 % 2**64))
-        return first, mix(first ^ (((self.byte >> 4).astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)))
-
-    def nibbles(self) -> tuple[np.ndarray, np.ndarray]:
-        return (self.byte >> 4).astype(np.int64), (self.byte & 15).astype(np.int64)
-
-    def cells(self):
-        """For each context, the cells (slot * 16 + nibble) of the high and the low nibble in a dense table."""
-        for i in range(N):
-            yield tuple(((x >> np.uint64(64 - SLOT_BITS)) << np.uint64(4)).astype(np.int64) | y for x, y in zip(self.slots(i), self.nibbles(), strict=True))
-
-
-def coded_bytes(flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Positions of what is coded: all but the zeros before each text."""
-    coded = np.ones(len(flat), bool)
-    coded[(begin[:, None] - 1 - np.arange(PAD)).reshape(-1)] = False
-    return np.flatnonzero(coded)
+_BIT = np.stack([(_BYTE >> (7 - k)) & 1 for k in range(8)], 1).astype(bool)
+_U = np.uint64
+
+
+def part_of(grams: np.ndarray, parts: int) -> np.ndarray:
+    """By the last three bytes of the context."""
+    return (mix(grams >> _U(8 * (M - 2))) % _U(parts)).astype(np.int64)
+
+
+def shorter(grams: np.ndarray, order: int) -> np.ndarray:
+    """The gram's last ``order`` bytes of context, and its byte."""
+    return grams if order == M else ((grams >> _U(8 * (M - order + 1))) << _U(8)) | (grams & _U(255))
+
+
+def windows(texts: list[bytes]):
+    """Grams of all coded bytes, in order, window by window: the byte last read is the highest of the context, so that sorted grams keep
+    every shorter context together."""
+    head, tail = bytes([PAD]) * 8, bytes([END])
+    flat = np.frombuffer(b"".join([head, *(x for t in texts for x in (head[:M], t, tail))]), np.uint8)
+    for a in range(8, len(flat), WINDOW):
+        part = flat[a - 7 : a + WINDOW]
+        eight = np.ndarray(len(part) - 7, np.dtype("<u8"), part.tobytes(), 0, (1,))[part[7:] != PAD]
+        yield (((eight << _U(8)) >> _U(8 * (8 - M))) << _U(8)) | (eight >> _U(56))
 
 
 class Chunk:
-    """Texts of a chunk in blocks, and its distinct slots (``keys``, by part): cells of a block point to rows of them."""
-
-    def __init__(self, texts: list[bytes], parts: int):
-        self.blocks = []
-        for a, b in blocks(texts, 1 << 20):
-            flat, begin, end = _flat(texts[a:b])
-            coded = coded_bytes(flat, begin)
-            self.blocks.append((a, b, Positions(flat, coded)))
-        at, keys, size = [], [], 0
-        for i in range(N):
-            codes, found = pd.factorize(np.concatenate([x >> np.uint64(16) for _, _, pos in self.blocks for x in pos.slots(i)] or [np.zeros(0, np.uint64)]))
-            at.append((codes + size).astype(np.int32))
-            keys.append(found)
-            size += len(found)
-        keys = np.concatenate(keys)
-        part = part_of(keys, parts)
+    """Distinct keys of a chunk in order of (part, key): grams, or tokens (``of`` gives the part), found window by window."""
+
+    def __init__(self, found: list[np.ndarray], of, parts: int):
+        codes, keys = pd.factorize(np.concatenate(found) if found else np.zeros(0, np.uint64))
+        part = of(keys, parts)
         order = np.lexsort([keys, part])
-        place = np.empty(size, np.int32)
-        place[order] = np.arange(size, dtype=np.int32)
-        self.keys, self.at = keys[order], [place[x] for x in at]
-        self.ends = np.searchsorted(part[order], np.arange(parts + 1))
-        cuts = np.cumsum([0, *(2 * len(pos.at) for _, _, pos in self.blocks)])
-        for k, (_, _, pos) in enumerate(self.blocks):
-            pos.found = [x[cuts[k] : cuts[k + 1]].reshape(2, -1) for x in self.at]
-        del self.at
-
-    def counts(self, texts: list[bytes], train: np.ndarray) -> np.ndarray:
-        """How often each nibble followed (a row a slot) in the training documents."""
-        out = np.zeros(len(self.keys) * 16, np.uint32)
-        for a, b, pos in self.blocks:
-            kind = pos.kind[np.repeat(train[a:b], [len(t) + 1 for t in texts[a:b]])]
-            times = np.bincount(kind, minlength=len(pos.at)).astype(np.uint32)
-            for found in pos.found:
-                for slot, nibble in zip(found, pos.nibbles(), strict=True):
-                    np.add.at(out, slot.astype(np.int64) * 16 + nibble, times)
-        return out.reshape(-1, 16)
-
-
-def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    return (keys % np.uint64(parts)).astype(np.int64)
-
-
-def stretch(counts: np.ndarray) -> np.ndarray:
-    """Node outputs (int8, in 1 / SCALE) from nibble counts: slot by slot 16 counts become 15 nodes, at 1 to 15."""
-    c = counts.reshape(-1, 16).astype(np.float32)
-    out = np.zeros(c.shape, np.int8)
-    for k in range(4):
-        half = c.reshape(len(c), 1 << k, 2, -1).sum(3)
-        s = np.log((half[:, :, 1] + DELTA) / (half[:, :, 0] + DELTA)) * SCALE
-        out[:, 1 << k : 2 << k] = np.clip(np.rint(s), -127, 127)
-    return out.reshape(-1)
-
-
-def paths(nodes: np.ndarray) -> np.ndarray:
-    """For each cell, the four outputs on the way to its nibble, signed towards the bit taken, as one 32-bit number."""
-    t = nodes.reshape(-1, 16)
-    return np.ascontiguousarray(t[:, _NIB_NODE] * _NIB_SIGN).reshape(-1, 4).view(np.uint32).reshape(-1)
+        self.place = np.empty(len(keys), np.int32)
+        self.place[order] = np.arange(len(keys), dtype=np.int32)
+        self.place = self.place[codes]
+        self.keys, self.part = keys[order], part[order]
+
+    def rows(self, kind: int, chunk: int, counts: np.ndarray) -> list[tuple]:
+        total = np.bincount(self.place, counts, len(self.keys)).astype(np.uint64)
+        parts, begin = np.unique(self.part, return_index=True)
+        return [(kind, p, chunk, b - a, pack_keys(self.keys[a:b]), _planes(total[a:b]), None, None) for p, a, b in zip(parts.tolist(), begin, [*begin[1:], len(self.keys)], strict=True)]
+
+
+def gram_windows(texts: list[bytes]) -> tuple[list, list]:
+    """(codes, distinct grams) of each window."""
+    codes, found = [], []
+    for grams in windows(texts):
+        c, u = pd.factorize(grams)
+        codes.append(c.astype(np.int32))
+        found.append(u)
+    return codes, found
+
+
+def _token_part(keys: np.ndarray, parts: int) -> np.ndarray:
+    return (keys % _U(parts)).astype(np.int64)
+
+
+def nodes(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(9, grams): how often the context of each of the sorted grams was followed by the first 0 to 8 bits of its byte."""
+    out = np.empty((9, len(grams)), np.float32)
+    for j in range(9):
+        prefix = grams >> _U(8 - j)
+        new = np.r_[True, prefix[1:] != prefix[:-1]]
+        out[j] = np.add.reduceat(counts, np.flatnonzero(new))[np.cumsum(new) - 1]
+    return out
+
+
+def summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct grams, where each of ``grams`` is among them, and their counts."""
+    found, at = np.unique(grams, return_inverse=True)
+    return found, at.astype(np.int32), np.bincount(at, counts, len(found))
+
+
+class Slots:
+    """Slots of a part's grams in all contexts. ``low``: sorted grams and counts of the contexts of two bytes."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.ndarray]):
+        self.byte, self.counts = (grams & _U(255)).astype(np.int64), counts
+        self.at, self.sums = [], []
+        for order in ORDERS:
+            own = shorter(grams, order)
+            if order <= 2:  # the slots of a short context are everywhere; only those that this part asks for are kept
+                short = low[0] if order == 2 else ((low[0] >> _U(16)) << _U(8)) | (low[0] & _U(255))
+                asked = np.unique(own)
+                found, _, total = summed(np.concatenate([short, asked]), np.concatenate([low[1], np.zeros(len(asked))]))
+                at = np.searchsorted(found, own).astype(np.int32)
+            else:
+                found, at, total = summed(own, counts)
+            self.at.append(at)
+            self.sums.append(nodes(found, total))
+
+    def outputs(self, which: np.ndarray, own: float) -> tuple[list[np.ndarray], np.ndarray]:
+        """For each context the outputs towards the bits taken, (grams, 8), and the gate of each bit; ``own`` occurrences of each gram are left
+        out."""
+        out, known = [], np.zeros((len(which), 8), np.int64)
+        for at, sums in zip(self.at, self.sums, strict=True):
+            n = sums[:, at[which]]
+            taken, other = n[1:] - np.float32(own), n[:-1] - n[1:]
+            known += (taken + other > 0).T
+            out.append(np.log((taken + np.float32(DELTA)) / (other + np.float32(DELTA))).T)
+        return out, known * 256 + _NODE[self.byte[which]]
 
 
 class Mixer:
-    """Gated weights, their AdaGrad state, and the adaptive map."""
+    """Gated weights, and the adaptive map's counts."""
 
     def __init__(self, weights: np.ndarray | None = None, seen: np.ndarray | None = None):
-        self.w = np.full((N, GATES * 256), START, np.float64) if weights is None else weights
-        self.g2 = np.full((N, GATES * 256), 1.0)
-        self.seen = np.zeros((256, BUCKETS, 2)) if seen is None else seen
-
-    def freeze(self) -> None:
-        """Weights along each byte's path, and the map's probability of the bit taken, for scoring."""
-        gate = np.arange(GATES)[:, None, None] * 256 + _NODE
-        self.path = (self.w[:, gate] / SCALE).reshape(N, GATES * 256, 8).astype(np.float32)
-        mid = 1 / (1 + np.exp(-(np.arange(BUCKETS) / 4 - 8)))
-        one = (self.seen[:, :, 1] + 32 * mid) / (self.seen.sum(2) + 32)
-        one = np.clip(one, 1 / 4096, 1 - 1 / 4096)
-        taken = np.where(_BIT[:, :, None] == 1, one[_NODE], 1 - one[_NODE][:, :, ::-1])
-        self.map = np.ascontiguousarray(taken.reshape(-1)).astype(np.float32)
+        self.w = np.full((N, GATES), START) if weights is None else weights.copy()
+        self.seen = np.zeros((256 * BUCKETS, 2)) if seen is None else seen
+        self.mass = np.zeros(GATES)
+
+    def mixed(self, outputs: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+        return np.clip(sum(self.w[i][gate] * outputs[i] for i in range(N)), -LIMIT, LIMIT)
+
+    def learn(self, slots: Slots, which: np.ndarray) -> None:
+        """Online, over the grams ``which``: step by step, predict, then move the weights down the gradient of the cost."""
+        past = np.full((N, GATES), 1e-3)
+        for turn in range(PASSES):
+            for a in range(0, len(which), SLICE):
+                outputs, gate = slots.outputs(which[a : a + SLICE], 1.0)
+                count = np.repeat(slots.counts[which[a : a + SLICE]], 8).reshape(gate.shape)
+                if not turn:
+                    self.mass += np.bincount(gate.reshape(-1), count.reshape(-1), GATES)
+                for b in range(0, len(gate), STEP):
+                    g, x = gate[b : b + STEP].reshape(-1), [v[b : b + STEP].reshape(-1) for v in outputs]
+                    miss = count[b : b + STEP].reshape(-1) / (1 + np.exp(self.mixed(x, g)))
+                    for i in range(N):
+                        grad = np.bincount(g, miss * x[i], GATES)
+                        past[i] += grad * grad
+                        self.w[i] += RATE * grad / np.sqrt(past[i])
+
+    def observe(self, slots: Slots, which: np.ndarray) -> None:
+        """Count for the map, with the weights as they are."""
+        for a in range(0, len(which), SLICE):
+            some = which[a : a + SLICE]
+            cell, bit = self._cells(self.mixed(*slots.outputs(some, 1.0)), slots.byte[some])
+            self.seen += np.bincount((cell * 2 + bit).reshape(-1), np.repeat(slots.counts[some], 8), self.seen.size).reshape(self.seen.shape)
 
     @staticmethod
-    def signed(tables: list[np.ndarray] | np.ndarray, pos: Positions):
-        """For each context, its outputs towards the bits taken, (kinds, 8). Tables: one a context, or one of the chunk's slots."""
-        dense = isinstance(tables, list)
-        cells = pos.cells() if dense else ([slot.astype(np.int64) * 16 + x for slot, x in zip(found, pos.nibbles(), strict=True)] for found in pos.found)
-        for i, (first, second) in enumerate(cells):
-            table = tables[i] if dense else tables
-            x = np.empty((len(first), 2), np.uint32)
-            x[:, 0] = np.take(table, first)
-            x[:, 1] = np.take(table, second)
-            yield i, x.view(np.int8).reshape(len(first), 8)
-
-    def log10(self, tables: list[np.ndarray], flat: np.ndarray, coded: np.ndarray, step: int = 1 << 16) -> np.ndarray:
-        """log10 probability of each coded byte; call ``freeze`` before."""
-        return self.cost(tables, Positions(flat, coded), step)
-
-    def cost(self, tables: list[np.ndarray] | np.ndarray, pos: Positions, step: int = 1 << 16) -> np.ndarray:
-        out = np.zeros(len(pos.at))
-        row = pos.gate * 256 + pos.byte
-        xs = [x for _, x in self.signed(tables, pos)]
-        for a in range(0, len(out), step):
-            z = np.zeros((len(row[a : a + step]), 8), np.float32)
-            for i in range(N):
-                z += np.take(self.path[i], row[a : a + step], axis=0) * xs[i][a : a + step]
-            np.clip(z, -8, 8, out=z)
-            cell = np.rint(z * 4 + 32).astype(np.int32)
-            cell += (pos.byte[a : a + step].astype(np.int32) * (8 * BUCKETS))[:, None] + (np.arange(8, dtype=np.int32) * BUCKETS)
-            np.negative(z, out=z)
-            np.exp(z, out=z)
-            z += 1
-            np.reciprocal(z, out=z)
-            z += np.take(self.map, cell)
-            z *= np.float32(0.5)
-            out[a : a + step] = np.log10(z.prod(1))
-        return out[pos.kind]
-
-    def learn(self, tables: np.ndarray, pos: Positions, which: np.ndarray, step: int = 2048) -> None:
-        """Online, over the coded bytes ``which``: block by block, predict, then move the weights down the gradient of the cost and count for
-        the map."""
-        kinds = pos.kind[which]
-        outputs = [x for _, x in self.signed(tables, pos)]
-        for a in range(0, len(kinds), step):
-            kind = kinds[a : a + step]
-            byte = pos.byte[kind]
-            g, bit = (pos.gate[kind][:, None] * 256 + _NODE[byte]).reshape(-1), _BIT[byte].reshape(-1)
-            x = [v[kind].astype(np.float32).reshape(-1) / np.float32(SCALE) for v in outputs]
-            z = np.clip(sum(self.w[i][g] * x[i] for i in range(N)), -8, 8)
-            miss = 1 / (1 + np.exp(z))
-            bucket = np.rint((np.where(bit == 1, z, -z) + 8) * 4).astype(np.int64)
-            self.seen += np.bincount(((g & 255) * BUCKETS + bucket) * 2 + bit, minlength=self.seen.size).reshape(self.seen.shape)
-            for i in range(N):
-                grad = np.bincount(g, miss * x[i], GATES * 256)
-                self.g2[i] += grad * grad
-                self.w[i] += RATE * grad / np.sqrt(self.g2[i])
+    def _cells(z: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bit = _BIT[byte]
+        bucket = np.rint((np.clip(np.where(bit, z, -z), -BOUND, BOUND) + BOUND) * ((BUCKETS - 1) / (2 * BOUND))).astype(np.int64)
+        return _NODE[byte] * BUCKETS + bucket, bit
+
+    def costs(self, slots: Slots, which: np.ndarray) -> np.ndarray:
+        """Cost of each of the grams, in log10 / UNIT."""
+        middle = 1 / (1 + np.exp(-np.linspace(-BOUND, BOUND, BUCKETS)))
+        one = np.clip((self.seen[:, 1] + 32 * np.tile(middle, 256)) / (self.seen.sum(1) + 32), 2.0**-16, 1 - 2.0**-16)
+        out = np.empty(len(which), np.uint32)
+        for a in range(0, len(which), SLICE):
+            some = which[a : a + SLICE]
+            z = self.mixed(*slots.outputs(some, 0.0))
+            cell, bit = self._cells(z, slots.byte[some])
+            refined = np.where(bit, one[cell], 1 - one[cell])
+            out[a : a + SLICE] = np.rint(-np.log10((1 / (1 + np.exp(-z)) + refined) / 2).sum(1) * UNIT)
+        return out
 
 
 def _zstd(x: bytes) -> bytes:
@@ -287,257 +231,275 @@ def _unplanes(blob: bytes, n: int, dtype) -> np.ndarray:
 
 def pack_keys(keys: np.ndarray) -> bytes:
     """Sorted keys, as differences."""
-    return _planes(np.diff(keys, prepend=np.uint64(0)))
+    return _planes(np.diff(keys, prepend=_U(0)))
 
 
 def unpack_keys(blob: bytes, n: int) -> np.ndarray:
     return np.cumsum(_unplanes(blob, n, np.uint64), dtype=np.uint64)
 
 
-def pack_counts(counts: np.ndarray) -> bytes:
-    """Rows of 16 counts: how many are not zero (8 bytes), how far each is from the one before, and what it is."""
-    flat = counts.reshape(-1)
-    at = np.flatnonzero(flat)
-    where = _planes(np.diff(at, prepend=0).astype(np.uint32))
-    return len(at).to_bytes(8, "little") + len(where).to_bytes(8, "little") + where + _planes(flat[at])
+def _texts(col) -> list[bytes]:
+    return [(t or "").encode("utf-8", "surrogatepass") for t in col]
+
+
+def _pack(rows: list[tuple]) -> bytes:
+    import pyarrow as pa
 
+    ids, texts, train = zip(*rows, strict=True)
+    batch = pa.record_batch([pa.array(ids, pa.string(), from_pandas=True), pa.array(texts, pa.large_binary()), pa.array([bool(x) for x in train])], names=["i", "t", "x"])
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(batch)
+    return out.getvalue().to_pybytes()
 
-def unpack_counts(blob: bytes, n: int) -> np.ndarray:
-    k, cut = int.from_bytes(blob[:8], "little"), 16 + int.from_bytes(blob[8:16], "little")
-    out = np.zeros(n * 16, np.uint32)
-    out[np.cumsum(_unplanes(blob[16:cut], k, np.uint32), dtype=np.int64)] = _unplanes(blob[cut:], k, np.uint32)
-    return out.reshape(-1, 16)
 
+def _unpack(data: bytes) -> tuple[list, list[bytes]]:
+    import pyarrow as pa
 
-def _texts(col) -> list[bytes]:
-    return [(t or "").encode("utf-8", "surrogatepass") for t in col]
+    ids, texts, _ = pa.ipc.open_stream(data).read_all().columns
+    return ids.to_pylist(), texts.to_pylist()
 
 
-_ROWS = "kind int, part long, chunk long, n long, keys binary, blob binary"
+GRAM, TOKEN = 1, 2
+_CHUNKED = "kind int, part long, chunk long, n long, keys binary, counts binary, uri string, at long"
+_TOTALS = "kind int, part long, n long, total long, keys binary, counts binary, chunks array<long>, sizes array<long>, blobs array<binary>"
 
 
 def _chunked(docs: DataFrame, most: int, parts: int) -> DataFrame:
-    """One pass over ``docs`` (doc_id, text, train): for each chunk its documents (kind 0) and, by part, its distinct slots with their counts
-    in training documents (kind 1); of training documents, token counts (kind 2: part is the token) and their number (kind 3)."""
+    """One pass over ``docs`` (doc_id, text, train): for each chunk where its documents are kept (kind 0; n: bytes, part: training documents), and by
+    part its distinct grams and tokens with their counts in training documents."""
+    folder = fresh_path(docs.sparkSession, "lmtext")
 
     def run(it):
         from pyspark import TaskContext
 
-        chunk = TaskContext.get().partitionId() << 32
+        worker_tables()
+        chunk, out = TaskContext.get().partitionId() << 32, None
         held: list[tuple] = []
-        words: list = []
-        size = n_train = 0
-        cols = ["kind", "part", "chunk", "n", "keys", "blob"]
-
-        def merged():
-            h, n = np.concatenate([x for x, _ in words]), np.concatenate([x for _, x in words])
-            u, inv = np.unique(h, return_inverse=True)
-            return u, np.bincount(inv, n, len(u)).astype(np.int64)
-
-        def tokens(u, n):
-            return pd.DataFrame({"kind": 2, "part": u.view(np.int64), "chunk": 0, "n": n, "keys": None, "blob": None}, columns=cols)
+        size = 0
 
         def flush():
-            texts, train = [t for _, t, _ in held], np.array([x for _, _, x in held], bool)
+            nonlocal out
+            out = out or Writer(folder, ".texts")
             data = _pack(held)
-            yield pd.DataFrame([(0, -1, chunk, len(data), None, _zstd(data))], columns=cols)
-            c = Chunk(texts, parts)
-            counts = c.counts(texts, train) if train.any() else None
-            for p in range(parts):
-                a, b = c.ends[p], c.ends[p + 1]
-                if a < b:
-                    yield pd.DataFrame([(1, p, chunk, b - a, pack_keys(c.keys[a:b]), None if counts is None else pack_counts(counts[a:b]))], columns=cols)
+            texts, train = [t for _, t, _ in held], np.array([x for _, _, x in held], bool)
+            rows = [(0, int(train.sum()), chunk, len(data), None, None, out.uri, out.write(data))]
+            codes, found = gram_windows(texts)
+            ends, at, counts = np.cumsum([len(t) + 1 for t in texts]), 0, []
+            for c, u in zip(codes, found, strict=True):
+                doc = np.searchsorted(ends, np.arange(at, at + len(c)), "right") if not train.all() else None
+                counts.append(np.bincount(c if doc is None else c[train[doc]], minlength=len(u)))
+                at += len(c)
+            del codes
+            rows += Chunk(found, part_of, parts).rows(GRAM, chunk, np.concatenate(counts))
+            hashes, words = word_hashes(texts)
+            rows += Chunk([hashes], _token_part, parts).rows(TOKEN, chunk, np.repeat(train, words))
+            return pd.DataFrame(rows, columns=[x.split()[0] for x in _CHUNKED.split(", ")])
 
         for pdf in it:
-            train = pdf["train"].to_numpy(bool)
-            texts = _texts(pdf["text"])
-            h, _ = word_hashes([t for t, x in zip(texts, train, strict=True) if x])
-            words.append(tuple(x.astype(y) for x, y in zip(np.unique(h, return_counts=True), (np.uint64, np.int64), strict=True)))
-            n_train += int(train.sum())
-            if len(words) == 16:
-                words = [merged()]
-                if len(words[0][0]) > 1 << 20:  # bounded memory: pass on what is there
-                    yield tokens(*words.pop())
-            for i, t, x in zip(pdf["doc_id"], texts, train, strict=True):
+            for i, t, x in zip(pdf["doc_id"], _texts(pdf["text"]), pdf["train"], strict=True):
                 held.append((i, t, x))
                 size += len(t) + 1
                 if size >= most:
-                    yield from flush()
+                    yield flush()
                     held, size, chunk = [], 0, chunk + 1
         if held:
-            yield from flush()
-        if words:
-            yield tokens(*merged())
-        if n_train:
-            yield pd.DataFrame([(3, 0, 0, n_train, None, None)], columns=cols)
+            yield flush()
+        if out is not None:
+            out.close()
 
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "train").mapInPandas(run, _ROWS)
-
-
-def _pack(rows: list[tuple]) -> bytes:
-    import pyarrow as pa
-
-    ids, texts, train = zip(*rows, strict=True)
-    batch = pa.record_batch([pa.array(ids, pa.string(), from_pandas=True), pa.array(texts, pa.binary()), pa.array([bool(x) for x in train])], names=["i", "t", "x"])
-    out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, batch.schema) as w:
-        w.write_batch(batch)
-    return out.getvalue().to_pybytes()
-
-
-def _unpack(data: bytes) -> tuple[list, list[bytes], np.ndarray]:
-    import pyarrow as pa
-
-    ids, texts, train = pa.ipc.open_stream(data).read_all().columns
-    return ids.to_pylist(), texts.to_pylist(), np.array(train.to_pylist(), bool)
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "train").mapInPandas(run, _CHUNKED)
 
 
 def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one part: what all training documents have for the slots of each chunk (kind 1), and the part's table (kind 4)."""
+    """One part: its keys with the counts of all, and for each chunk (tables of a model have none) where its keys are among them or, for
+    tokens, their counts."""
     keys = [unpack_keys(k, n) for k, n in zip(pdf["keys"], pdf["n"], strict=True)]
-    codes, found = pd.factorize(np.concatenate(keys))
-    cuts = np.cumsum([0, *map(len, keys)])
-    total = np.zeros((len(found), 16), np.int64)
-    for k, (blob, n) in enumerate(zip(pdf["blob"], pdf["n"], strict=True)):
-        if blob is not None:
-            total[codes[cuts[k] : cuts[k + 1]]] += unpack_counts(blob, n)  # slots of a row are distinct
-    total = np.minimum(total, 2**32 - 1).astype(np.uint32)
-    part, rows = int(pdf["part"].iloc[0]), []
-    for k, (kind, chunk, n) in enumerate(zip(pdf["kind"], pdf["chunk"], pdf["n"], strict=True)):
-        if kind == 1:
-            rows.append((1, part, chunk, n, None, pack_counts(total[codes[cuts[k] : cuts[k + 1]]])))
-    if not (pdf["kind"] == 4).any():
-        order = np.argsort(found)
-        order = order[total[order].any(1)]
-        rows.append((4, part, -1, len(order), pack_keys(found[order]), pack_counts(total[order])))
-    return pd.DataFrame(rows, columns=["kind", "part", "chunk", "n", "keys", "blob"])
-
-
-def _looked_up(chunked: DataFrame, table: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Chunks with the counts of their slots (rows of a chunk together, for ``_each_chunk``), and the table of all slots."""
-    slots = chunked.where("kind = 1")
-    totals = materialize((slots if table is None else slots.unionByName(table)).groupBy("part").applyInPandas(_summed, _ROWS), "lmtotals")
-    if table is None:
-        table = materialize(totals.where("kind = 4"), "lmtable")
-    both = chunked.where("kind = 0").unionByName(totals.where("kind = 1")).drop("keys")
-    rows = materialize(both.groupBy("chunk").agg(F.max(F.when(F.col("kind") == 0, F.struct("n", "blob"))).alias("head"), F.sort_array(F.collect_list(F.when(F.col("kind") == 1, F.struct("part", "n", "blob")))).alias("slots")), "lmchunks")
-    discard(chunked)
-    discard(totals)
-    return rows, table
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    counts = np.concatenate([_unplanes(c, n, np.uint64) for c, n in zip(pdf["counts"], pdf["n"], strict=True)])
+    total = np.zeros(len(found), np.uint64)
+    np.add.at(total, at, counts)
+    kind, chunks, sizes, blobs, cut = int(pdf["kind"].iloc[0]), [], [], [], 0
+    for chunk, own in zip(pdf["chunk"], keys, strict=True):
+        place = at[cut : cut + len(own)]
+        cut += len(own)
+        if chunk >= 0:
+            chunks.append(chunk)
+            sizes.append(len(own))
+            blobs.append(_planes(np.diff(place, prepend=0).astype(np.uint32)) if kind == GRAM else _planes(total[place]))
+    row = {"kind": kind, "part": int(pdf["part"].iloc[0]), "n": len(found), "total": int(total.sum()), "keys": pack_keys(found), "counts": _planes(total), "chunks": chunks, "sizes": sizes, "blobs": blobs}
+    return pd.DataFrame({k: [v] for k, v in row.items()})
+
+
+def _totals(chunked: DataFrame, model: DataFrame | None = None) -> DataFrame:
+    rows = chunked.where("kind > 0").select("kind", "part", "chunk", "n", "keys", "counts")
+    if model is not None:
+        rows = rows.unionByName(model.select("kind", "part", F.lit(-1).cast("long").alias("chunk"), "n", "keys", "counts"))
+    return materialize(rows.groupBy("kind", "part").applyInPandas(_summed, _TOTALS), "lmtotals")
+
+
+def _low(totals: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted grams of two bytes of context, with their counts: at most 256**3."""
+
+    def run(it):
+        for pdf in it:
+            for n, keys, counts in zip(pdf["n"], pdf["keys"], pdf["counts"], strict=True):
+                found, _, total = summed(shorter(unpack_keys(keys, n), 2), _unplanes(counts, n, np.uint64))
+                yield pd.DataFrame({"g": found.astype(np.int64), "c": total.astype(np.int64)})
 
+    rows = totals.where(F.col("kind") == GRAM).select("n", "keys", "counts").mapInPandas(run, "g long, c long")
+    got = rows.groupBy("g").agg(F.sum("c").alias("c")).where("c > 0").toPandas().sort_values("g")
+    return got["g"].to_numpy(np.int64).view(np.uint64), got["c"].to_numpy(float)
 
-def _each_chunk(it, parts: int):
-    """(ids, texts, train, Chunk, counts) of each chunk in rows by ``_looked_up``."""
-    for pdf in it:
-        for head, slots in zip(pdf["head"], pdf["slots"], strict=True):
-            ids, texts, train = _unpack(_unzstd(head["blob"], head["n"]))
-            yield ids, texts, train, Chunk(texts, parts), np.concatenate([unpack_counts(x["blob"], x["n"]) for x in slots])
 
+def _trained(keys: bytes, counts: bytes, n: int, low) -> tuple[Slots, np.ndarray]:
+    """Slots of a part, and its training grams in hashed order."""
+    grams, c = unpack_keys(keys, n), _unplanes(counts, n, np.uint64).astype(float)
+    which = np.flatnonzero(c)
+    return Slots(grams, c, low), which[np.argsort(mix(grams[which]))]
 
-def _sum_blobs(rows: DataFrame, dtype: str, finish) -> DataFrame:
-    """Sums of blobs by key, streamed: a task holds one array for each of its keys. finish(key, {kind: sum}) gives the result's blobs."""
+
+def _over_parts(totals: DataFrame, low, weights: np.ndarray | None, observe: bool) -> np.ndarray | None:
+    """Sum over parts of the weights by mass, learnt from ``weights`` on, and of the masses; or of the map's counts."""
+    bc = totals.sparkSession.sparkContext.broadcast((low, weights))
 
     def run(it):
-        total: dict = {}
+        worker_tables()
+        total = 0
+        for pdf in it:
+            for n, keys, counts in zip(pdf["n"], pdf["keys"], pdf["counts"], strict=True):
+                low, weights = bc.value
+                mixer, (slots, which) = Mixer(weights), _trained(keys, counts, n, low)
+                if not len(which):
+                    continue
+                if observe:
+                    mixer.observe(slots, which)
+                    total = total + mixer.seen.reshape(-1)
+                else:
+                    mixer.learn(slots, which)
+                    total = total + np.concatenate([(mixer.w * mixer.mass).reshape(-1), mixer.mass])
+        if not np.isscalar(total):
+            yield pd.DataFrame({"x": [_zstd(total.tobytes())]})
+
+    def add(it):
+        total = 0
         for pdf in it:
-            for kind, key, n, blob in pdf[["kind", "key", "n", "blob"]].itertuples(index=False, name=None):
-                x = np.frombuffer(_unzstd(blob, n), dtype)
-                at = (key, kind)
-                total[at] = total[at] + x if at in total else x.astype(np.float64 if dtype == "f8" else np.uint64)
-        for key in sorted({k for k, _ in total}):
-            for name, blob in finish(key, {k: v for (kk, k), v in total.items() if kk == key}).items():
-                yield pd.DataFrame({"name": [name], "key": [key], "blob": [blob]})
+            for x in pdf["x"]:
+                total = total + np.frombuffer(_unzstd(x, 8 * ((N + 1) * GATES if not observe else 512 * BUCKETS)))
+        if not np.isscalar(total):
+            yield pd.DataFrame({"x": [_zstd(total.tobytes())]})
 
-    return rows.repartition("key").mapInPandas(run, "name string, key long, blob binary")
+    sums = totals.where(F.col("kind") == GRAM).select("n", "keys", "counts").mapInPandas(run, "x binary")
+    got = sums.repartition(1).mapInPandas(add, "x binary").collect()  # a fixed size for each task
+    return np.frombuffer(_unzstd(bytes(got[0]["x"]), 8 * ((N + 1) * GATES if not observe else 512 * BUCKETS))) if got else None
 
 
 def train_model(docs: DataFrame, train=None) -> dict:
-    """Learn from the rows of ``docs`` (doc_id, text) where ``train`` holds (all by default): returns weights and map, the tables of slots and
-    of token counts (h, c), and the chunks of ``docs`` with what they need of the slots."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    """Learn from the rows of ``docs`` (doc_id, text) where ``train`` holds (all by default): returns weights and map, the table of grams and
+    tokens by part, and what is needed to score ``docs`` itself."""
+    small_batches(docs.sparkSession)
     docs = docs.withColumn("train", F.lit(True) if train is None else train)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
-    most, parts = max(1 << 12, min(CHUNK, size // CHUNKS)), max(4, size // PART)
-    got = materialize(_chunked(docs, most, parts), "lmcounts")
-    vocab = materialize(got.where("kind = 2").groupBy(F.col("part").alias("h")).agg(F.sum("n").alias("c")), "lmvocab")
-    ends = got.where("kind = 3").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rows, table = _looked_up(got)
-    n, v = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-
-    def learn(it):
-        mixer, size = Mixer(), 0
-        for _, texts, train, chunk, counts in _each_chunk(it, parts):
-            if not train.any():
-                continue
-            tables = paths(stretch(counts - np.minimum(counts, chunk.counts(texts, train))))  # what the others have
-            for a, b, pos in chunk.blocks:
-                which = np.repeat(train[a:b], [len(t) + 1 for t in texts[a:b]])
-                mixer.learn(tables, pos, which)
-                size += int(which.sum())
-        if size:
-            both = np.concatenate([(mixer.w * size).reshape(-1), [size], mixer.seen.reshape(-1)])
-            yield pd.DataFrame({"kind": [0], "key": [0], "n": [both.nbytes], "blob": [_zstd(both.tobytes())]})
-
-    sums = _sum_blobs(rows.mapInPandas(learn, "kind int, key long, n long, blob binary"), "f8", lambda _, s: {"sum": _zstd(s[0].tobytes())}).collect()
-    mixer = Mixer()
-    if sums:
-        nw = mixer.w.size
-        both = np.frombuffer(_unzstd(bytes(sums[0]["blob"]), 8 * (nw + 1 + mixer.seen.size)))
-        mixer = Mixer((both[:nw] / both[nw]).reshape(mixer.w.shape), both[nw + 1 :].reshape(mixer.seen.shape))
-    hot = vocab.orderBy(F.col("c").desc(), "h").limit(HOT).toPandas()
-    order = np.argsort(hot["h"].to_numpy(np.int64).view(np.uint64), kind="stable")
-    return {"rows": rows, "table": table, "most": most, "parts": parts, "weights": mixer.w, "seen": mixer.seen, "vocab": vocab, "n": int(n + ends), "v": int(v + (ends > 0)), "ends": int(ends),
-            "hot": hot["h"].to_numpy(np.int64).view(np.uint64)[order], "hot_c": hot["c"].to_numpy(np.int64)[order]}
+    most, parts = max(1 << 12, min(CHUNK, size // CHUNKS)), max(PARTS, size // PART)
+    chunked = materialize(_chunked(docs, most, parts), "lmchunks")
+    totals = _totals(chunked)
+    refs = materialize(chunked.where("kind = 0").select("chunk", "uri", "at", "n", "part"), "lmrefs")
+    discard(chunked)
+    ends = refs.agg(F.coalesce(F.sum("part"), F.lit(0))).first()[0]
+    tokens = totals.where(F.col("kind") == TOKEN)
+    n = tokens.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    low = _low(totals)
+    weights, mixer = None, Mixer()
+    for _ in range(ROUNDS):
+        got = _over_parts(totals, low, weights, False)
+        if got is not None:
+            summed_w, mass = got[:-GATES].reshape(N, GATES), got[-GATES:]
+            weights = np.round(np.where(mass > 0, summed_w / np.maximum(mass, 1), START), 9)  # of sums in any order
+    if weights is not None:
+        mixer = Mixer(weights, _over_parts(totals, low, weights, True).reshape(-1, 2))
+    return {"refs": refs, "totals": totals, "most": most, "parts": parts, "low": low, "weights": mixer.w, "seen": mixer.seen, "n": int(n + ends), "v": int(_distinct(tokens) + (ends > 0)), "ends": int(ends), "id": docs.schema["doc_id"].dataType}
+
+
+def _distinct(tokens: DataFrame) -> int:
+    """Tokens that training documents have."""
+
+    def run(it):
+        for pdf in it:
+            yield pd.DataFrame({"v": [int(np.count_nonzero(_unplanes(c, n, np.uint64))) for n, c in zip(pdf["n"], pdf["counts"], strict=True)]})
+
+    return tokens.select("n", "counts").mapInPandas(run, "v long").agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]
 
 
 def score_documents(docs: DataFrame | None, m: dict) -> DataFrame:
-    """Score every row of ``docs`` (doc_id, text; null text as empty), or without it of what ``train_model`` was given."""
-    spark = m["vocab"].sparkSession
+    """Score every row of ``docs`` (doc_id, text), or without it of what ``train_model`` was given."""
+    spark = m["totals"].sparkSession
     small_batches(spark)
-    parts = m["parts"]
-    rows = m["rows"] if docs is None else _looked_up(materialize(_chunked(docs.withColumn("train", F.lit(False)), m["most"], parts), "lmslots"), m["table"])[0]
-    bc = spark.sparkContext.broadcast({k: m[k] for k in ("weights", "seen", "hot", "hot_c")})
+    parts, refs, totals = m["parts"], m["refs"], m["totals"]
+    id_type = m["id"] if docs is None else docs.schema["doc_id"].dataType
+    if docs is not None:
+        chunked = materialize(_chunked(docs.withColumn("train", F.lit(False)), m["most"], parts), "lmslots")
+        refs, totals = chunked.where("kind = 0").select("chunk", "uri", "at", "n"), _totals(chunked, m["totals"])
+    bc = spark.sparkContext.broadcast({k: m[k] for k in ("weights", "seen", "low")})
     base = m["n"] + 0.1 * (m["v"] + 1)
     end_score, end_known = float(np.log10((m["ends"] + 0.1) / base)), int(m["ends"] > 0)
 
-    def run(it):
-        from pyspark import TaskContext
-
-        rid = TaskContext.get().partitionId() << 40
+    def answer(it):
+        worker_tables()
         mixer = Mixer(bc.value["weights"], bc.value["seen"])
-        mixer.freeze()
-        hot, c = bc.value["hot"], bc.value["hot_c"]
-        log_c = np.log10((c + 0.1) / base)
-        for ids, texts, _, chunk, slots in _each_chunk(it, parts):
-            tables = paths(stretch(slots))
-            out = {k: [] for k in ("rid", "n_tokens", "known", "base", "score", "bytes", "h")}
-            for a, b, pos in chunk.blocks:
-                total = np.concatenate([[0.0], np.cumsum(mixer.cost(tables, pos))])
-                end = np.cumsum([len(t) + 1 for t in texts[a:b]])
-                out["score"].append(total[end] - total[np.concatenate([[0], end[:-1]])])
-                h, counts = word_hashes(texts[a:b])
-                at = np.minimum(np.searchsorted(hot, h), max(0, len(hot) - 1))
-                hit = hot[at] == h if len(hot) else np.zeros(len(h), bool)
-                value = np.where(hit, log_c[at], 0.0) if len(hot) else np.zeros(len(h))
-                stop = np.cumsum(counts)
-                sums, hits = np.concatenate([[0.0], np.cumsum(value)]), np.concatenate([[0], np.cumsum(hit)])
-                out["base"].append(sums[stop] - sums[stop - counts] + end_score)
-                out["known"].append(hits[stop] - hits[stop - counts] + end_known)
-                out["n_tokens"].append(counts + 1)
-                out["h"] += [x[~y].view(np.int64) for x, y in zip(np.split(h, stop[:-1]), np.split(hit, stop[:-1]), strict=True)]
-                out["bytes"].append(np.array([len(t) for t in texts[a:b]]))
-            k = len(texts)
-            yield pd.DataFrame({"rid": rid + np.arange(k), "doc_id": ids, **{x: np.concatenate(out[x]) if out[x] else np.zeros(0) for x in ("n_tokens", "known", "base", "score", "bytes")}, "h": out["h"]})
-            rid += k
-
-    got = materialize(rows.mapInPandas(run, "rid long, doc_id string, n_tokens long, known long, base double, score double, bytes long, h array<long>"), "lmscores")
-    rare = got.select("rid", F.explode("h").alias("h")).groupBy("rid", "h").agg(F.count("*").alias("k")).join(m["vocab"], "h", "left")
-    rare = rare.groupBy("rid").agg(F.sum(F.col("k") * F.log10((F.coalesce("c", F.lit(0)) + 0.1) / base)).alias("rare_base"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("rare_known"))
-    out = got.drop("h").join(rare, "rid", "left").withColumn("doc_id", F.col("doc_id").cast("long"))
+        for pdf in it:
+            for row in pdf.itertuples(index=False):
+                if not len(row.chunks):
+                    continue
+                grams, counts = unpack_keys(row.keys, row.n), _unplanes(row.counts, row.n, np.uint64).astype(float)
+                cost = mixer.costs(Slots(grams, counts, bc.value["low"]), np.arange(len(grams)))
+                for chunk, size, blob in zip(row.chunks, row.sizes, row.blobs, strict=True):
+                    yield pd.DataFrame({"chunk": [chunk], "kind": [GRAM], "part": [row.part], "n": [size], "blob": [_planes(cost[np.cumsum(_unplanes(blob, size, np.uint32))])]})
+
+    costs = totals.where(F.col("kind") == GRAM).select("part", "n", "keys", "counts", "chunks", "sizes", "blobs").mapInPandas(answer, "chunk long, kind int, part long, n long, blob binary")
+    tokens = totals.where(F.col("kind") == TOKEN).select("part", F.explode(F.arrays_zip("chunks", "sizes", "blobs")).alias("x")).select(F.col("x.chunks").alias("chunk"), F.lit(TOKEN).alias("kind"), "part", F.col("x.sizes").alias("n"), F.col("x.blobs").alias("blob"))
+    where = refs.select("chunk", F.lit(0).alias("kind"), F.col("at").alias("part"), "n", F.col("uri").cast("binary").alias("blob"))
+    both = where.unionByName(costs).unionByName(tokens).repartition("chunk").sortWithinPartitions("chunk", "kind", "part")
+
+    def finish(ref, costs: list[np.ndarray], counts: list[np.ndarray], ranges: Ranges) -> pd.DataFrame:
+        uri, at, n = ref
+        ids, texts = _unpack(ranges.read(uri, at, n))
+        codes, found = gram_windows(texts)
+        place, cost = Chunk(found, part_of, parts).place, np.concatenate(costs)
+        ends, done, cut, at_ends, total = np.cumsum([len(t) + 1 for t in texts]), 0, 0, [], 0
+        for c, u in zip(codes, found, strict=True):
+            so_far = np.cumsum(cost[place[cut : cut + len(u)]].astype(np.int64)[c])
+            own = ends[(ends > done) & (ends <= done + len(c))] - done - 1
+            at_ends.append(total + so_far[own])
+            cut, done, total = cut + len(u), done + len(c), total + int(so_far[-1])
+        score = np.diff(np.concatenate(at_ends), prepend=0) / -UNIT
+        hashes, words = word_hashes(texts)
+        c = np.concatenate([*counts, np.zeros(0, np.uint64)])[Chunk([hashes], _token_part, parts).place].astype(float)
+        stop = np.cumsum(words)
+        logs, known = np.concatenate([[0.0], np.cumsum(np.log10((c + 0.1) / base))]), np.concatenate([[0], np.cumsum(c > 0)])
+        return pd.DataFrame({"doc_id": ids, "n_tokens": words + 1, "n_known": known[stop] - known[stop - words] + end_known, "base_score": logs[stop] - logs[stop - words] + end_score, "score": score, "bytes": [len(t) for t in texts]})
+
+    def score(it):
+        worker_tables()
+        ranges, now, ref = Ranges(), None, None
+        got: dict[int, list] = {GRAM: [], TOKEN: []}
+        for pdf in it:
+            for row in pdf.itertuples(index=False):
+                if row.chunk != now:
+                    if now is not None:
+                        yield finish(ref, got[GRAM], got[TOKEN], ranges)
+                    now, got = row.chunk, {GRAM: [], TOKEN: []}
+                if row.kind == 0:
+                    ref = (row.blob.decode(), row.part, row.n)
+                else:
+                    got[row.kind].append(_unplanes(row.blob, row.n, np.uint32 if row.kind == GRAM else np.uint64))
+        if now is not None:
+            yield finish(ref, got[GRAM], got[TOKEN], ranges)
+        ranges.close()
+
+    out = both.mapInPandas(score, "doc_id string, n_tokens long, n_known long, base_score double, score double, bytes long").withColumn("doc_id", F.col("doc_id").cast(id_type))
     return out.select(
-        "doc_id", (crc_mod(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"), F.lit(m["n"]).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score", (-F.col("score") * float(np.log2(10)) / F.greatest(F.col("bytes"), F.lit(1))).alias("bits_per_byte"),
+        "doc_id", (crc_mod(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(m["n"]).cast("long").alias("train_tokens"), "base_score", "score",
+        (-F.col("score") * float(np.log2(10)) / F.greatest(F.col("bytes"), F.lit(1))).alias("bits_per_byte"),
     )
 
 

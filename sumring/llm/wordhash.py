@@ -6,6 +6,8 @@ A word is a maximal run of bytes outside ``\\x20 \\x09-\\x0D`` after lower-casin
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 _R = 0x9E3779B97F4A7C15 | 1
@@ -14,6 +16,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -35,8 +38,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words in order, number of words of each text)."""
+def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     flat = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     if not len(flat):
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
@@ -53,6 +55,32 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return mix(h), np.diff(np.searchsorted(begin, ends), prepend=0)
 
 
+def _pieces(text: bytes, most: int):
+    """Cut a text after white space, into pieces of about ``most`` bytes (more only where one word is longer)."""
+    at = 0
+    while len(text) - at > most:
+        gap = _GAP.search(text, at + most)
+        if gap is None:
+            break
+        yield text[at : gap.end()]
+        at = gap.end()
+    yield text[at:]
+
+
+def word_hashes(texts: list[bytes], most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words in order, number of words of each text). Works on about ``most`` bytes at a time, long texts in pieces."""
+    pieces, owner = [], []
+    for i, t in enumerate(texts):
+        for p in (t,) if len(t) <= most else _pieces(t, most):
+            pieces.append(p)
+            owner.append(i)
+    got = [_hashes(pieces[a:b]) for a, b in blocks(pieces, most)]
+    if not got:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    counts = np.bincount(owner, np.concatenate([c for _, c in got]), len(texts)).astype(np.int64)
+    return np.concatenate([h for h, _ in got]), counts
+
+
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the ``k``-word shingles of one text; of fewer words (at least one), of the whole sequence."""
     n = len(words)

@@ -72,40 +72,76 @@ def test_lm(spark, docs):
     assert lm.score_documents(empty(spark), lm.train_model(empty(spark))).count() == 0
 
 
-def test_lm_keeps_every_context_and_learns_on_every_document(spark, docs):
-    train = docs.where(lm.crc_mod(F.col("doc_id"), 10) != 0)
-    m = lm.train_model(train)
-    texts = [(r["text"] or "").encode() for r in train.collect()]
-    assert m["seen"].sum() == 8 * sum(len(t) + 1 for t in texts)
+def brute_lm(train, texts, weights, seen):
+    """log10 probabilities of ``texts`` bit by bit, from the definitions."""
     slots = {}
-    for t in texts:
-        lower, begin = t.lower(), 0
-        for at, byte in enumerate(t + b"\xff"):
-            before = b"\0" * 6 + t[:at]
+    for t in train:
+        flat = b"\xfe" * 6 + t + b"\xff"
+        for at in range(6, len(flat)):
             for o in lm.ORDERS:
-                key = (o, before[-o:] if o else lower[begin:at])
-                for slot, nibble in ((key, byte >> 4), ((*key, byte >> 4), byte & 15)):
-                    slots.setdefault(slot, [0] * 16)[nibble] += 1
-            if byte in b" \t\n\x0b\x0c\r":
-                begin = at + 1
-    table = m["table"].collect()
-    got = [lm.unpack_counts(bytes(r["blob"]), r["n"]).tolist() for r in table]
-    assert sorted(x for rows in got for x in rows) == sorted(slots.values())
-    both = [lm.score_documents(None, m), lm.score_documents(train, m)]
-    a, b = ([(r["doc_id"], round(r["score"], 4)) for r in x.collect()] for x in both)
-    assert sorted(a, key=str) == sorted(b, key=str)
+                slots.setdefault((o, flat[at - o : at]), []).append(f"{flat[at]:08b}")
+    out = []
+    for t in texts:
+        flat, total = b"\xfe" * 6 + t + b"\xff", 0.0
+        for at in range(6, len(flat)):
+            bits, cost = f"{flat[at]:08b}", 0.0
+            for k in range(8):
+                node, x, known = int("1" + bits[:k], 2), [], 0
+                for o in lm.ORDERS:
+                    same = [b for b in slots.get((o, flat[at - o : at]), []) if b.startswith(bits[:k])]
+                    taken = sum(b[k] == bits[k] for b in same)
+                    known += bool(same)
+                    x.append(np.log((taken + lm.DELTA) / (len(same) - taken + lm.DELTA)))
+                z = float(np.clip(weights[:, known * 256 + node] @ np.array(x), -12, 12))
+                up = z if bits[k] == "1" else -z
+                bucket = int(np.rint((min(8, max(-8, up)) + 8) * 4))
+                zeros, ones = seen[node * 65 + bucket]
+                one = min(max((ones + 32 / (1 + np.exp(8 - bucket / 4))) / (zeros + ones + 32), 2**-16), 1 - 2**-16)
+                cost -= np.log10((1 / (1 + np.exp(-z)) + (one if bits[k] == "1" else 1 - one)) / 2)
+            total += cost
+        out.append(-total)
+    return out
+
+
+def test_lm_scores_against_brute_force(spark, docs):
+    some = docs.where("doc_id < 12 or doc_id > 61 and doc_id < 68 or doc_id is null")
+    model = lm.train_model(some, lm.crc_mod(F.col("doc_id"), 10) != 0)
+    rows = [(r["doc_id"], (r["text"] or "").encode()) for r in some.collect()]
+    train = [t for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 10 != 0]
+    assert model["seen"].sum() == 8 * sum(len(t) + 1 for t in train)  # the map has seen every bit of every training text
+    got = sorted((str(r["doc_id"]), r["score"]) for r in lm.score_documents(None, model).collect())
+    want = sorted((str(i), x) for (i, _), x in zip(rows, brute_lm(train, [t for _, t in rows], model["weights"], model["seen"]), strict=True))
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-4, atol=1e-3)
+
+
+def test_lm_does_not_depend_on_partitions(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm, "WINDOW", 5000)  # long texts in windows too
+    held = lm.crc_mod(F.col("doc_id"), 10) != 0
+    got = []
+    for n in (1, 8):
+        model = lm.train_model(docs.repartition(n), held)
+        got.append([sorted((str(r["doc_id"]), r["score"], round(r["base_score"], 6), r["n_known"]) for r in out.collect()) for out in (lm.score_documents(None, model), lm.score_documents(docs, model))])
+    assert got[0][0] == got[1][0] == got[0][1] == got[1][1]
+
+
+def test_lm_beats_tokens_on_held_out_text(spark):
+    rng = np.random.default_rng(8)
+    stems = ["tion", "ing", "the", "and", "er", "ou", "ea", "th"]
+    word = lambda: "".join(rng.choice(stems, rng.integers(1, 5)))
+    df = spark.createDataFrame([(i, " ".join(word() for _ in range(60))) for i in range(300)], "doc_id long, text string")
+    out = lm.score_documents(None, lm.train_model(df, lm.crc_mod(F.col("doc_id"), 10) != 0)).where("held_out").toPandas()
+    assert len(out) > 15 and out.score.sum() > 1.2 * out.base_score.sum()
 
 
 def test_lm_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
-    m = lm.Mixer(rng.normal(0.3, 0.1, (lm.N, lm.GATES * 256)), rng.integers(0, 50, (256, lm.BUCKETS, 2)).astype(float))
-    m.freeze()
-    tables = [lm.paths(lm.stretch(rng.integers(0, 3, lm.CELLS))) for _ in lm.ORDERS]
-    total = 0.0
-    for b in range(256):
-        flat = np.frombuffer(b"\0" * 6 + b"ab" + bytes([b]), np.uint8)
-        total += 10 ** m.log10(tables, flat, np.array([8]))[0]
-    assert abs(total - 1) < 1e-4
+    grams = np.array(sorted({int.from_bytes(bytes([*rng.integers(97, 100, 6), b]), "big") for b in rng.integers(0, 256, 400)} | {int.from_bytes(b"bacaba" + bytes([b]), "big") for b in range(256)}), np.uint64)
+    low = np.unique(lm.shorter(grams, 2), return_counts=True)
+    slots = lm.Slots(grams, rng.integers(0, 9, len(grams)).astype(float), (low[0], low[1] * 3.0))
+    m = lm.Mixer(rng.normal(0.3, 0.1, (lm.N, lm.GATES)), rng.integers(0, 50, (256 * lm.BUCKETS, 2)).astype(float))
+    cost = m.costs(slots, np.flatnonzero(grams >> np.uint64(8) == int.from_bytes(b"bacaba", "big")))
+    assert len(cost) == 256 and abs((10 ** -(cost / lm.UNIT)).sum() - 1) < 1e-4
 
 
 def test_line_dedup(spark):
