@@ -31,6 +31,42 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def beside(docs: DataFrame, names: list[str], text: str, fields: list, make) -> DataFrame:
+    """Columns ``names`` of ``docs``, untouched, and new ones (``fields``) that ``make(texts)`` gives as lists, batch by batch. Batches stay
+    Arrow columns, so that ids beyond 2**53 and nulls of any type pass exactly."""
+    from pyspark.sql.types import StructType
+
+    small_batches(docs.sparkSession)
+    new = {f.name for f in fields}
+    names = [c for c in names if c not in new]
+    hidden = unused(docs, "text")
+
+    def run(it):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kinds = [to_arrow_type(f.dataType) for f in fields]
+        for batch in it:
+            more = make(batch.column(len(names)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *(pa.array(x, k) for x, k in zip(more, kinds, strict=True))], names=[*names, *(f.name for f in fields)])
+
+    src = docs.select(*(F.col(quoted(c)) for c in names), F.col(quoted(text)).alias(hidden))
+    return src.mapInArrow(run, StructType([*(docs.schema[c] for c in names), *fields]))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as make it unlike any column of ``df`` (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    name = "_" + name
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def worker_tables(owner=None, make=None):
     """What ``owner`` keeps in a Python worker between tasks (made on first use). What other owners kept there is freed, so that a worker,
     which outlives stages, holds one operator's tables at a time. Without an owner all is freed."""

@@ -1,11 +1,16 @@
 """Quality classifier by Bradley-Terry pairwise ranking.
 
-A document's score is linear in surface features of its text. The weights come from preference pairs, a good against a bad
-document, by logistic loss on feature differences. The threshold is the quantile of the training scores that equals the share of
-bad documents; the published score maps that quantile to ``CUT`` (0.3) on a logistic scale.
+A document's score is linear in features of its text: shares of kinds of characters, words and lines, and of hashed words and letter
+triples. The weights come from preference pairs, a good against a bad document, by logistic loss on feature differences. The threshold is
+the quantile of the training scores that equals the share of bad documents; the published score maps that quantile to ``CUT`` (0.3) on a
+logistic scale.
 
-Scale: training reads at most ``MAX_LABELS`` labelled documents (by a hash of the id, a documented sample); scoring is one scan
-without a shuffle.
+Scale: training reads at most ``MAX_LABELS`` labelled documents (by a hash of the id, a documented sample) and forms ``PAIRS_EACH`` pairs
+for each document of the rarer class; scoring is one scan without a shuffle, a text after another.
+
+Edges: null and empty texts have the features of the empty text and a score like any other; very long texts are read whole, in windows;
+repeated rows get equal scores, and count each in training; equal scores fall on the same side of the threshold; an empty table gives an
+empty result; without labels of both kinds every document is accepted; other columns, whatever their names, pass untouched.
 """
 
 from __future__ import annotations
@@ -16,14 +21,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, small_batches, worker_tables
+from .common import beside, crc_mod, unused, worker_tables
+from .wordhash import LOWER, word_hashes
 
 #: Labelled training documents at most, those of least xxhash64(doc_id).
 MAX_LABELS = 20_000
-#: Preference pairs for each document of the rarer class, and pairs at most.
-PAIRS_EACH, MAX_PAIRS = 24, 120_000
-#: Ridge penalty per pair, training rounds.
-L2, ROUNDS = 1e-4, 25
+#: Preference pairs for each document of the rarer class; pairs that are worked on at once.
+PAIRS_EACH, PAIR_BLOCK = 24, 16_384
+#: Ridge penalty per pair, of surface and of hashed features (which are many and each say little); training rounds at most.
+L2, L2_HASHED, ROUNDS = 1e-4, 0.05, 25
 CUT = 0.3
 
 _BYTES = [b"!", b"|", b"%&$#*", b"?", b".", b",", b"0123456789", b"@", b"<>{}[]\\", b":;/", b"\"'()-_=+~^`"]
@@ -35,14 +41,29 @@ _CLASS[97:123] = len(_BYTES) + 2
 _CLASS[128:] = len(_BYTES) + 3
 _CLASS[[32, 9, 10, 11, 12, 13]] = len(_BYTES) + 4
 _JUNK = re.compile(rb"([!%&$#*?|.,_=~-])\1")
-N_FEATURES = len(_BYTES) + 5 + 14
+#: Buckets of hashed words and of hashed triples of bytes; bytes that are worked on at once.
+WORD_BUCKETS, TRIPLE_BUCKETS, WINDOW = 64, 64, 1 << 20
+N_FEATURES = len(_BYTES) + 5 + 14 + WORD_BUCKETS + TRIPLE_BUCKETS
+
+
+def hashed(raw: bytes) -> np.ndarray:
+    """Square roots of the shares of hashed words and of hashed triples of bytes, letters in lower case."""
+    words, triples = np.zeros(WORD_BUCKETS), np.zeros(TRIPLE_BUCKETS)
+    h, _ = word_hashes([raw])
+    words += np.bincount((h % np.uint64(WORD_BUCKETS)).astype(np.int64), minlength=WORD_BUCKETS)
+    flat = np.frombuffer(raw, np.uint8)
+    for a in range(0, len(flat), WINDOW):
+        b = LOWER[flat[a : a + WINDOW + 2]].astype(np.uint32)
+        t = (b[:-2] | (b[1:-1] << np.uint32(8)) | (b[2:] << np.uint32(16))) * np.uint32(0x9E3779B1)
+        triples += np.bincount(t >> np.uint32(26), minlength=TRIPLE_BUCKETS)
+    return np.sqrt(np.concatenate([words / max(1, words.sum()), triples / max(1, triples.sum())]))
 
 
 def features(text: str | None) -> np.ndarray:
-    """Surface features of a whole text; null and empty give the features of the empty text."""
+    """Features of a whole text; null and empty give the features of the empty text."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     words, n = raw.split(), len(raw)
-    share = np.bincount(_CLASS[np.frombuffer(raw, np.uint8)], minlength=len(_BYTES) + 5) / max(1, n)
+    share = sum((np.bincount(_CLASS[np.frombuffer(raw[a : a + WINDOW], np.uint8)], minlength=len(_BYTES) + 5) for a in range(0, n, WINDOW)), np.zeros(len(_BYTES) + 5)) / max(1, n)
     k = max(1, len(words))
     lines = [x for x in raw.split(b"\n") if x.strip()]
     m = max(1, len(lines))
@@ -52,7 +73,7 @@ def features(text: str | None) -> np.ndarray:
     lower = {w.lower() for w in words}
     return np.concatenate([np.sqrt(share), [
         np.log1p(n), np.log1p(len(words)), (n - len(words)) / k / 10, np.sqrt(junk / k), np.sqrt(words.count(b"|") / k), np.sqrt(upper / k), len(lower) / k,
-        len(set(lines)) / m, np.sqrt(bad / m), np.log1p(m), np.log1p(n / m), sum(len(w) > 20 for w in words) / k, float(len(words) < 20), float(not words)]])
+        len(set(lines)) / m, np.sqrt(bad / m), np.log1p(m), np.log1p(n / m), sum(len(w) > 20 for w in words) / k, float(len(words) < 20), float(not words)], hashed(raw)])
 
 
 def fit(x: np.ndarray, good: np.ndarray, seed: int = 7) -> dict:
@@ -63,13 +84,20 @@ def fit(x: np.ndarray, good: np.ndarray, seed: int = 7) -> dict:
     if not len(a) or not len(b):
         return {"mean": mean, "std": std, "w": np.zeros(N_FEATURES), "cut": 0.0, "slope": 1.0}
     rng = np.random.default_rng(seed)
-    n = min(MAX_PAIRS, PAIRS_EACH * min(len(a), len(b)))
-    d = z[rng.permutation(np.resize(a, n))] - z[np.resize(b, n)]
-    for _ in range(ROUNDS):  # Newton steps on sum(log(1 + exp(-d.w))) / n + L2 |w|^2 / 2
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        grad, hess = d.T @ p / n - L2 * w, (d.T * (p * (1 - p))) @ d / n + (L2 + 1e-9) * np.eye(len(w))
+    n = PAIRS_EACH * min(len(a), len(b))
+    ridge = np.full(len(w), L2)
+    ridge[-WORD_BUCKETS - TRIPLE_BUCKETS :] = L2_HASHED
+    better, worse = rng.permutation(np.resize(a, n)), np.resize(b, n)
+    for _ in range(ROUNDS):  # Newton steps on sum(log(1 + exp(-d.w))) / n + ridge * w^2 / 2
+        grad, hess = -ridge * w, np.diag(ridge)
+        for at in range(0, n, PAIR_BLOCK):
+            d = z[better[at : at + PAIR_BLOCK]] - z[worse[at : at + PAIR_BLOCK]]
+            p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
+            grad, hess = grad + d.T @ p / n, hess + (d.T * (p * (1 - p))) @ d / n
         step = np.linalg.solve(hess, grad)
         w = w + step * min(1, 5 / (np.abs(step).max() + 1e-12))
+        if np.abs(step).max() < 1e-4:
+            break
     s = z @ w
     cut = float(np.quantile(s, len(b) / len(s)))
     lo, hi = np.quantile(s, [0.02, 0.98])
@@ -82,18 +110,13 @@ def score(model: dict, x: np.ndarray) -> np.ndarray:
 
 
 def _featured(docs: DataFrame) -> DataFrame:
-    small_batches(docs.sparkSession)
+    from pyspark.sql.types import ArrayType, DoubleType, StructField
 
-    def run(it):
+    def run(texts):
         worker_tables()
-        for pdf in it:
-            pdf["x"] = [features(t) for t in pdf.pop("text")]
-            yield pdf
+        return [[features(t) for t in texts]]
 
-    keep = [f for f in docs.schema.fields if f.name != "text"]
-    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
-
-    return docs.mapInPandas(run, StructType([*keep, StructField("x", ArrayType(DoubleType()))]))
+    return beside(docs, [c for c in docs.columns if c != "text"], "text", [StructField("x", ArrayType(DoubleType()))], run)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> dict:
@@ -109,24 +132,19 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> d
 
 def scored(docs: DataFrame, model: dict, out: str = "quality_score") -> DataFrame:
     """``docs`` with the score of its ``text`` in ``out`` (replaced if there)."""
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    docs = docs.drop(out)
-    small_batches(docs.sparkSession)
+    from pyspark.sql.types import DoubleType, StructField
 
-    def run(it):
+    def run(texts):
         worker_tables()
-        for pdf in it:
-            x = np.array([features(t) for t in pdf["text"]], float).reshape(-1, N_FEATURES)
-            pdf[out] = score(model, x)
-            yield pdf
+        return [score(model, np.array([features(t) for t in texts], float).reshape(-1, N_FEATURES))]
 
-    return docs.mapInPandas(run, StructType([*docs.schema.fields, StructField(out, DoubleType())]))
+    return beside(docs, docs.columns, "text", [StructField(out, DoubleType())], run)
 
 
 def accepted(docs: DataFrame, model: dict) -> DataFrame:
     """The documents that the classifier accepts, with their own columns."""
-    return scored(docs, model, "_quality_score").where(F.col("_quality_score") >= CUT).drop("_quality_score")
+    name = unused(docs, "quality_score")
+    return scored(docs, model, name).where(F.col(name) >= CUT).drop(name)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
