@@ -1,15 +1,21 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
-Three transducers are compiled from a model file: the normaliser (dummy prefix, space to U+2581), the pieces (a trie whose final
-states emit an id) and the byte fallback (a character no piece covers emits its UTF-8 bytes). An input is a chain automaton; it is
-composed with them on the fly and the best path in the tropical semiring (min, +) gives the ids.
+Three transducers are compiled from a model file: the normaliser (as the file's settings say: dummy prefix, extra spaces, space to U+2581),
+the pieces (a trie whose final states emit an id) and the byte fallback (a character no piece covers emits its UTF-8 bytes). An input is a
+chain automaton. The normaliser is deterministic, so its composition with the input is one chain again; that is composed on the fly with
+the union of the other two, and the best path in the tropical semiring (min, +) gives the ids. Settings that these machines do not cover (a
+character map, white space as suffix, word and character models, user-defined pieces) are refused.
 
 For a BPE model the machine has a state per last piece, and an arc from piece s to piece t exists only if BPE itself splits the text
 of s + t into s, t. By that locality of BPE exactly one path is accepted, the encoding (arc weight: 1 a piece). For a unigram model one
 state is enough and an arc weighs minus the log-probability. The machine runs once per distinct segment; merges never cross the
 start of a run of U+2581 nor a character that is in no longer piece, so texts are cut there.
 
-Scale: one scan, no shuffle; a worker's tables are bounded by the vocabulary and twice ``CACHE`` segments.
+Scale: one scan, no shuffle; a worker's tables are bounded by the vocabulary, ``PAIRS`` and twice ``CACHE`` bytes of segments.
+
+Edges: null text counts as empty, which has no ids; a very long text is read whole, segment by segment; repeated rows are encoded each;
+of paths of equal weight the one found first from the left is taken; an empty table gives an empty result; columns kept from the input
+pass untouched, those named like a new one are replaced.
 """
 
 from __future__ import annotations
@@ -19,22 +25,99 @@ import zlib
 from array import array
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, worker_tables
+from .common import beside, worker_tables
 
-#: Segments of each of the two generations that a worker keeps (what is used again moves to the younger one), and piece pairs.
-CACHE = 350_000
-PAIRS = 4_000_000
+#: Bytes, as estimated, of the segments of each of the two generations that a worker keeps (what is used again moves to the younger one);
+#: characters of the longest segment kept; piece pairs.
+CACHE, KEEP = 80 << 20, 200
+PAIRS = 1_000_000
 MARK = "▁"
 
 
+def wire(data: bytes) -> dict[int, list]:
+    """Fields of a protocol-buffer message by number: whole numbers, and bytes of strings, messages and fixed-width numbers."""
+    out: dict[int, list] = {}
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        key = number()
+        kind = key & 7
+        if kind == 0:
+            value = number()
+        else:
+            size = {1: 8, 5: 4}.get(kind) or number()
+            value = data[at : at + size]
+            at += size
+        out.setdefault(key >> 3, []).append(value)
+    return out
+
+
+class Normaliser:
+    """A deterministic transducer over characters. ``arcs[state]``: character -> (output, next state); the key None stands for any other
+    character, which is copied after the output. ``ends[state]``: what is put out at the end."""
+
+    def __init__(self, prefix: bool, squeeze: bool, escape: bool):
+        gap = MARK if escape else " "
+        first = gap if prefix else ""
+        if squeeze:  # states: before the text, inside it, after spaces inside it
+            self.arcs = [{" ": ("", 0), None: (first, 1)}, {" ": ("", 2), None: ("", 1)}, {" ": ("", 2), None: (gap, 1)}]
+        else:  # states: at the beginning, then
+            self.arcs = [{" ": (first + gap, 1), None: (first, 1)}, {" ": (gap, 1), None: ("", 1)}]
+        self.runs = re.compile(" |[^ ]+")
+        self.table = None if squeeze else str.maketrans({" ": gap})
+        self.first = first
+
+    @classmethod
+    def of(cls, model: str) -> Normaliser:
+        """From the settings in a model file; ValueError for what is not covered."""
+        with open(model, "rb") as f:
+            parts = wire(f.read())
+        train, norm = wire(parts.get(2, [b""])[-1]), wire(parts.get(3, [b""])[-1])
+        flag = lambda fields, k, default: bool(fields.get(k, [default])[-1])
+        if flag(norm, 2, b"") or flag(norm, 6, b"") or (5 in parts and flag(wire(parts[5][-1]), 2, b"")):
+            raise ValueError("models with a character map are not supported")
+        if train.get(3, [1])[-1] not in (1, 2) or flag(train, 24, 0):
+            raise ValueError("only unigram and BPE models with white space before words are supported")
+        if any(wire(p).get(3, [1])[-1] == 4 for p in parts.get(1, [])):
+            raise ValueError("user-defined pieces are not supported")
+        return cls(flag(norm, 3, 1), flag(norm, 4, 1), flag(norm, 5, 1))
+
+    def walk(self, text: str) -> str:
+        """Composition with the chain of a text, run by run: the characters of a run after the first stay in one state and are copied."""
+        out, state = [], 0
+        for run in self.runs.findall(text):
+            if run in self.arcs[state]:
+                put, state = self.arcs[state][run]
+                out.append(put)
+            else:
+                put, state = self.arcs[state][None]
+                out.append(put + run)
+        return "".join(out)
+
+    def __call__(self, text: str) -> str:
+        # After the first character a machine that does not squeeze spaces has one state: a table of characters.
+        return self.walk(text) if self.table is None or not text else self.first + text.translate(self.table)
+
+
 class Machine:
     def __init__(self, model: str):
         import sentencepiece
 
+        self.normal = Normaliser.of(model)
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         n = sp.get_piece_size()
         self.piece = [sp.id_to_piece(i) for i in range(n)]
@@ -43,9 +126,8 @@ class Machine:
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(self.piece) if sp.is_byte(i)}
         self.id = {p: i for i, p in enumerate(self.piece) if i not in special and not sp.is_byte(i)}
         self.unk = sp.unk_id()
-        # A BPE model scores its pieces 0, -1, -2, ... in order of merging.
-        tail = [self.score[i] for p, i in self.id.items() if len(p) > 1]
-        self.bpe = all(float(s).is_integer() for s in tail[:1000])
+        with open(model, "rb") as f:
+            self.bpe = wire(wire(f.read()).get(2, [b""])[-1]).get(3, [1])[-1] == 2
         self.longest = max(map(len, self.id), default=1)
         # The piece trie: -1 for an inner state, the id for a final one.
         self.trie = dict.fromkeys((p[:k] for p in self.id for k in range(1, len(p) + 1)), -1) | self.id
@@ -54,6 +136,7 @@ class Machine:
         self.valid: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0
         # Surface bytes of each id, for decoding.
         back = {i: b for b, i in self.byte.items()}
         self.surface = [b"" if i in special else bytes([back[i]]) if i in back else p.replace(MARK, " ").encode() for i, p in enumerate(self.piece)]
@@ -152,53 +235,58 @@ class Machine:
         """Ids of a whole text as native u32 bytes; null and empty give none."""
         if not text:
             return b""
-        if len(self.cache) > CACHE:
-            self.cache, self.older = {}, self.cache
+        if self.held > CACHE:
+            self.cache, self.older, self.held = {}, self.cache, 0
         cache, older = self.cache, self.older
         out = []
-        normal = MARK + text.replace(" ", MARK)
+        normal = self.normal(text)
         for line in normal.split("\n"):  # keeps segments short; a line end is a segment of its own
             if out:
                 out.append("\n")
             out += self.cut.findall(line) if (MARK + MARK) in line or not line.startswith(MARK) else [MARK + w for w in line[1:].split(MARK)] if len(line) > 1 else [line] if line else []
             if not out:
                 out.append("")
+        long = {}
         for s in set(out).difference(cache):
             got = older.get(s)
-            cache[s] = self._ids(s) if got is None else got
-        return b"".join(map(cache.__getitem__, out))
+            got = self._ids(s) if got is None else got
+            if len(s) > KEEP:
+                long[s] = got
+            else:
+                cache[s] = got
+                self.held += 200 + 2 * len(s) + len(got)
+        return b"".join([cache[s] if s in cache else long[s] for s in out] if long else map(cache.__getitem__, out))
+
+    def plain(self, text: str) -> str:
+        """What a text decodes to: U+2581 as a space, spaces as the normaliser leaves them."""
+        return (text if self.normal.table is not None else self.normal(text)[len(self.normal.first) :]).replace(MARK, " ")
 
     def decode(self, ids) -> str:
         """Text of a sequence of ids; invalid UTF-8 becomes U+FFFD, the dummy prefix goes."""
         raw = b"".join(map(self.surface.__getitem__, ids))
-        return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
+        return (raw[1:] if self.normal.first and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
 def encode_decode(docs: DataFrame, model: str, keep: list[str], with_ids: bool = True) -> DataFrame:
     """``keep`` columns of ``docs`` plus n_pieces, ids_crc32 (of the ids as little-endian u32), round_trip (the decoded text is the text;
     U+2581 decodes as a space, so such texts are compared in that form), and the ids. Null text counts as empty."""
-    from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
+    from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField
 
     new = [StructField("n_pieces", LongType()), StructField("ids_crc32", LongType()), StructField("round_trip", BooleanType())]
     if with_ids:
         new.append(StructField("piece_ids", ArrayType(IntegerType())))
-    names = [c for c in keep if c not in {f.name for f in new}]
-    src = docs.select(*names, F.col("text").alias("_piece_text"))
-
-    small_batches(docs.sparkSession)
 
-    def run(it):
+    def run(texts):
         m = Machine.of(model)
-        for pdf in it:
-            rows = []
-            for text in pdf.pop("_piece_text"):
-                raw = m.encode(text)
-                ids = array("I", raw)
-                exact = np.frombuffer(raw, np.uint32)
-                rows.append((len(ids), zlib.crc32(exact.astype("<u4").tobytes()), m.decode(ids) == (text or "").replace(MARK, " "), *([exact.view(np.int32)] if with_ids else [])))
-            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(rows, columns=[f.name for f in new])], axis=1)
-
-    return src.mapInPandas(run, StructType([*[docs.schema[c] for c in names], *new]))
+        got: list[list] = [[] for _ in new]
+        for text in texts:
+            raw = m.encode(text)
+            ids, exact = array("I", raw), np.frombuffer(raw, np.uint32)
+            for column, value in zip(got, (len(ids), zlib.crc32(exact.astype("<u4").tobytes()), m.decode(ids) == m.plain(text or ""), exact.view(np.int32)), strict=False):
+                column.append(value)
+        return got
+
+    return beside(docs, keep, "text", new, run)
 
 
 def model_path() -> str:
