@@ -6,7 +6,7 @@ cannot use moves up. Each leaf then takes the longest prefix, within its budget,
 epoch.
 
 Scale: documents are aggregated to (leaf, epoch, bucket) token sums, with map-side combining, so a hot leaf is never sorted in one
-task; only the one bucket of a leaf where its budget ends is ordered row by row (about 1 / ``BUCKETS`` of the leaf). Texts are not
+task; only the ids and lengths of the one bucket of a leaf where its budget ends are put in order (about 1 in 2**``BUCKET_BITS`` of the leaf). Texts are not
 shuffled: the per-leaf cut is joined by broadcast while the tree has at most ``BROADCAST_LEAVES`` leaves, else by shuffle.
 All arithmetic is on integers, so any engine gives the same budgets.
 """
@@ -16,12 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, unused
 
 #: Leaves (64 bytes each) up to which the per-leaf cut is broadcast.
 BROADCAST_LEAVES = 200_000
-#: Buckets of the seeded order within a leaf.
-BUCKETS = 1024
+#: Bits of the bucket within a leaf's seeded order.
+BUCKET_BITS = 12
 #: Production weights of the query and the pipeline; what is not listed weighs 1 among its siblings.
 DOMAIN_WEIGHTS = {"web": 2, "curated": 3}
 LANG_WEIGHTS = {"en": 12, "de": 3, "fr": 3, "es": 2}
@@ -80,38 +80,46 @@ def order_key(doc_id: Column, epoch: Column, seed: int) -> Column:
 def mix(docs: DataFrame, seed: int = SEED, max_epochs: int = MAX_EPOCHS, share: tuple[int, int] = BUDGET_SHARE, domain=domain_of,
         domain_weights: dict[str, int] | None = None, lang_weights: dict[str, int] | None = None, source_weights: dict[str, int] | None = None) -> DataFrame:
     """The chosen rows of ``docs`` (doc_id, text, lang, source, ...), once per epoch they are in, plus ``mix_epoch``, ``mix_tokens``,
-    ``mix_domain`` (replacing columns of those names).
+    ``mix_domain`` (replacing columns of those names; all others pass untouched).
 
     Null lang or source forms a category of its own (''). A document of no words costs nothing and is in every epoch that its leaf
     reaches. Documents of equal order (repeated rows) are taken together or not at all. A document longer than what is left of its
     leaf's budget ends the leaf's prefix. An empty table gives an empty result.
     """
-    source = F.coalesce(F.col("source"), F.lit(""))
-    lang = F.coalesce(F.col("lang"), F.lit(""))
-    rows = docs.drop("mix_epoch", "mix_tokens", "mix_domain").withColumns({"_s": source, "_l": lang, "mix_domain": domain(source), "mix_tokens": n_words(F.col("text"))})
-    on = ["mix_domain", "_l", "_s"]
+    added = ["mix_epoch", "mix_tokens", "mix_domain"]
+    docs = docs.drop(*added)
+    own = {k: unused(docs, k) for k in ("lang", "source", "key", "epochs", "end")}  # like no column of the input
+    rows = docs.withColumns({own["source"]: F.coalesce(F.col("source"), F.lit("")), own["lang"]: F.coalesce(F.col("lang"), F.lit(""))})
+    rows = rows.withColumn("mix_domain", domain(F.col(own["source"])))
+    leaf = [F.col("mix_domain").alias("domain"), F.col(own["lang"]).alias("lang"), F.col(own["source"]).alias("source")]
+    on = ["domain", "lang", "source"]
     # One pass over the texts: tokens by (leaf, epoch, bucket), from which leaves, budgets and cuts all follow.
     epochs = F.sequence(F.lit(1), F.lit(max_epochs))
-    bucket = lambda e: F.shiftright(order_key(F.col("doc_id"), e, seed), 50)
-    slim = rows.select(*on, "doc_id", "mix_tokens").withColumn("epoch", F.explode(epochs)).withColumn("bucket", bucket(F.col("epoch")))
-    sums = materialize(slim.groupBy(*on, "epoch", "bucket").agg(F.sum("mix_tokens").alias("tokens")), "mix")
-    leaves = sums.where("epoch = 1").groupBy(F.col("mix_domain").alias("domain"), F.col("_l").alias("lang"), F.col("_s").alias("source")).agg(F.sum("tokens").alias("tokens"))
+    bucket = lambda key: F.shiftright(key, 60 - BUCKET_BITS)
+    slim = rows.select(*leaf, "doc_id", n_words(F.col("text")).alias("tokens")).withColumn("epoch", F.explode(epochs)).withColumn("bucket", bucket(order_key(F.col("doc_id"), F.col("epoch"), seed)))
+    sums = materialize(slim.groupBy(*on, "epoch", "bucket").agg(F.sum("tokens").alias("tokens")), "mix")
+    leaves = sums.where("epoch = 1").groupBy(*on).agg(F.sum("tokens").alias("tokens"))
     leaves = leaves.withColumns({"w_domain": weight_of(F.col("domain"), domain_weights or DOMAIN_WEIGHTS), "w_lang": weight_of(F.col("lang"), lang_weights or LANG_WEIGHTS), "w_source": weight_of(F.col("source"), source_weights or {})})
     total = sums.where("epoch = 1").agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0] * share[0] // share[1]
-    budget = leaf_budgets(leaves, total, max_epochs).select(F.col("domain").alias("mix_domain"), F.col("lang").alias("_l"), F.col("source").alias("_s"), "budget")
+    budget = leaf_budgets(leaves, total, max_epochs)
     run = Window.partitionBy(*on).orderBy("epoch", "bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = sums.withColumn("upto", F.sum("tokens").over(run)).join(budget, on).where("upto > budget")
     cut = ends.groupBy(*on).agg(F.min(F.struct("epoch", "bucket", (F.col("budget") - F.col("upto") + F.col("tokens")).alias("room"))).alias("end"))
-    cut = materialize(budget.join(cut, on, "left").select(*on, F.coalesce("end.epoch", F.lit(max_epochs + 1)).alias("end_epoch"), F.coalesce("end.bucket", F.lit(0)).alias("end_bucket"), F.coalesce("end.room", F.lit(0)).alias("room")), "mixcut")
+    cut = materialize(budget.join(cut, on, "left").select(*on, F.coalesce("end.epoch", F.lit(max_epochs + 1)).alias("epoch"), F.coalesce("end.bucket", F.lit(0)).alias("bucket"), F.coalesce("end.room", F.lit(0)).alias("room")), "mixcut")
+    discard(sums)
     few = cut.count() <= BROADCAST_LEAVES
-    out = rows.join(F.broadcast(cut) if few else cut, on)
-    out = out.withColumn("mix_epoch", F.explode(F.filter(epochs, lambda e: e <= F.col("end_epoch")))).withColumn("_k", order_key(F.col("doc_id"), F.col("mix_epoch"), seed))
-    inside = (F.col("mix_epoch") < F.col("end_epoch")) | (F.shiftright("_k", 50) < F.col("end_bucket"))
-    at_end = (F.col("mix_epoch") == F.col("end_epoch")) & (F.shiftright("_k", 50) == F.col("end_bucket"))
-    names = [c for c in docs.columns if c not in ("mix_epoch", "mix_tokens", "mix_domain")] + ["mix_epoch", "mix_tokens", "mix_domain"]
-    by_order = Window.partitionBy(*on).orderBy("_k", "doc_id")
-    last = out.where(at_end).withColumn("_upto", F.sum("mix_tokens").over(by_order)).where(F.col("_upto") <= F.col("room"))
-    return out.where(inside).select(*names).unionByName(last.select(*names))
+    # Where a leaf's budget ends: only ids and lengths of that bucket are put in order.
+    last = rows.select(*leaf, "doc_id", "text").join(F.broadcast(cut) if few else cut, on).withColumn("key", order_key(F.col("doc_id"), F.col("epoch"), seed)).where(bucket(F.col("key")) == F.col("bucket"))
+    last = last.select(*on, "key", "doc_id", "room", n_words(F.col("text")).alias("tokens")).withColumn("upto", F.sum("tokens").over(Window.partitionBy(*on).orderBy("key", "doc_id")))
+    last = last.where("upto <= room").groupBy(*on).agg(F.max(F.struct("key", "doc_id")).alias("last"))
+    marks = materialize(cut.join(last, on, "left").select(*on, F.struct("epoch", "bucket", "last").alias("end")), "mixend").toDF("mix_domain", own["lang"], own["source"], own["end"])
+    discard(cut)
+    end, key, epoch = F.col(own["end"]), F.col(own["key"]), F.col("mix_epoch")
+    out = rows.join(F.broadcast(marks) if few else marks, ["mix_domain", own["lang"], own["source"]])
+    out = out.withColumn("mix_epoch", F.explode(F.filter(epochs, lambda e: e <= end["epoch"]))).withColumn(own["key"], order_key(F.col("doc_id"), epoch, seed))
+    within = end["last"].isNotNull() & (F.struct(key.alias("key"), F.col("doc_id").alias("doc_id")) <= end["last"])
+    out = out.where((epoch < end["epoch"]) | (bucket(key) < end["bucket"]) | ((bucket(key) == end["bucket"]) & within))
+    return out.withColumn("mix_tokens", n_words(F.col("text"))).select(*docs.columns, *added)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
