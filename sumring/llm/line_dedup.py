@@ -5,7 +5,7 @@ copies of a page count as one page, so that a copied page does not make its own
 
 Scale: lines travel as 64-bit hashes, pre-aggregated per (host, line) before the shuffle; a hot host only adds to map-side
 combining. At most ``lines per page / ratio`` lines of a host can exceed the ratio, so the flagged table is small; it is
-broadcast only when its counted size is under ``BROADCAST_LINES``, else joined by shuffle (texts travel only then).
+broadcast only when its counted size is under ``BROADCAST_LINES``, else joined by shuffle, page by page (texts travel only then).
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, quoted, unused
 
 #: A line is boilerplate if more than this share of its host's pages holds it ...
 RATIO = 0.1
@@ -36,10 +36,14 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
+def line_keys(text: Column) -> Column:
+    """Hashes of the distinct lines that are not blank."""
+    return F.array_distinct(F.transform(F.filter(_lines(text), lambda x: F.trim(x) != ""), _key))
+
+
 def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, line_hash, n_pages, host_pages) of the lines that exceed ``ratio``. Blank lines never count."""
-    keys = F.array_distinct(F.transform(F.filter(_lines(text), lambda x: F.trim(x) != ""), _key))
-    page = pages.select(F.coalesce(host, F.lit("")).alias("host"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("page"), keys.alias("keys"))
+    page = pages.select(F.coalesce(host, F.lit("")).alias("host"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("page"), line_keys(text).alias("keys"))
     page = page.groupBy("host", "page").agg(F.first("keys").alias("keys"))
     per_line = page.select("host", F.explode("keys").alias("line_hash")).groupBy("host", "line_hash").agg(F.count("*").alias("n_pages"))
     total = page.groupBy("host").agg(F.count("*").alias("host_pages"))
@@ -52,22 +56,24 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     Null text stays null with no lines; a null host counts as the empty host; rows are never dropped; repeated rows are each
     cleaned. A page all of whose lines are boilerplate becomes empty (blank lines stay).
     """
-    flagged = materialize(boilerplate(pages, F.col(host), F.col(text), ratio, min_pages), "lines")
-    few = flagged.count() <= BROADCAST_LINES
-    bad = flagged.groupBy(F.col("host").alias("_bp_host")).agg(F.collect_set("line_hash").alias("_bp_keys"))
-    rows = pages.withColumn("_bp_key", F.coalesce(F.col(host), F.lit("")))
-    rows = rows.join(F.broadcast(bad) if few else bad, rows["_bp_key"] == bad["_bp_host"], "left")
-    keep = F.when(F.col("_bp_keys").isNull(), _lines(F.col(text))).otherwise(
-        F.filter(_lines(F.col(text)), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_bp_keys"), _key(x)))
-    )
-    n = F.when(F.col(text).isNull(), 0).otherwise(F.size(_lines(F.col(text)))).cast("long")
-    rows = rows.withColumns({"_bp_keep": keep, "_bp_n": n})
-    rows = rows.withColumns({
-        "n_lines": F.col("_bp_n"),
-        "n_dropped": F.when(F.col(text).isNull(), 0).otherwise(F.col("_bp_n") - F.size("_bp_keep")).cast("long"),
-        text: F.when(F.col(text).isNotNull(), F.array_join("_bp_keep", "\n")),
-    })
-    return rows.drop("_bp_key", "_bp_host", "_bp_keys", "_bp_keep", "_bp_n")
+    flagged = materialize(boilerplate(pages, F.col(quoted(host)), F.col(quoted(text)), ratio, min_pages), "lines")
+    own = {k: unused(pages, k) for k in ("host", "page", "keys", "keep")}  # like no column of the input
+    body, at = F.col(quoted(text)), F.coalesce(F.col(quoted(host)), F.lit(""))
+    rows = pages.withColumn(own["host"], at)
+    if flagged.count() <= BROADCAST_LINES:
+        bad = flagged.groupBy(F.col("host").alias(own["host"])).agg(F.collect_set("line_hash").alias(own["keys"]))
+        rows = rows.join(F.broadcast(bad), own["host"], "left")
+    else:  # pages meet the flagged lines that they have, dealt by page, so that a hot host is spread
+        lines = pages.select(at.alias("host"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("page"), F.explode(line_keys(body)).alias("line_hash"))
+        bad = lines.join(flagged.select("host", "line_hash"), ["host", "line_hash"], "left_semi").groupBy(F.col("host").alias(own["host"]), F.col("page").alias(own["page"])).agg(F.collect_set("line_hash").alias(own["keys"]))
+        rows = rows.withColumn(own["page"], F.xxhash64(F.coalesce(body, F.lit("")))).join(bad, [own["host"], own["page"]], "left")
+    keep = F.when(F.col(own["keys"]).isNull(), _lines(body)).otherwise(F.filter(_lines(body), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(own["keys"]), _key(x))))
+    rows = rows.withColumn(own["keep"], keep)
+    n = F.when(body.isNull(), 0).otherwise(F.size(_lines(body))).cast("long")
+    dropped = F.when(body.isNull(), 0).otherwise(F.size(_lines(body)) - F.size(own["keep"])).cast("long")
+    cleaned = F.when(body.isNotNull(), F.array_join(own["keep"], "\n"))
+    passed = [cleaned.alias(c) if c == text else F.col(quoted(c)) for c in pages.columns if c not in ("n_lines", "n_dropped")]
+    return rows.select(*passed, n.alias("n_lines"), dropped.alias("n_dropped"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
