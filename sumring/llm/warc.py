@@ -31,8 +31,13 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "uri string, offset long, length long, url string, digest string, record_type string, page_id long"
 
 
-def _urn(page_id) -> str:
-    return f"<urn:x-page:{page_id}>"
+#: Bytes of archives that a task reads, beyond as many tasks as there are cores.
+TASK = 128 << 20
+
+
+def _urn(page_id, digest: str, revisit: bool = False) -> str:
+    """A record's id: page, digest and type tell all records apart but those of rows that are equal throughout."""
+    return f"<urn:x-page:{page_id}:{digest}{':revisit' if revisit else ''}>"
 
 
 def _clean(url: str) -> str:
@@ -43,12 +48,12 @@ def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
     """One record, not compressed. ``refers_to``: the id of the response that a revisit stands for, or None."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (payload if refers_to is None else b"")
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_urn(page_id)}", f"WARC-Date: {DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_urn(page_id, digest, refers_to is not None)}", f"WARC-Date: {DATE}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {_clean(url)}")
     head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     if refers_to is not None:
-        head += [f"WARC-Refers-To: {_urn(refers_to)}", f"WARC-Profile: {_PROFILE}"]
+        head += [f"WARC-Refers-To: {_urn(refers_to, digest)}", f"WARC-Profile: {_PROFILE}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -108,8 +113,9 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return materialize(ids.mapInPandas(run, INDEX), "warcidx")
 
 
-def read_records(index: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to, url, html) of the selected index rows, from the archives.
+def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, url, html) of the selected index rows, from the archives; without
+    ``payloads`` the last two are read and checked, but not returned.
 
     A response's size and digest are computed from its payload and checked against its header; a revisit's come from its header."""
 
@@ -125,27 +131,30 @@ def read_records(index: DataFrame) -> DataFrame:
             data = ranges.read(uri, begin, length)
             for _, offset, n in held:
                 r = parse(zlib.decompress(data[offset - begin : offset - begin + n], 31))
-                page, ref = r["warc-record-id"][12:-1], r.get("warc-refers-to", "<urn:x-page:>")[12:-1]
+                page, ref = r["warc-record-id"].split(":")[2], r.get("warc-refers-to", "::").split(":")[2]
                 digest, size = r["warc-payload-digest"][5:], int(r["http-content-length"])
                 if r["warc-type"] == "response" and (hashlib.sha1(r["payload"]).hexdigest() != digest or len(r["payload"]) != size):
                     raise ValueError(f"damaged record at {uri} {offset}")
-                found.append((page, size, digest, r["warc-type"], ref, r.get("warc-target-uri"), r["payload"].decode() if r["warc-type"] == "response" else None))
+                found.append((page, size, digest, r["warc-type"], ref, *((r.get("warc-target-uri"), r["payload"].decode() if r["warc-type"] == "response" else None) if payloads else ())))
                 if len(found) >= 500:
-                    yield pd.DataFrame(found, columns=["page", "payload_bytes", "payload_digest", "record_type", "ref", "url", "html"])
+                    yield pd.DataFrame(found, columns=names)
                     found = []
         ranges.close()
-        yield pd.DataFrame(found, columns=["page", "payload_bytes", "payload_digest", "record_type", "ref", "url", "html"])
+        yield pd.DataFrame(found, columns=names)
 
-    picked = index.select("uri", "offset", "length").repartitionByRange("uri", "offset").sortWithinPartitions("uri", "offset")
-    out = picked.mapInPandas(run, "page string, payload_bytes long, payload_digest string, record_type string, ref string, url string, html string")
+    names = ["page", "payload_bytes", "payload_digest", "record_type", "ref", *(["url", "html"] if payloads else [])]
+    size = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, size // TASK + 1)  # the index itself is too small to tell
+    picked = index.select("uri", "offset", "length").repartitionByRange(tasks, "uri", "offset").sortWithinPartitions("uri", "offset")
+    out = picked.mapInPandas(run, ", ".join(f"{c} {'long' if c == 'payload_bytes' else 'string'}" for c in names))
     number = lambda c: F.when(F.col(c).rlike("^-?[0-9]+$"), F.col(c)).cast("long")
-    return out.select(number("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("ref").alias("refers_to"), "url", "html")
+    return out.select(number("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("ref").alias("refers_to"), *names[5:])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     index = write_archives(pages, fresh_path(spark, "warc"))
-    return read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_records(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = """
