@@ -10,16 +10,14 @@ Scale: everything is inside one row; documents are shuffled once, into ranges of
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, let, words_of
 
 SHINGLE, BINS, BITS, PROBES = 5, 256, 4, 12
-#: Ranges of doc_id at most; their bounds are approximate quantiles, so that each holds about as many rows.
-RANGES = 512
+#: Ranges of doc_id that are cut at once.
+FANOUT = 512
 #: Characters of text that a range should hold.
 RANGE_CHARS = 8_000_000
 _LOW = (1 << 56) - 1  # what follows the top byte; all ones marks an empty bin
@@ -87,20 +85,35 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(following, F.lit(1), half))
 
 
+def _bucket(cuts: Column) -> Column:
+    """How many of the sorted ``cuts`` are below doc_id; nulls come first."""
+    return F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(cuts, lambda c: c < F.col("doc_id"))))
+
+
+def with_ranges(docs: DataFrame, k: int) -> DataFrame:
+    """``docs`` with ``range``, ascending in doc_id: about ``k`` ranges of as many rows each, by approximate quantiles; beyond ``FANOUT`` each
+    range is cut into ranges of its own once more (a table of at most ``FANOUT`` rows, which is broadcast)."""
+    steps = lambda n: [i / n for i in range(1, n)]
+    top = min(k, FANOUT)
+    cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", steps(top), 10_000)).first()[0] or [])) if top > 1 else []
+    rows = docs.withColumn("range", (_bucket(F.array(*map(F.lit, cuts))) if cuts else F.lit(0)).cast("long"))
+    if k <= FANOUT:
+        return rows
+    below = min(FANOUT, -(-k // FANOUT))
+    fine = rows.groupBy("range").agg(F.array_sort(F.array_distinct(F.percentile_approx("doc_id", steps(below), 10_000))).alias("cuts")) if below > 1 else rows.select("range", F.array().cast("array<long>").alias("cuts")).distinct()
+    return rows.join(F.broadcast(fine), "range").withColumn("range", F.col("range") * FANOUT + _bucket(F.coalesce("cuts", F.array().cast("array<long>")))).drop("cuts")
+
+
 def with_next(docs: DataFrame) -> tuple[DataFrame, Window]:
     """``docs`` (doc_id, text) in ranges of ascending doc_id (nulls first, ties by text), each range followed by a copy (``extra``) of the
-    first row of the next one, the last by the first of all. Only range minima and bounds go through single rows."""
+    first row of the next one, the last by the first of all. Only the numbers of the ranges go through the driver."""
     n, chars = docs.agg(F.count("*"), F.sum(F.length("text"))).first()
-    k = int(max(1, min(RANGES, (chars or 0) // RANGE_CHARS + 1, n)))
-    cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)], 10_000)).first()[0] or [])) if k > 1 else []
-    bound = F.lit(0) if not cuts else F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("doc_id"))))
-    rows = docs.withColumn("range", bound.cast("int"))
+    rows = with_ranges(docs, int(max(1, min((chars or 0) // RANGE_CHARS + 1, n))))
+    there = sorted(r[0] for r in rows.select("range").distinct().collect())  # at most FANOUT**2 numbers
+    place = docs.sparkSession.createDataFrame([(r, there[i - 1]) for i, r in enumerate(there)], "range long, before long")
     # The first row of each range, by (doc_id, text) with nulls first, as min over a struct.
-    firsts = sorted(r[0] for r in rows.select("range").groupBy("range").count().select("range").collect())  # at most RANGES
-    before = {r: firsts[i - 1] for i, r in enumerate(firsts)}
-    first = rows.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "text")).alias("f"))
-    place = reduce(lambda acc, kv: acc.when(F.col("range") == kv[0], kv[1]), list(before.items())[1:], F.when(F.col("range") == next(iter(before)), next(iter(before.values())))) if before else F.lit(0)
-    extra = first.select(F.col("f.doc_id").alias("doc_id"), F.col("f.text").alias("text"), place.cast("int").alias("range"), F.lit(True).alias("extra"))
+    first = rows.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "text")).alias("f")).join(F.broadcast(place), "range")
+    extra = first.select(F.col("f.doc_id").alias("doc_id"), F.col("f.text").alias("text"), F.col("before").alias("range"), F.lit(True).alias("extra"))
     both = rows.withColumn("extra", F.lit(False)).unionByName(extra)
     w = Window.partitionBy("range").orderBy("extra", F.col("doc_id").asc_nulls_first(), "text")
     return both, w
