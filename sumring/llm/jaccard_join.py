@@ -93,7 +93,8 @@ def _keyed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 yield pd.DataFrame(rows, columns=cols)
 
     cols = ["doc_id", "n", "d1", "d2", "keys"]
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, d1 long, d2 long, keys array<long>")
+    ids = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # exact in pandas, nulls included
+    return ids.mapInPandas(run, "doc_id string, n long, d1 long, d2 long, keys array<long>").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 class Tree:
@@ -255,9 +256,9 @@ def classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """The rows of ``docs`` that stand for their class (least doc_id), all their columns kept; of rows that repeat a doc_id all stay."""
-    gone = materialize(classes(docs, k, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "jgone")
+    gone = materialize(classes(docs, k, num, den).where("component_id <> doc_id").select("doc_id").distinct(), "jgone")
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
