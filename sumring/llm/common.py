@@ -130,6 +130,20 @@ def crc_mod(doc_id: Column, m: int) -> Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % m
 
 
+#: A node of more edges than this is a hub ...
+HUB = 256
+#: ... or of more than so much of all edges, so that there are at most so many hubs (16 bytes each), which are broadcast.
+MOST_HUBS = 500_000
+
+
+def _with_least(edges: DataFrame, of: DataFrame, n_edges: int) -> DataFrame:
+    """``edges`` (a, b) with ``m``, the least of node ``a`` in ``of`` (a, m, k edges). Edges of hubs are not shuffled."""
+    hub = max(HUB, 2 * n_edges // MOST_HUBS)
+    hubs = F.broadcast(of.where(F.col("k") > hub).select("a", "m"))
+    few = edges.join(F.broadcast(of.where(F.col("k") > hub).select("a")), "a", "left_anti")
+    return edges.join(hubs, "a").unionByName(few.join(of.where(F.col("k") <= hub).select("a", "m"), "a"))
+
+
 def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """(node, component): the smallest node reachable, for every node of ``edges`` (a, b), by alternating large and small
     stars; each round is written to the shared folder. Rounds grow with the logarithm of the longest chain.
@@ -145,10 +159,10 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
             break
         before = mark
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("k"))
+        large = _with_least(both.where("b > a"), least, mark[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k"))
+        small = _with_least(large, low, mark[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         after = materialize(tidy(small), label)
         discard(cur)
         cur = after
