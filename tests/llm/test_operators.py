@@ -238,7 +238,10 @@ def test_line_stage_cuts_what_stands_on_8_percent_of_a_host(spark):
     assert all(r["text"] == rows[r["doc_id"]][1].replace("\nmenu", "") and r["n_chars"] == len(r["text"]) for r in out)
 
 
-def test_pivots_against_brute_force(spark):
+@pytest.mark.parametrize("block", [pivots.BLOCK, 30])
+def test_pivots_against_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(pivots, "BLOCK", block)
+    monkeypatch.setattr(pivots, "TILE", 1000)
     rng = np.random.default_rng(3)
     base = rng.normal(size=(150, 24))
     near = base[:60] + rng.normal(scale=0.03, size=(60, 24))
