@@ -124,6 +124,51 @@ def mul(a: Column, b: Column, shape_a: tuple[int, int], shape_b: tuple[int, int]
     return F.struct((a["n"] * b["n"]).alias("n"), _arr(lin, "double").alias("lin"), _arr(quad, "double").alias("quad"), _arr(lin_cat, _NUM).alias("lin_cat"), _arr(num_cat, _NUM).alias("num_cat"), _arr(cat_cat, _NUM).alias("cat_cat"))
 
 
+def _summed_maps(rows, by: list[str], maps: dict[str, Column]):
+    """(by, where, slot, k, v): sums by key of the maps in each array of maps, in long form, so that no map is ever one buffer of an aggregate."""
+    parts = None
+    for name, arrays in maps.items():
+        part = rows.select(*by, F.posexplode(arrays).alias("slot", "m")).select(*by, F.lit(name).alias("where"), "slot", F.explode("m").alias("k", "v"))
+        parts = part if parts is None else parts.unionByName(part)
+    return parts.groupBy(*by, "where", "slot", "k").agg(F.sum("v").alias("v"))
+
+
+def sum_relations(rows, relation: str, by: list[str] | None = None):
+    """SUM over stored relations: (by, ``relation``), keys added up; null relations do not count. No rows give no groups (one empty relation
+    without ``by``)."""
+    by = by or []
+    long = rows.select(*by, F.explode(relation).alias("k", "v")).groupBy(*by, "k").agg(F.sum("v").alias("v"))
+    return long.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias(relation))
+
+
+def sum_values(rows, value: str, by: list[str] | None = None, kind: str = "cofactor"):
+    """SUM over stored ring values, maps included: (by, ``value``). Numbers are added by position, maps by key; the maps of one result have an
+    entry for each category, or pair of categories, of the group. ``kind``: cofactor, or nb for the Naive Bayes ring. Null values do not
+    count; all values have one shape."""
+    by = by or []
+    numbers, maps = (["lin", "quad"], ["lin_cat", "num_cat", "cat_cat"]) if kind == "cofactor" else (["lin", "sq"], ["cat"])
+    rows = rows.where(F.col(value).isNotNull())
+    size = {c: F.max(F.size(F.col(value)[c])).alias(f"_{c}") for c in [*numbers, *maps]}
+    total = rows.groupBy(*by).agg(F.sum(F.col(value)["n"]).alias("_n"), *size.values())
+    flat = None
+    for c in numbers:
+        part = rows.select(*by, F.lit(c).alias("where"), F.posexplode(F.col(value)[c]).alias("slot", "v")).groupBy(*by, "where", "slot").agg(F.sum("v").alias("v"))
+        flat = part if flat is None else flat.unionByName(part)
+    entries = _summed_maps(rows, by, {c: F.col(value)[c] for c in maps}).groupBy(*by, "where", "slot").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("m"))
+    both = flat.withColumn("m", F.lit(None).cast(_NUM)).unionByName(entries.withColumn("v", F.lit(None).cast("double")))
+    got = both.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("/", "where", F.col("slot").cast("string")).alias("at"), F.struct("v", "m").alias("x")))).alias("_got"))
+    cond = [total[c].eqNullSafe(got[c]) for c in by]
+    joined = total.join(got, cond, "left") if by else total.join(got, F.lit(True), "left")
+
+    def gathered(c: str, of: str, empty: Column) -> Column:
+        at = lambda i: F.element_at("_got", F.concat(F.lit(f"{c}/"), i.cast("string")))[of]
+        slots = F.when(F.col(f"_{c}") > 0, F.sequence(F.lit(0), F.col(f"_{c}") - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(slots, lambda i: F.coalesce(at(i), empty))
+
+    fields = [F.coalesce("_n", F.lit(0)).cast("long").alias("n"), *(gathered(c, "v", F.lit(0.0)).alias(c) for c in numbers), *(gathered(c, "m", F.create_map().cast(_NUM)).alias(c) for c in maps)]
+    return joined.select(*(total[c] for c in by), F.struct(*fields).alias(value))
+
+
 def nb_lift(cont: list[Column], cat: list[Column]) -> Column:
     """The Naive Bayes ring: count, sums, sums of squares, category counts."""
     x = [c.cast("double") for c in cont]

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Continuous columns up to which native SUM expressions are used.
 NATIVE = 12
+#: Columns of the one-hot expansion up to which its matrix (8 bytes a cell) is built on the driver.
+EXPANDED = 10_000
 
 
 @dataclass
@@ -43,6 +45,10 @@ class Cofactor:
             self.cat_cat.setdefault((c, d), {})
 
     def _with(self, other: Cofactor, sign: int) -> Cofactor:
+        if not other.cont and not other.cat and not other.n:
+            return self  # an empty operand
+        if not self.cont and not self.cat and not self.n and sign > 0:
+            return other
         if (self.cont, self.cat) != (other.cont, other.cat):
             raise ValueError("columns differ")
 
@@ -107,7 +113,28 @@ class Cofactor:
     def sigma(self, drop_first: bool = False, skip: str | None = None) -> tuple[list[tuple], np.ndarray]:
         """The expanded matrix Z'Z with its names."""
         names = self.layout(drop_first, skip)
-        return names, np.array([[self.entry(a, b) for b in names] for a in names]).reshape(len(names), len(names))
+        if len(names) > EXPANDED:
+            raise ValueError(f"the expansion has {len(names)} columns; a matrix on the driver may have {EXPANDED}")
+        at = {name: i for i, name in enumerate(names)}
+        lead = [i for i, name in enumerate(names) if len(name) == 1]  # the constant and the continuous columns
+        out = np.zeros((len(names), len(names)))
+        for i in lead:
+            for j in lead:
+                out[i, j] = self.entry(names[i], names[j])
+        for c, counts in self.lin_cat.items():
+            for k, v in counts.items():
+                if (c, k) in at:
+                    out[at[c, k], at[c, k]] = out[0, at[c, k]] = out[at[c, k], 0] = v
+        for (x, c), sums in self.num_cat.items():
+            if (x,) in at:
+                for k, v in sums.items():
+                    if (c, k) in at:
+                        out[at[x,], at[c, k]] = out[at[c, k], at[x,]] = v
+        for (c, d), counts in self.cat_cat.items():
+            for (k, m), v in counts.items():
+                if (c, k) in at and (d, m) in at:
+                    out[at[c, k], at[d, m]] = out[at[d, m], at[c, k]] = v
+        return names, out
 
     def class_sums(self, label: str, drop_first: bool = False) -> tuple[list, list[tuple], np.ndarray]:
         """Per category of ``label``, the sums of all other expanded columns."""

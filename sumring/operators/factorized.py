@@ -44,6 +44,10 @@ class JoinTree:
         return out
 
 
+#: Rows of the fact table for each of its keys from which sums are taken below the join.
+SHRINK = 4
+
+
 def _pair(a: str, b: str) -> str:
     return f"q_{min(a, b)}__{max(a, b)}"
 
@@ -75,6 +79,25 @@ def partial_sums(tree: JoinTree) -> tuple[DataFrame, list[str], list[str]]:
     return rows, cont, cat
 
 
+def train(tree: JoinTree, label: str, strategy: str = "auto", lam: float = 0.0):
+    """Ridge regression of ``label`` over a join: ``materialized`` writes the join and scans it, ``joined`` aggregates over it, ``factorized``
+    aggregates below it. ``auto`` goes below the join if the fact table's keys say that this shrinks it (``SHRINK`` rows a key)."""
+    from .cofactor import cofactor
+    from .lineage import cut
+    from .models import ridge
+
+    cont, cat = [*tree.cont, *(c for s in tree.steps for c in s.cont)], [*tree.cat, *(c for s in tree.steps for c in s.cat)]
+    if strategy == "auto":
+        rows, keys = tree.fact.agg(F.count("*"), F.approx_count_distinct(F.struct(*tree.keys))).first()
+        strategy = "factorized" if rows >= SHRINK * max(1, keys) else "joined"
+    if strategy == "factorized":
+        return ridge(factorized_cofactor(tree), label, lam)
+    if strategy not in ("joined", "materialized"):
+        raise ValueError("strategy is one of auto, materialized, joined, factorized")
+    rows = tree.joined().select(*cont, *cat)
+    return ridge(cofactor(cut(rows) if strategy == "materialized" else rows, cont, cat), label, lam)
+
+
 def factorized_sums(tree: JoinTree) -> DataFrame:
     """One row: n, s_x, q_x__y of the join."""
     rows, cont, _ = partial_sums(tree)
@@ -82,24 +105,44 @@ def factorized_sums(tree: JoinTree) -> DataFrame:
     return rows.agg(*(F.sum(c).alias(c) for c in sums))
 
 
+#: Categorical columns up to which sums are grouped by all of them at once.
+JOINT = 2
+
+
+def _only(tree: JoinTree, cont: bool, cats: tuple[str, ...]) -> JoinTree:
+    """The tree with the categorical columns ``cats`` alone, and with or without the continuous ones."""
+    some = lambda cs: [c for c in cs if c in cats]
+    steps = [Step(s.dim, s.on, s.cont if cont else [], some(s.cat), s.keys, s.regroup) for s in tree.steps]
+    return JoinTree(tree.fact, tree.cont if cont else [], some(tree.cat), tree.keys, steps)
+
+
+def _sums_of(rows: DataFrame, cont: list[str], by: tuple[str, ...]) -> list:
+    return rows.groupBy(*by).agg(F.sum("n").alias("n"), *(F.sum(f"s_{c}").alias(f"s_{c}") for c in cont)).collect()
+
+
 def factorized_cofactor(tree: JoinTree) -> Cofactor:
-    rows, cont, cat = partial_sums(tree)
+    """The statistics of the join. With more than ``JOINT`` categorical columns the sums for each of them, and for each pair, go up the tree
+    apart: the ring needs no more than pairs, and groups of all columns jointly would not shrink the fact table. Rows with a null among a
+    dimension's features do not count."""
+    every_cat = [*tree.cat, *(c for s in tree.steps for c in s.cat)]
+    clean = [Step(s.dim.dropna(subset=[*s.cont, *s.cat]) if s.cont or s.cat else s.dim, s.on, s.cont, s.cat, s.keys, s.regroup) for s in tree.steps]
+    tree = JoinTree(tree.fact.dropna(subset=[*tree.cont, *tree.cat]) if tree.cont or tree.cat else tree.fact, tree.cont, tree.cat, tree.keys, clean)
+    joint = len(every_cat) <= JOINT
+    rows, cont, _ = partial_sums(tree if joint else _only(tree, True, ()))
     sums = ["n", *(f"s_{c}" for c in cont), *(_pair(a, b) for i, a in enumerate(cont) for b in cont[i:])]
-    out = Cofactor(cont, cat)
+    out = Cofactor(cont, every_cat)
     r = rows.agg(*(F.sum(c).alias(c) for c in sums)).first()
     out.n = float(r["n"] or 0)
     for i, a in enumerate(cont):
         out.lin[i] = r[f"s_{a}"] or 0.0
         for j, b in enumerate(cont):
             out.quad[i, j] = r[_pair(a, b)] or 0.0
-    if cat:
-        sets = [[F.col(c) for c in s] for s in [*((c,) for c in cat), *combinations(cat, 2)]]
-        for r in rows.groupingSets(sets, *cat).agg(F.grouping_id().alias("_gid"), F.sum("n").alias("n"), *(F.sum(f"s_{c}").alias(f"s_{c}") for c in cont)).collect():
-            inside = [c for i, c in enumerate(cat) if not r["_gid"] >> (len(cat) - 1 - i) & 1]
-            if len(inside) == 1:
-                out.lin_cat[inside[0]][r[inside[0]]] = float(r["n"])
-                for c in cont:
-                    out.num_cat[c, inside[0]][r[inside[0]]] = r[f"s_{c}"]
-            else:
-                out.cat_cat[tuple(inside)][r[inside[0]], r[inside[1]]] = float(r["n"])
+    for c in every_cat:
+        for r in _sums_of(rows if joint else partial_sums(_only(tree, True, (c,)))[0], cont, (c,)):
+            out.lin_cat[c][r[c]] = float(r["n"])
+            for x in cont:
+                out.num_cat[x, c][r[c]] = r[f"s_{x}"]
+    for pair in combinations(every_cat, 2):
+        for r in _sums_of(rows if joint else partial_sums(_only(tree, False, pair))[0], [], pair):
+            out.cat_cat[pair][r[pair[0]], r[pair[1]]] = float(r["n"])
     return out

@@ -36,7 +36,8 @@ def standard_scale(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def label_encode(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Codes 0, 1, ... in sorted order of the distinct values, by a dictionary join; null has no code."""
+    """Codes 0, 1, ... in sorted order of the distinct values, by a dictionary join; null has no code. The dictionary alone is numbered in one
+    task, so this is for columns of categories, not of keys."""
     dictionary = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn(out, F.row_number().over(Window.orderBy(column)) - 1)
     return df.join(dictionary, column, "left")
 
@@ -57,10 +58,34 @@ def mcar(column: str, keys: list[Column], ratio: float) -> Column:
 
 
 def mask_by_rank(df: DataFrame, column: str, driver: str, keys: list[Column], ratio: float) -> DataFrame:
-    """MAR (driver is another column) or MNAR (driver is the column): one aggregation for the range, then a projection."""
+    """MAR (driver is another column) or MNAR (driver is the column): a row loses its value with a chance that grows in proportion to the rank
+    of the driver, ``ratio`` on the whole. Ranks come from grouped counts of the driver's values, so no window holds all rows; equal
+    values share their mean rank; rows without a driver lose nothing."""
+    n = df.where(F.col(driver).isNotNull()).count()
+    counts = df.where(F.col(driver).isNotNull()).groupBy(F.col(driver).alias("_driver")).agg(F.count("*").alias("_k"))
+    # Running counts in two steps: of ranges of values (few), then within a range.
+    ranges = counts.withColumn("_range", F.width_bucket("_driver", *(F.lit(x) for x in _limits(df, driver)), F.lit(RANGES)))
+    before = ranges.groupBy("_range").agg(F.sum("_k").alias("_all")).withColumn("_before", F.sum("_all").over(Window.orderBy("_range")) - F.col("_all")).drop("_all")
+    inside = F.sum("_k").over(Window.partitionBy("_range").orderBy("_driver"))
+    rank = ranges.withColumn("_upto", inside).join(F.broadcast(before), "_range").select("_driver", ((F.col("_before") + F.col("_upto") - (F.col("_k") - 1) / 2) / F.lit(float(n + 1))).alias("_rank"))
+    out = df.join(rank, df[driver] == rank["_driver"], "left")
+    return out.withColumn(column, F.when(F.coalesce(hash_unit(keys) >= 2 * ratio * F.col("_rank"), F.lit(True)), F.col(column))).drop("_driver", "_rank")
+
+
+#: Ranges of a driver's values that are ranked apart.
+RANGES = 1000
+
+
+def _limits(df: DataFrame, driver: str) -> tuple[float, float]:
     low, high = df.agg(F.min(driver), F.max(driver)).first()
-    rank = (F.col(driver) - F.lit(low)) / F.lit(float(high - low) or 1.0) if low is not None else F.lit(0.0)
-    return df.withColumn(column, F.when(hash_unit(keys) >= 2 * ratio * rank, F.col(column)))
+    low = float(low or 0)
+    return low, max(float(high or 0), low) + 1.0
+
+
+def mean_interval(values: Column, critical: float) -> tuple[Column, Column]:
+    """Ends of the confidence interval of a mean, aggregates; ``critical`` is the quantile of Student's t for the size of the sample."""
+    half = critical * F.stddev_samp(values) / F.sqrt(F.count(values))
+    return F.avg(values) - half, F.avg(values) + half
 
 
 def rmse(truth: Column, guess: Column) -> Column:

@@ -1,9 +1,11 @@
 """Missing values: fills, null patterns, and chained-equation imputation (MICE) in four physical strategies.
 
-All strategies give the same values when noise is off; they differ in what they scan. ``baseline`` aggregates the observed rows anew for
-each column. ``delta`` keeps the statistics of all rows and takes out, then puts back, what the column's missing rows contribute.
-``reverse`` keeps those of complete rows fixed and adds the observed among incomplete rows. ``factorized`` computes statistics up a join
-tree instead of over the joined table. Values change by projection (``when(is_null, prediction)``), so no row id is needed.
+All strategies give the same values when noise is off; they differ in what they scan and write. ``baseline`` aggregates the observed rows
+anew for each column and rewrites the table. The others split the table once by null pattern and rewrite only the patterns in which the
+column is missing; complete rows are never written again. ``delta`` keeps the statistics of all rows and takes out, then puts back, what the
+column's missing rows contribute. ``reverse`` keeps those of complete rows fixed and adds the observed among incomplete rows.
+``factorized`` is ``delta`` over a fact table whose other features are in dimensions: statistics go up a join tree, and only rows to be
+imputed look their dimensions up. Values change by projection (``when(is_null, prediction)``), so no row id is needed.
 """
 
 from __future__ import annotations
@@ -15,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cofactor import Cofactor, cofactor
-from .lineage import cut
+from .factorized import JoinTree, Step, factorized_cofactor
+from .lineage import Parts, cut
 from .models import lda, ridge
 
 FLAG = "{}_is_null"
@@ -26,10 +29,14 @@ def flag(c: str) -> str:
 
 
 def fill_values(df: DataFrame, cont: list[str], cat: list[str]) -> dict:
-    """Mean of each continuous, least mode of each categorical column, over all rows of the table."""
-    agg = [F.avg(F.col(c).cast("double")).alias(c) for c in cont] + [F.mode(c, deterministic=True).alias(c) for c in cat]
-    row = df.agg(*agg).first() if agg else {}
-    return {c: row[c] for c in [*cont, *cat]}
+    """Mean of each continuous, least mode of each categorical column, over all rows of the table. Modes come from grouped counts, so that no
+    buffer holds all values of a column."""
+    row = df.agg(*(F.avg(F.col(c).cast("double")).alias(c) for c in cont)).first() if cont else {}
+    out = {c: row[c] for c in cont}
+    for c in cat:
+        top = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_k")).orderBy(F.col("_k").desc(), F.col(c)).first()
+        out[c] = top[c] if top else None
+    return out
 
 
 def null_count(columns: list[str]) -> Column:
@@ -76,21 +83,36 @@ def normal(keys: list[str], salt: str, seed: int) -> Column:
     return F.sqrt(-2 * F.log(uniform(keys, salt + "/r", seed))) * F.cos(2 * math.pi * uniform(keys, salt + "/a", seed))
 
 
+STRATEGIES = ("baseline", "delta", "reverse", "factorized")
+
+
 def mice(df: DataFrame, cont: list[str], cat: list[str], cont_null: list[str], cat_null: list[str], strategy: str = "baseline", iterations: int = 1, lam: float = 0.0,
-         shrinkage: float = 0.0, order: str = "cat_first", noise_keys: list[str] | None = None, seed: int = 0, statistics: Callable[[DataFrame], Cofactor] | None = None, on_train: Callable | None = None) -> DataFrame:
+         shrinkage: float = 0.0, order: str = "cat_first", noise_keys: list[str] | None = None, seed: int = 0, steps: list[Step] | None = None, on_train: Callable | None = None) -> DataFrame:
     """``df`` with the nulls of ``cont_null`` and ``cat_null`` replaced; the other feature columns must have none.
 
     Rows in which every listed column is null are left out of training and imputed last in each round, column by column. Noise of the
     model's residual variance is added to continuous predictions if ``noise_keys`` names the columns it is drawn from. ``on_train`` is
-    called with (column, statistics, current rows). Extra columns pass through.
+    called with (column, statistics, current rows). Extra columns pass through. ``steps`` (for ``factorized`` only) join the dimensions that
+    hold the features which ``df`` has not; their keys are unique, and rows without a partner keep the fill.
     """
-    stat = statistics or (lambda rows: cofactor(rows, cont, cat))
+    if strategy not in STRATEGIES or (strategy == "factorized") != bool(steps):
+        raise ValueError(f"strategy is one of {', '.join(STRATEGIES)}; steps go with factorized")
     targets = [*cat_null, *cont_null] if order == "cat_first" else [*cont_null, *cat_null]
     k, names = len(targets), df.columns
-    rows = prepare(df, cont_null, cat_null)
-    rows = cut(rows)
-    train = lambda r: r.where(F.col("null_cnt") < k) if k > 1 else r
-    whole = stat(train(rows)) if strategy == "delta" else stat(rows.where("null_cnt = 0")) if strategy == "reverse" else None
+    if steps:
+        keys = list(dict.fromkeys(c for s in steps for c in s.on if c in names))
+        own = ([c for c in cont if c in names], [c for c in cat if c in names])
+        stat = lambda r: factorized_cofactor(JoinTree(r.select(*dict.fromkeys([*keys, *own[0], *own[1]])), *own, keys, steps))
+    else:
+        stat = lambda r: cofactor(r, cont, cat)
+
+    def imputed(r: DataFrame, changes: list[tuple[str, Column]]) -> DataFrame:
+        before = r.columns
+        for s in steps or []:
+            r = r.join(s.dim.select(*dict.fromkeys([*s.on, *s.cont, *s.cat, *(c for c in s.keys if c in s.dim.columns)])), s.on, "left")
+        for c, predicted in changes:
+            r = r.withColumn(c, F.when(F.col(flag(c)), F.coalesce(predicted, F.col(c))).otherwise(F.col(c)))
+        return r.select(*before)
 
     def model_column(c: str, value: Cofactor, salt: str) -> Column:
         if value.n == 0:
@@ -99,29 +121,47 @@ def mice(df: DataFrame, cont: list[str], cat: list[str], cont_null: list[str], c
             return ridge(value, c, lam).predict(normal(noise_keys, salt, seed) if noise_keys else None)
         return lda(value, c, shrinkage).predict().cast(df.schema[c].dataType)
 
+    rows = prepare(df, cont_null, cat_null)
+    if strategy == "baseline":
+        rows = cut(rows)
+        train = lambda r: r.where(F.col("null_cnt") < k) if k > 1 else r
+        for round_ in range(iterations):
+            models = []
+            for c in targets:
+                value = stat(train(rows).where(~F.col(flag(c))))
+                if on_train:
+                    on_train(c, value, rows)
+                models.append((c, model_column(c, value, f"{c}/{round_}")))
+                here = F.col("null_cnt") < k if k > 1 else F.lit(True)
+                rows = cut(rows.withColumn(c, F.when(F.col(flag(c)) & here, models[-1][1]).otherwise(F.col(c))), rows)
+            if k > 1:
+                last = F.col("null_cnt") == k
+                new = rows
+                for c, predicted in models:
+                    new = new.withColumn(c, F.when(last, predicted).otherwise(F.col(c)))
+                rows = cut(new, rows)
+        return rows.select(*names)
+
+    place = F.when(F.col("null_cnt") == 0, "none").when((F.col("null_cnt") == k) & (F.lit(k) > 1), "all").when(F.col("null_cnt") == 1, F.concat(F.lit("one"), F.col("null_col_id").cast("string"))).otherwise("some")
+    parts = Parts(rows.withColumn("null_part", place), "null_part")
+    single = {c: f"one{i}" for i, c in enumerate([*cont_null, *cat_null], 1)}
+    trained = ["none", *single.values(), "some"]
+    whole = stat(parts.read("none")) if strategy == "reverse" else stat(parts.read(*trained))
     for round_ in range(iterations):
-        models: list[tuple[str, Column]] = []
+        models = []
         for c in targets:
             missing = F.col(flag(c))
-            if strategy == "delta":
-                value = whole - stat(train(rows).where(missing))
-            elif strategy == "reverse":
-                value = whole + stat(rows.where((F.col("null_cnt") > 0) & ~missing))
-            else:
-                value = stat(train(rows).where(~missing))
+            touched = lambda c=c, missing=missing: parts.read(single[c], "some").where(missing)
+            value = whole + stat(parts.read(*trained[1:]).where(~missing)) if strategy == "reverse" else whole - stat(touched())
             if on_train:
-                on_train(c, value, rows)
-            predicted = model_column(c, value, f"{c}/{round_}")
-            models.append((c, predicted))
-            here = missing & (F.col("null_cnt") < k) if k > 1 else missing
-            rows = cut(rows.withColumn(c, F.when(here, predicted).otherwise(F.col(c))))
-            if strategy == "delta":
-                whole = value + stat(train(rows).where(missing))
-        if k > 1:
-            for c, predicted in models:
-                rows = rows.withColumn(c, F.when(F.col("null_cnt") == k, predicted).otherwise(F.col(c)))
-            rows = cut(rows)
-    return rows.select(*names)
+                on_train(c, value, parts.read(*parts.names))
+            models.append((c, model_column(c, value, f"{c}/{round_}")))
+            for name in (single[c], "some"):
+                parts.rewrite(name, lambda r: imputed(r, models[-1:]))
+            if strategy != "reverse":
+                whole = value + stat(touched())
+        parts.rewrite("all", lambda r: imputed(r, models))
+    return parts.read(*parts.names).select(*names)
 
 
 def impute_dimension(fact: DataFrame, dim: DataFrame, key: str, column: str, prediction: Column) -> DataFrame:

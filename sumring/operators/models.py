@@ -129,6 +129,25 @@ class Discriminant:
     def predict(self) -> Column:
         return _argmax(self.score_columns(), self.labels)
 
+    def predict_index(self) -> Column:
+        """Index of the class, in the order of ``labels``."""
+        return _argmax(self.score_columns(), list(range(len(self.labels))))
+
+    def predict_at(self, cont: list[Column], positions: list[Column]) -> Column:
+        """Index of the class from continuous values and, for each categorical column, the position of its category in ``names`` (null or
+        outside: contributes nothing)."""
+        if self.matrices is not None:
+            raise ValueError("positions go with linear discriminants")
+        scores = []
+        for w in self.weights:
+            at, out = F.array(*(F.lit(float(x)) for x in w)), F.lit(float(w[0]))
+            for i, x in enumerate(cont, 1):
+                out = out + F.lit(float(w[i])) * x.cast("double")
+            for p in positions:
+                out = out + F.when(p > len(cont), F.coalesce(F.get(at, p.cast("int")), F.lit(0.0))).otherwise(0.0)
+            scores.append(out)
+        return _argmax(scores, list(range(len(self.labels))))
+
 
 def lda(value: Cofactor, label: str, shrinkage: float = 0.0) -> Discriminant:
     """Common within-class covariance, shrunk towards a multiple of the identity; scores are linear."""
@@ -180,16 +199,18 @@ class NaiveBayes:
     freq: list[dict]
 
     def predict(self) -> Column:
-        """Greatest prior * product of densities and frequencies; if all are 0, the first class."""
-        scores = []
+        """Greatest prior * product of densities and frequencies, as a sum of logarithms, which does not underflow with many columns; if all are
+        0 (a category unseen in every class), the first class."""
+        never, scores = float("-inf"), []
         for k in range(len(self.labels)):
-            p = F.lit(float(self.prior[k]))
+            p = F.lit(float(np.log(self.prior[k])))
             for i, c in enumerate(self.cont):
                 v = float(self.var[k][i]) + 1e-9
-                p = p * F.exp(-F.pow(F.col(c).cast("double") - float(self.mean[k][i]), F.lit(2.0)) / (2 * v)) / float(np.sqrt(2 * np.pi * v))
+                away = F.col(c).cast("double") - float(self.mean[k][i])
+                p = p - away * away / (2 * v) - float(np.log(2 * np.pi * v) / 2)
             for c in self.cat:
-                table = F.create_map(*(F.lit(x) for kv in self.freq[k][c].items() for x in kv))
-                p = p * F.coalesce(table[F.col(c)], F.lit(0.0))
+                table = F.create_map(*(F.lit(x) for key, f in self.freq[k][c].items() for x in (key, float(np.log(f)) if f > 0 else never))) if self.freq[k][c] else None
+                p = p + (F.lit(never) if table is None else F.coalesce(table[F.col(c)], F.lit(never)))
             scores.append(p)
         return _argmax(scores, self.labels)
 

@@ -17,6 +17,8 @@ from ..operators import factorized as fz
 from ..operators import features as ft
 from ..operators import impute as im
 from ..operators import models as ml
+from ..operators.comparator import ml_mice
+from ..operators.lineage import Parts
 from ..session import ship_package
 from ..streaming.running import into_memory, running_sums
 
@@ -276,6 +278,63 @@ def cofactor_stats(t):
     return t.one(total=int(s["total"]), least=int(s["min"]), most=int(s["max"]))
 
 
+@query(f"WITH {LI} SELECT ls, rf AS k, count(*)::DOUBLE AS c, sum(q) AS s, sum(count(*)) OVER (PARTITION BY ls)::BIGINT AS n, sum(sum(q * p)) OVER (PARTITION BY ls) AS qp FROM li GROUP BY ls, rf")
+def ring_sum_cat(t):
+    """SUM over stored ring values, maps included."""
+    got = ring.sum_values(t.li.select("ls", ring.lift([F.col("q"), F.col("p")], [F.col("rf")]).alias("v")), "v", ["ls"])
+    rows = got.select("ls", "v", F.explode(F.col("v.lin_cat")[0]).alias("k", "c"))
+    return rows.select("ls", "k", "c", F.element_at(F.col("v.num_cat")[0], F.col("k")).alias("s"), F.col("v.n").alias("n"), F.col("v.quad")[1].alias("qp"))
+
+
+@query(f"WITH {LI} SELECT rf || '|' || ls AS k, count(*)::DOUBLE AS c FROM li GROUP BY 1")
+def ring_sum_pairs(t):
+    got = ring.sum_values(t.li.select(ring.lift([], [F.col("rf"), F.col("ls")]).alias("v")), "v")
+    return got.select(F.explode(F.col("v.cat_cat")[0]).alias("k", "c"))
+
+
+@query(f"WITH {LI} SELECT ls, rf AS k, count(*)::DOUBLE AS v FROM li GROUP BY ls, rf")
+def relation_sum_map(t):
+    got = ring.sum_relations(t.li.select("ls", ring.relation(F.col("rf")).alias("r")), "r", ["ls"])
+    return got.select("ls", F.explode("r").alias("k", "v"))
+
+
+@query("SELECT n_nationkey, n_regionkey::VARCHAR AS k, 1.0::DOUBLE AS v FROM nation")
+def relation_lift(t):
+    return t.nation.select("n_nationkey", F.explode(ring.relation(F.col("n_regionkey"))).alias("k", "v"))
+
+
+@query("SELECT r_regionkey AS k, (count(*) - 1) * 0 + 0 AS n, sum(n_nationkey - r_regionkey)::DOUBLE AS s, sum(n_nationkey * n_nationkey - r_regionkey * r_regionkey)::DOUBLE AS s2 FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey")
+def ring_value_sub(t):
+    rows = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    v = ring.sub(ring.lift([F.col("n_nationkey")], [F.col("n_name")]), ring.lift([F.col("r_regionkey")], [F.col("r_name")]))
+    return rows.select("r_regionkey", v.alias("v")).groupBy(F.col("r_regionkey").alias("k")).agg(F.sum("v.n").alias("n"), F.sum(F.col("v.lin")[0]).alias("s"), F.sum(F.col("v.quad")[0]).alias("s2"))
+
+
+GROUPED = "a AS (SELECT r_regionkey % 2 AS g, count(*) AS n, sum(r_regionkey)::DOUBLE AS s FROM region GROUP BY 1), b AS (SELECT n_regionkey % 2 AS h, count(*) AS n, sum(n_nationkey)::DOUBLE AS s FROM nation GROUP BY 1)"
+GROUPED_CAT = "ac AS (SELECT r_regionkey % 2 AS g, r_name AS k, count(*)::DOUBLE AS c FROM region GROUP BY 1, 2), bc AS (SELECT n_regionkey % 2 AS h, n_regionkey::VARCHAR AS k, count(*)::DOUBLE AS c FROM nation GROUP BY 1, 2)"
+
+
+@query(f"WITH {GROUPED}, {GROUPED_CAT} SELECT a.g, b.h, a.n * b.n AS n, a.s * b.n AS s_0, b.s * a.n AS s_1, a.s * b.s AS q_0_1, ac.k || '|' || bc.k AS k, ac.c * bc.c AS c FROM a, b, ac, bc WHERE ac.g = a.g AND bc.h = b.h")
+def cofactor_mul_grouped(t):
+    """Product of two grouped sums, group by group (a few groups on both sides), categories included."""
+    a = ring.sum_values(t.region.select((F.col("r_regionkey") % 2).alias("g"), ring.lift([F.col("r_regionkey")], [F.col("r_name")]).alias("va")), "va", ["g"])
+    b = ring.sum_values(t.nation.select((F.col("n_regionkey") % 2).alias("h"), ring.lift([F.col("n_nationkey")], [F.col("n_regionkey")]).alias("vb")), "vb", ["h"])
+    v = a.crossJoin(b).select("g", "h", ring.mul(F.col("va"), F.col("vb"), (1, 1), (1, 1)).alias("v"))
+    return v.select("g", "h", F.col("v.n").alias("n"), F.col("v.lin")[0].alias("s_0"), F.col("v.lin")[1].alias("s_1"), F.col("v.quad")[1].alias("q_0_1"), F.explode(F.col("v.cat_cat")[0]).alias("k", "c"))
+
+
+@query(f"WITH {LI} SELECT rf AS g, ls AS k, count(*)::DOUBLE AS c, sum(count(*)) OVER (PARTITION BY rf)::BIGINT AS n, sum(sum(q*q)) OVER (PARTITION BY rf) AS s2 FROM li GROUP BY rf, ls")
+def nb_sum(t):
+    got = ring.sum_values(t.li.select(F.col("rf").alias("g"), ring.nb_lift([F.col("q")], [F.col("ls")]).alias("v")), "v", ["g"], "nb")
+    return got.select("g", F.explode(F.col("v.cat")[0]).alias("k", "c"), F.col("v.n").alias("n"), F.col("v.sq")[0].alias("s2"))
+
+
+@query(f"WITH {LI} SELECT {K}, 0::BIGINT AS n, q - p AS s, q*q - p*p AS s2 FROM li")
+def nb_sub(t):
+    v = ring.nb_combine(ring.nb_lift([F.col("q")], []), ring.nb_lift([F.col("p")], []), -1)
+    return t.li.select(*KEYS, v.alias("v")).select(*KEYS, "v.n", F.col("v.lin")[0].alias("s"), F.col("v.sq")[0].alias("s2"))
+
+
 # --- joins and factorized statistics -----------------------------------------------------------------------------------------------
 
 FACT = "SELECT l_orderkey, l_partkey, l_suppkey, l_quantity AS q, CAST(floor(l_extendedprice) AS DOUBLE) AS p, l_returnflag AS rf FROM lineitem"
@@ -318,6 +377,43 @@ def cofactor_star5(t):
     return fz.factorized_sums(fz.JoinTree(fact, ["q"], [], ["pk", "sk"], steps)).select("n", "s_q", "s_rp", "q_q__rp", "q_rp__sb")
 
 
+STAR = "w AS (SELECT s_suppkey AS sk, x AS ln, ((s_suppkey * 7 + x * 5) % 13)::DOUBLE AS wx, ((s_suppkey + x) % 3)::INTEGER AS wc FROM supplier, range(1, 8) r(x)), sj AS (SELECT l_quantity AS q, CAST(floor(p_retailprice) AS DOUBLE) AS rp, CAST(floor(s_acctbal) AS DOUBLE) AS sb, wx, wc, n_regionkey AS rk, l_returnflag AS rf FROM lineitem JOIN part ON l_partkey = p_partkey JOIN w ON l_suppkey = w.sk AND l_linenumber = w.ln JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)"
+
+
+def _star(t, cats: bool = True) -> tuple[DataFrame, list[fz.Step]]:
+    """A star of five tables, one of them with a composite key; supplier leads on to nation."""
+    fact = t.lineitem.selectExpr("l_partkey AS pk", "l_suppkey AS sk", "l_linenumber AS ln", "l_quantity AS q", "l_returnflag AS rf")
+    part = t.part.selectExpr("p_partkey AS pk", "CAST(floor(p_retailprice) AS DOUBLE) AS rp")
+    weather = t.supplier.selectExpr("s_suppkey AS sk", "explode(sequence(1, 7)) AS x").selectExpr("sk", "x AS ln", "CAST((sk * 7 + x * 5) % 13 AS DOUBLE) AS wx", "CAST((sk + x) % 3 AS INT) AS wc")
+    supp = t.supplier.selectExpr("s_suppkey AS sk", "s_nationkey AS nk", "CAST(floor(s_acctbal) AS DOUBLE) AS sb")
+    nation = t.nation.selectExpr("n_nationkey AS nk", "n_regionkey AS rk")
+    some = lambda *c: list(c) if cats else []
+    steps = [fz.Step(part, ["pk"], ["rp"], [], ["sk", "ln"], True), fz.Step(weather, ["sk", "ln"], ["wx"], some("wc"), ["sk"], True), fz.Step(supp, ["sk"], ["sb"], [], ["nk"], True), fz.Step(nation, ["nk"], [], some("rk"))]
+    return fact, steps
+
+
+@query(f"WITH {STAR} SELECT count(*)::DOUBLE AS n, sum(q) AS s_q, sum(rp * wx) AS q_rp_wx, sum(sb * wx) AS q_sb_wx, count(*) FILTER (WHERE wc = 1 AND rk = 2)::DOUBLE AS c_wc_rk, count(*) FILTER (WHERE rf = 'R' AND wc = 0)::DOUBLE AS c_rf_wc, sum(sb) FILTER (WHERE rk = 3) AS s_sb_rk FROM sj")
+def cofactor_star_composite(t):
+    """Three categorical columns in three tables: sums of each pair go up the tree apart."""
+    fact, steps = _star(t)
+    v = fz.factorized_cofactor(fz.JoinTree(fact, ["q"], ["rf"], ["pk", "sk", "ln"], steps))
+    i = v.cont.index
+    return t.one(n=float(v.n), s_q=float(v.lin[i("q")]), q_rp_wx=float(v.quad[i("rp"), i("wx")]), q_sb_wx=float(v.quad[i("sb"), i("wx")]), c_wc_rk=v.cat_cat["wc", "rk"][1, 2], c_rf_wc=v.cat_cat["rf", "wc"]["R", 0], s_sb_rk=float(v.num_cat["sb", "rk"][3]))
+
+
+@query(f"WITH {CJ}, m AS (SELECT round(regr_intercept(q, tp), 4) AS a, round(regr_slope(q, tp) * 1000, 5) AS b FROM j) SELECT x AS strategy, a, b FROM m, (VALUES ('auto'), ('factorized'), ('joined'), ('materialized')) v(x)")
+def train_strategies(t):
+    fact, steps = t.lineitem.selectExpr("l_orderkey AS ok", "l_quantity AS q"), [fz.Step(t.orders.selectExpr("o_orderkey AS ok", "CAST(floor(o_totalprice / 100) AS DOUBLE) AS tp"), ["ok"], ["tp"])]
+    models = {s: fz.train(fz.JoinTree(fact, ["q"], [], ["ok"], steps), "q", s) for s in ("auto", "factorized", "joined", "materialized")}
+    return t.rows([(s, float(m.theta[0]), float(m.theta[1])) for s, m in models.items()], "strategy string, a double, b double").select("strategy", F.round("a", 4).alias("a"), F.round(F.col("b") * 1000, 5).alias("b"))
+
+
+@query("SELECT count(*) AS n, sum(l_quantity) AS s FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 5)")
+def semi_join_in(t):
+    near = t.supplier.where("s_nationkey < 5")
+    return t.lineitem.join(near, F.col("l_suppkey") == F.col("s_suppkey"), "left_semi").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("s"))
+
+
 # --- linear algebra ------------------------------------------------------------------------------------------------------------------
 
 OH = "z AS (SELECT 1.0::DOUBLE AS c0, q AS c1, (CASE WHEN rf = 'A' THEN 1 ELSE 0 END)::DOUBLE AS c2, (CASE WHEN rf = 'N' THEN 1 ELSE 0 END)::DOUBLE AS c3, (CASE WHEN rf = 'R' THEN 1 ELSE 0 END)::DOUBLE AS c4 FROM li)"
@@ -443,9 +539,28 @@ def lda_1feat_train(t):
     return t.rows([(k, float(w[1]), float(w[0])) for k, w in zip(m.labels, m.weights, strict=True)], "k string, w double, b double").select("k", F.round(F.col("w") * 1e6, 4).alias("w"), F.round("b", 6).alias("b"))
 
 
-@query(f"WITH {LI}, {LDA}, s AS (SELECT {K}, k.rf, li.p * (s / k.n) / v - 0.5 * (s / k.n) * (s / k.n) / v + ln(k.n / g.n) AS z FROM li, k, g) SELECT {K}, arg_max(rf, z) AS y, count(*) // 3 AS copies FROM s GROUP BY {K}")
+BEST = "best AS (SELECT p, arg_max(i, z) AS i, arg_max(rf, z) AS y FROM s GROUP BY p)"
+LDA_Z = "s AS (SELECT x.p, k.rf, row_number() OVER (PARTITION BY x.p ORDER BY k.rf) - 1 AS i, x.p * (s / k.n) / v - 0.5 * (s / k.n) * (s / k.n) / v + ln(k.n / g.n) AS z FROM (SELECT DISTINCT p FROM li) x, k, g)"
+
+
+@query(f"WITH {LI}, {LDA}, {LDA_Z}, {BEST} SELECT p, y, count(*) AS n FROM li JOIN best USING (p) GROUP BY p, y")
 def lda_predict(t):
-    return t.li.select(*KEYS, _lda(t).predict().alias("y")).groupBy(*KEYS).agg(F.max("y").alias("y"), F.count("*").alias("copies"))
+    return t.li.select("p", _lda(t).predict().alias("y")).groupBy("p", "y").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {LI}, {LDA}, {LDA_Z}, {BEST} SELECT i::INTEGER AS i, count(*) AS n FROM li JOIN best USING (p) GROUP BY i")
+def lda_predict_index(t):
+    return t.li.select(_lda(t).predict_index().alias("i")).groupBy("i").agg(F.count("*").alias("n"))
+
+
+LDA_C = "k AS (SELECT rf, count(*)::DOUBLE AS n, sum(p) AS s FROM li GROUP BY rf), g AS (SELECT sum(n) AS n, ((SELECT sum(p*p) FROM li) - sum(s * s / n)) / sum(n) AS v FROM k)"
+
+
+@query(f"WITH {LI}, {LDA_C}, {LDA_Z}, {BEST} SELECT i::INTEGER AS i, count(*) AS n FROM li JOIN best USING (p) GROUP BY i")
+def lda_predict_at(t):
+    """The same from values and positions; a second, constant category of weight zero stands at position 2."""
+    m = ml.lda(co.cofactor(t.li.withColumn("one", F.lit("x")), ["p"], ["rf", "one"]), "rf")
+    return t.li.select(m.predict_at([F.col("p")], [F.lit(2)]).alias("i")).groupBy("i").agg(F.count("*").alias("n"))
 
 
 QDA = "k AS (SELECT rf, count(*)::DOUBLE AS n, avg(p) AS mu, sum(p*p) / count(*) - avg(p) * avg(p) AS v FROM li GROUP BY rf), g AS (SELECT sum(n) AS n FROM k)"
@@ -461,9 +576,9 @@ def qda_1feat_train(t):
     return t.rows([(k, float(m.matrices[i][1, 1]), float(m.weights[i][1]), float(m.weights[i][0])) for i, k in enumerate(m.labels)], "k string, a double, b double, c double").select("k", F.round(F.col("a") * 1e10, 3).alias("a"), F.round(F.col("b") * 1e6, 3).alias("b"), F.round("c", 6).alias("c"))
 
 
-@query(f"WITH {LI}, {QDA}, s AS (SELECT {K}, k.rf, -0.5 * (p - mu) * (p - mu) / v - 0.5 * ln(v) + ln(k.n / g.n) AS z FROM li, k, g) SELECT {K}, arg_max(rf, z) AS y, count(*) // 3 AS copies FROM s GROUP BY {K}")
+@query(f"WITH {LI}, {QDA}, s AS (SELECT x.p, k.rf, 0 AS i, -0.5 * (x.p - mu) * (x.p - mu) / v - 0.5 * ln(v) + ln(k.n / g.n) AS z FROM (SELECT DISTINCT p FROM li) x, k, g), {BEST} SELECT p, y, count(*) AS n FROM li JOIN best USING (p) GROUP BY p, y")
 def qda_predict(t):
-    return t.li.select(*KEYS, _qda(t).predict().alias("y")).groupBy(*KEYS).agg(F.max("y").alias("y"), F.count("*").alias("copies"))
+    return t.li.select("p", _qda(t).predict().alias("y")).groupBy("p", "y").agg(F.count("*").alias("n"))
 
 
 # --- imputation ------------------------------------------------------------------------------------------------------------------------
@@ -537,20 +652,88 @@ def mice_reverse_1it(t):
     return _mice(t, "reverse")
 
 
-FJ = f"fj AS (SELECT {K}, q, CAST(floor(o_totalprice / 100) AS DOUBLE) AS tp FROM nl JOIN orders ON l_orderkey = o_orderkey)"
+FJ = f"fj AS (SELECT {K}, q, CAST(floor(o_totalprice / 100) AS DOUBLE) AS tp, CAST(floor(c_acctbal) AS DOUBLE) AS ab FROM nl JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"
+ON_TP = "SELECT {k}, round(coalesce(q, (SELECT regr_intercept(q, tp) FROM fj) + (SELECT regr_slope(q, tp) FROM fj) * tp), 3) AS q FROM fj"
+
+
+def _orders(t):
+    return t.orders.selectExpr("o_orderkey AS l_orderkey", "o_custkey AS ck", "CAST(floor(o_totalprice / 100) AS DOUBLE) AS tp")
 
 
-@query(f"WITH {NL}, {FJ} SELECT {K}, round(coalesce(q, (SELECT regr_intercept(q, tp) FROM fj) + (SELECT regr_slope(q, tp) FROM fj) * tp), 3) AS q FROM fj")
+@query(f"WITH {NL}, {FJ} " + ON_TP.format(k=K))
 def mice_factorized_1it(t):
-    """Statistics are computed without the join's rows; only predicting looks the dimension up."""
-    orders = t.orders.selectExpr("o_orderkey AS l_orderkey", "CAST(floor(o_totalprice / 100) AS DOUBLE) AS tp")
-    stat = lambda rows: fz.factorized_cofactor(fz.JoinTree(rows.select("l_orderkey", "q"), ["q"], [], ["l_orderkey"], [fz.Step(orders, ["l_orderkey"], ["tp"])]))
-    fact = t.nl.select(*KEYS, "q")
-    model = ml.ridge(stat(fact), "q")
-    out = fact.join(orders, "l_orderkey").withColumn("q", F.coalesce("q", model.predict()))
+    """Statistics are computed without the join's rows; only rows to be imputed look the dimension up."""
+    out = im.mice(t.nl.select(*KEYS, "q"), ["q", "tp"], [], ["q"], [], "factorized", steps=[fz.Step(_orders(t), ["l_orderkey"], ["tp"])])
+    return out.select(*KEYS, F.round("q", 3).alias("q"))
+
+
+@query(f"WITH {NL}, {FJ} " + ON_TP.format(k=K))
+def mice_joined(t):
+    """Join first, then impute the wide table."""
+    out = im.mice(t.nl.select(*KEYS, "q").join(_orders(t).drop("ck"), "l_orderkey"), ["q", "tp"], [], ["q"], [], "baseline")
+    return out.select(*KEYS, F.round("q", 3).alias("q"))
+
+
+def _plane(y: str, a: str, b: str, rows: str, out: str) -> str:
+    """SQL of the least squares plane of y over a and b: columns {out}0, {out}1, {out}2."""
+    c = f"c{out} AS (SELECT covar_pop({a}, {a}) AS aa, covar_pop({a}, {b}) AS ab, covar_pop({b}, {b}) AS bb, covar_pop({a}, {y}) AS ay, covar_pop({b}, {y}) AS bY, avg({a}) AS ma, avg({b}) AS mb, avg({y}) AS my FROM {rows})"
+    c = c.replace("AS bY", "AS yb")
+    return f"{c}, {out} AS (SELECT my - {out}1 * ma - {out}2 * mb AS {out}0, {out}1, {out}2 FROM (SELECT *, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS {out}1, (aa * yb - ab * ay) / (aa * bb - ab * ab) AS {out}2 FROM c{out}))"
+
+
+@query(f"WITH {NL}, {FJ}, {_plane('q', 'tp', 'ab', '(SELECT * FROM fj WHERE q IS NOT NULL)', 'm')} SELECT {K}, round(coalesce(q, m0 + m1 * tp + m2 * ab), 3) AS q FROM fj, m")
+def mice_factorized_flight(t):
+    """A chain of tables: the fact's missing values from features one and two joins away."""
+    cust = t.customer.selectExpr("c_custkey AS ck", "CAST(floor(c_acctbal) AS DOUBLE) AS ab")
+    steps = [fz.Step(_orders(t), ["l_orderkey"], ["tp"], [], ["ck"], True), fz.Step(cust, ["ck"], ["ab"])]
+    out = im.mice(t.nl.select(*KEYS, "q"), ["q", "tp", "ab"], [], ["q"], [], "factorized", steps=steps)
+    return out.select(*KEYS, F.round("q", 3).alias("q"))
+
+
+SN = f"sn AS (SELECT {K}, CASE WHEN {NULLS['q']} THEN NULL ELSE l_quantity END AS q, CAST(floor(p_retailprice) AS DOUBLE) AS rp, wx FROM lineitem JOIN part ON l_partkey = p_partkey JOIN w ON l_suppkey = w.sk AND l_linenumber = w.ln)"
+
+
+@query(f"WITH {STAR}, {SN}, {_plane('q', 'rp', 'wx', '(SELECT * FROM sn WHERE q IS NOT NULL)', 'm')} SELECT {K}, round(coalesce(q, m0 + m1 * rp + m2 * wx), 3) AS q FROM sn, m")
+def mice_factorized_retailer(t):
+    """A star with a composite key, one missing column."""
+    part, weather = (s.dim.withColumnsRenamed({"pk": "l_partkey", "sk": "l_suppkey", "ln": "l_linenumber"}) for s in _star(t, False)[1][:2])
+    steps = [fz.Step(part, ["l_partkey"], ["rp"], [], ["l_suppkey", "l_linenumber"], True), fz.Step(weather, ["l_suppkey", "l_linenumber"], ["wx"])]
+    out = im.mice(t.nl.select(*KEYS, "q"), ["q", "rp", "wx"], [], ["q"], [], "factorized", steps=steps)
     return out.select(*KEYS, F.round("q", 3).alias("q"))
 
 
+TWO_NULL = f"f AS (SELECT {K}, t, q IS NULL AS nq, d IS NULL AS nd, coalesce(q, avg(q) OVER ()) AS q, coalesce(d, avg(d) OVER ()) AS d FROM nl), {_plane('q', 't', 'd', '(SELECT * FROM f WHERE NOT nq)', 'u')}, f1 AS (SELECT {K}, t, nq, nd, d, CASE WHEN nq AND NOT nd THEN u0 + u1 * t + u2 * d ELSE q END AS q, u0 + u1 * t + u2 * d AS guess FROM f, u), {_plane('d', 't', 'q', '(SELECT * FROM f1 WHERE NOT nd)', 'v')}"
+
+
+def _two(strategy: str):
+    @query(f"WITH {NL}, {TWO_NULL}, f2 AS (SELECT {K}, t, nd, d, CASE WHEN nq AND nd THEN guess ELSE q END AS q FROM f1) SELECT {K}, round(q, 4) AS q, round(CASE WHEN nd THEN v0 + v1 * t + v2 * q ELSE d END, 4) AS d FROM f2, v")
+    def two(t):
+        out = im.mice(t.nl.select(*KEYS, "q", "d", "t"), ["q", "d", "t"], [], ["q", "d"], [], strategy)
+        return out.select(*KEYS, F.round("q", 4).alias("q"), F.round("d", 4).alias("d"))
+
+
+for _s in ("baseline", "delta", "reverse"):
+    _two(_s)
+    _queries[f"mice_two_null_{_s}"], _sql[f"mice_two_null_{_s}"] = _queries.pop("two"), _sql.pop("two")
+
+
+@query(f"WITH {NL} " + ONE.format(k=K))
+def comparator_ml_mice(t):
+    return ml_mice(t.nl.select(*KEYS, "q", "t"), ["q", "t"], [], ["q"], []).select(*KEYS, F.round("q", 4).alias("q"))
+
+
+@query(f"WITH {NL} SELECT CASE WHEN c = 0 THEN '0' WHEN c = 4 THEN 'all' WHEN c > 1 THEN 'some' WHEN q IS NULL THEN 'one:q' WHEN p IS NULL THEN 'one:p' WHEN d IS NULL THEN 'one:d' ELSE 'one:rf' END AS bucket, count(*) AS n, sum(t) AS s FROM (SELECT *, {CNT} AS c FROM nl) GROUP BY 1 HAVING bucket <> 'some'")
+def partition_union_drop(t):
+    """A table written in parts by null pattern, one part dropped, the others put together by UNION ALL."""
+    parts = Parts(t.nl.withColumn("bucket", im.null_bucket(ALL4)), "bucket")
+    parts.drop("some")
+    out = None
+    for name in parts.part:
+        part = parts.read(name).withColumn("bucket", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("t").alias("s"))
+
+
 CL = "k AS (SELECT rf, count(*)::DOUBLE AS n, sum(t) AS s FROM nl WHERE rf IS NOT NULL GROUP BY rf), g AS (SELECT sum(n) AS n, ((SELECT sum(t*t) FROM nl WHERE rf IS NOT NULL) - sum(s * s / n)) / sum(n) AS v FROM k), best AS (SELECT t, arg_max(rf, z) AS y FROM (SELECT DISTINCT nl.t, k.rf, nl.t * (s / k.n) / v - 0.5 * (s / k.n) * (s / k.n) / v + ln(k.n / g.n) AS z FROM nl, k, g) GROUP BY t)"
 
 
@@ -559,6 +742,18 @@ def mice_classifier(t):
     return im.mice(t.nl.select(*KEYS, "rf", "t"), ["t"], ["rf"], [], ["rf"], "delta").select(*KEYS, "rf")
 
 
+@query(f"WITH {NL}, {CL} SELECT {K}, coalesce(rf, y) AS rf FROM nl JOIN best ON nl.t = best.t")
+def mice_classifier_5it(t):
+    """Five rounds at shrinkage 0.4 (which leaves a single feature's variance as it is)."""
+    return im.mice(t.nl.select(*KEYS, "rf", "t"), ["t"], ["rf"], [], ["rf"], "delta", iterations=5, shrinkage=0.4).select(*KEYS, "rf")
+
+
+@query()
+def mice_cols_4(t):
+    """Column scalability: one, two (``mice_two_null_*``), four missing columns."""
+    return im.mice(t.nl, ["q", "p", "d", "t"], ["rf", "ls"], ["q", "p", "d"], ["rf"], "delta", iterations=2).select(*KEYS, "q", "p", "d", "rf")
+
+
 @query()
 def mice_allnull_bucket(t):
     """Four null columns of both kinds, rows with all missing imputed last; the strategies are compared in the tests."""
@@ -618,19 +813,38 @@ def mcar_mask(t):
     return t.part.select("p_partkey", ft.mcar("p_size", _keys("a"), 0.3).alias("v"))
 
 
-RANGE = "(({c} - (SELECT min({c}) FROM part)) / ((SELECT max({c}) - min({c}) FROM part)::DOUBLE))"
+RANK = "((rank() OVER (ORDER BY {c}) + count(*) OVER (PARTITION BY {c}) * 1.0 - 1 - (count(*) OVER (PARTITION BY {c}) - 1) / 2.0) / (count(*) OVER () + 1))"
 
 
-@query(f"SELECT p_partkey, CASE WHEN {U.format(s='b')} >= 0.4 * {RANGE.format(c='p_retailprice')} THEN p_size END AS v FROM part")
+@query(f"SELECT p_partkey, CASE WHEN {U.format(s='b')} >= 0.4 * {RANK.format(c='p_retailprice')} THEN p_size END AS v FROM part")
 def mar_mask(t):
     return ft.mask_by_rank(t.part, "p_size", "p_retailprice", _keys("b"), 0.2).select("p_partkey", F.col("p_size").alias("v"))
 
 
-@query(f"SELECT p_partkey, CASE WHEN {U.format(s='c')} >= 0.4 * {RANGE.format(c='p_size')} THEN p_size END AS v FROM part")
+@query(f"SELECT p_partkey, CASE WHEN {U.format(s='c')} >= 0.4 * {RANK.format(c='p_size')} THEN p_size END AS v FROM part")
 def mnar_mask(t):
     return ft.mask_by_rank(t.part, "p_size", "p_size", _keys("c"), 0.2).select("p_partkey", F.col("p_size").alias("v"))
 
 
+@query("SELECT o_orderkey, ((o_orderkey * 37) % 2400 // 100)::BIGINT AS dep_hour, ((o_orderkey * 37) % 2400 % 100)::BIGINT AS dep_min, CASE WHEN (o_orderkey * 91) % 2400 < (o_orderkey * 37) % 2400 THEN 1 ELSE 0 END AS overnight FROM orders")
+def hour_minute_overnight(t):
+    rows = ft.hour_minute(t.orders.selectExpr("o_orderkey", "(o_orderkey * 37) % 2400 AS dep", "(o_orderkey * 91) % 2400 AS arr"), "dep")
+    return rows.select("o_orderkey", F.col("dep_hour").cast("long").alias("dep_hour"), F.col("dep_min").cast("long").alias("dep_min"), ft.overnight(F.col("dep"), F.col("arr")).alias("overnight"))
+
+
+@query(f"WITH {LI}, w AS (SELECT regr_intercept(p, q) AS a, regr_slope(p, q) AS b FROM li) SELECT round(1 - sum((p - a - b * q) * (p - a - b * q)) / (var_pop(p) * count(p)), 6) AS r2 FROM li, w")
+def downstream_r2(t):
+    """R2 of a regressor trained on the table's statistics."""
+    guess = ml.ridge(co.cofactor(t.li, ["q", "p"]), "p").predict()
+    return t.li.select("p", guess.alias("y")).agg(F.round(ft.r_squared(F.col("p"), F.col("y")), 6).alias("r2"))
+
+
+@query("SELECT round(avg(p_size) - 1.961 * stddev_samp(p_size) / sqrt(count(p_size)), 6) AS low, round(avg(p_size) + 1.961 * stddev_samp(p_size) / sqrt(count(p_size)), 6) AS high FROM part")
+def mean_interval(t):
+    low, high = ft.mean_interval(F.col("p_size"), 1.961)
+    return t.part.agg(F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
 @query(f"WITH {NL} SELECT round(sqrt(avg((li.q - m) * (li.q - m))), 6) AS rmse FROM li JOIN (SELECT avg(q) AS m FROM nl) ON true WHERE {NULLS['q']}")
 def rmse_masked(t):
     mean = im.fill_values(t.nl, ["q"], [])["q"]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.cofactor import sum_expressions
+from ..operators.lineage import shared_path
 
 
 def running_sums(stream: DataFrame, by: list[str], cont: list[str]) -> DataFrame:
@@ -14,6 +15,8 @@ def running_sums(stream: DataFrame, by: list[str], cont: list[str]) -> DataFrame
 
 
 def into_memory(sums: DataFrame, name: str, checkpoint: str | None = None) -> StreamingQuery:
-    """Run over all that is available now, into an in-memory table (for reports of bounded size)."""
+    """Run over all that is available now, into an in-memory table (for reports of bounded size). Offsets and state are kept in the cluster's
+    shared folder, or under ``checkpoint``."""
+    checkpoint = checkpoint or shared_path(sums.sparkSession, "stream")
     writer = sums.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True)
-    return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+    return writer.option("checkpointLocation", checkpoint).start()

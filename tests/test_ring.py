@@ -1,5 +1,7 @@
 """Ring values, models and imputation against goldens, laws and dense NumPy."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -141,3 +143,110 @@ def test_sources(spark, tmp_path):
     df = spark.createDataFrame([(1, None), (None, None), (3, 4)], "a int, b int")
     tables.write_partitioned(df, str(tmp_path / "p"), im.null_bucket(["a", "b"]))
     assert sorted(r["null_bucket"] for r in spark.read.parquet(str(tmp_path / "p")).collect()) == ["0", "all", "one:b"]
+
+
+def _with_nulls(n=300, seed=4):
+    """Rows of three features and a category with nulls in all patterns, all-null rows included."""
+    rng = np.random.default_rng(seed)
+    t = rng.integers(0, 9, n).astype(float)
+    a, c = 2 * t + rng.normal(size=n), np.where(t + rng.normal(size=n) > 4, "x", "y")
+    b = a - t + rng.normal(size=n)
+    gone = rng.random((n, 3)) < 0.25
+    gone[:5] = True
+    blank = lambda v, g: [None if x else (y.item() if hasattr(y, "item") else str(y)) for x, y in zip(g, v, strict=True)]
+    return list(zip(range(n), blank(a, gone[:, 0]), blank(b, gone[:, 1]), t.tolist(), blank(c, gone[:, 2]), strict=True))
+
+
+def _numpy_mice(rows, rounds):
+    """Chained equations with dense matrices: c by linear discriminants, then a and b by least squares; all-null rows last."""
+    get = lambda i: [r[i] for r in rows]
+    t, miss = np.array(get(3)), np.array([[r[1] is None, r[2] is None, r[4] is None] for r in rows])
+    a, b = (np.array([np.nan if x is None else x for x in get(i)]) for i in (1, 2))
+    a, b = (np.where(np.isnan(v), np.nanmean(v), v) for v in (a, b))
+    names = sorted({x for x in get(4) if x})
+    top = max(names, key=lambda k: (get(4).count(k), -names.index(k)))
+    c = np.array([names.index(x or top) for x in get(4)])
+    every, hot = miss.all(1), lambda c: np.eye(len(names))[c]
+    for _ in range(rounds):
+        x, use = np.column_stack([a, b, t]), ~miss[:, 2] & ~every
+        mean = np.array([x[use & (c == k)].mean(0) for k in range(len(names))])
+        share = np.array([(use & (c == k)).sum() for k in range(len(names))]) / use.sum()
+        inverse = np.linalg.pinv((x[use] - mean[c[use]]).T @ (x[use] - mean[c[use]]) / use.sum())
+        label = lambda x, m=mean, s=share, v=inverse: np.argmax(x @ v @ m.T - (m @ v * m).sum(1) / 2 + np.log(s), 1)
+        c = np.where(miss[:, 2] & ~every, label(x), c)
+        planes = []
+        for i, (y, other) in enumerate((("a", "b"), ("b", "a"))):
+            now = {"a": a, "b": b}
+            z = np.column_stack([now[other], t, hot(c)])
+            use = ~miss[:, i] & ~every
+            w = np.linalg.lstsq(z[use], now[y][use], rcond=None)[0]
+            new = np.where(miss[:, i] & ~every, z @ w, now[y])
+            a, b = (new, b) if y == "a" else (a, new)
+            planes.append(w)
+        c = np.where(every, label(np.column_stack([a, b, t])), c)
+        a = np.where(every, np.column_stack([b, t, hot(c)]) @ planes[0], a)
+        b = np.where(every, np.column_stack([a, t, hot(c)]) @ planes[1], b)
+    return a, b, [names[k] for k in c]
+
+
+@pytest.mark.parametrize("strategy", ["baseline", "delta", "reverse"])
+def test_mice_against_numpy(spark, strategy):
+    rows = _with_nulls()
+    df = spark.createDataFrame(rows, "id long, a double, b double, t double, c string").repartition(3)
+    a, b, c = _numpy_mice(rows, 2)
+    got = sorted(map(tuple, im.mice(df, ["a", "b", "t"], ["c"], ["a", "b"], ["c"], strategy, iterations=2).select("id", "a", "b", "c").collect()))
+    assert np.allclose([r[1] for r in got], a, atol=1e-6) and np.allclose([r[2] for r in got], b, atol=1e-6) and [r[3] for r in got] == c
+
+
+def test_factorized_strategy_equals_the_joined_table(spark):
+    rng = np.random.default_rng(2)
+    rows = [(r[0], r[1], r[2], r[4], int(rng.integers(0, 12)), int(rng.integers(0, 3))) for r in _with_nulls(200)]
+    fact = spark.createDataFrame(rows, "id long, a double, b double, c string, k int, h int")
+    dim = spark.createDataFrame([(k, h, float((k * 7 + h * 3) % 11), f"g{(k + h) % 3}", k % 4) for k in range(12) for h in range(3)], "k int, h int, x double, g string, up int")
+    top = spark.createDataFrame([(u, float(u * u), f"w{u % 2}") for u in range(4)], "up int, y double, w string")
+    steps = [fz.Step(dim, ["k", "h"], ["x"], ["g"], ["up"], True), fz.Step(top, ["up"], ["y"], ["w"])]
+    wide = fact.join(dim, ["k", "h"]).join(top, "up")
+    columns = (["a", "b", "x", "y"], ["c", "g", "w"], ["a", "b"], ["c"])
+    one = sorted(map(tuple, im.mice(fact, *columns, "factorized", iterations=2, steps=steps).select("id", "c", "a", "b").collect()))
+    two = sorted(map(tuple, im.mice(wide, *columns, "baseline", iterations=2).select("id", "c", "a", "b").collect()))
+    assert [r[:2] for r in one] == [r[:2] for r in two] and np.allclose([r[2:] for r in one], [r[2:] for r in two], atol=1e-6)
+    joined, below = co.cofactor(wide, *columns[:2]), fz.factorized_cofactor(fz.JoinTree(fact, ["a", "b"], ["c"], ["k", "h"], steps))
+    assert joined.n == below.n and joined.lin_cat == below.lin_cat and joined.cat_cat == below.cat_cat
+
+
+def test_unknown_strategies_are_refused(spark):
+    df = spark.createDataFrame([(1.0, 2.0)], "a double, t double")
+    for strategy in ("nonsense", "factorized"):
+        with pytest.raises(ValueError):
+            im.mice(df, ["a", "t"], [], ["a"], [], strategy)
+
+
+def test_old_parts_are_removed(spark, tmp_path):
+    from sumring.operators.lineage import Parts
+
+    parts = Parts(spark.createDataFrame([(i, "pq"[i % 2]) for i in range(10)], "x int, part string"), "part")
+    old = parts.folder["p"]
+    parts.rewrite("p", lambda r: r.withColumn("x", r["x"] + 100))
+    assert not Path(old.removeprefix("file:")).exists() and sorted(r["x"] for r in parts.read("p", "q").collect()) == [1, 3, 5, 7, 9, 100, 102, 104, 106, 108]
+    parts.drop("q")
+    assert parts.names == ["p", "q"] and parts.read("q").count() == 0
+
+
+def test_sum_of_stored_values_equals_the_fused_sum(spark):
+    rows = [(g, float(i % 5), float(i % 3), f"c{i % 4}", f"d{i % 2}") for i, g in enumerate([None, "u", "v"] * 10)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, c string, d string")
+    v = df.select("g", ring.lift([df["x"], df["y"]], [df["c"], df["d"]]).alias("v"))
+    for r in ring.sum_values(v, "v", ["g"]).collect():
+        w = co.cofactor(df.where(df["g"].eqNullSafe(r["g"])), ["x", "y"], ["c", "d"])
+        assert r["v"]["n"] == w.n and r["v"]["lin"] == w.lin.tolist() and r["v"]["quad"] == [w.quad[0, 0], w.quad[0, 1], w.quad[1, 1]]
+        assert r["v"]["lin_cat"] == [w.lin_cat["c"], w.lin_cat["d"]] and r["v"]["num_cat"][3] == w.num_cat["y", "d"]
+        assert r["v"]["cat_cat"] == [{f"{a}|{b}": x for (a, b), x in w.cat_cat["c", "d"].items()}]
+    assert ring.sum_values(v.where("false"), "v").first()["v"]["n"] == 0
+
+
+def test_naive_bayes_with_many_columns_does_not_underflow(spark):
+    rows = [(k, *[k * 0.5 + ((i * 31 + j * 17) % 10) / 10 for j in range(60)]) for i in range(60) for k in (0, 1)]
+    names = [f"x{j}" for j in range(60)]
+    df = spark.createDataFrame(rows, "k int, " + ", ".join(f"{n} double" for n in names))
+    far = df.select("k", *((df[n] + 40).alias(n) for n in names))  # every product of densities is 0
+    assert [r[0] for r in far.select(ml.naive_bayes(co.cofactor_by(df, "k", names)).predict()).distinct().collect()] == [1]
