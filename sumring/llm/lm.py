@@ -35,7 +35,7 @@ from .wordhash import mix, word_hashes
 ORDERS = (1, 2, 3, 4, 6)
 M = ORDERS[-1]
 #: Bytes of text in a chunk, and for which there is a part; a small corpus is cut into about ``CHUNKS`` chunks and ``PARTS`` parts.
-CHUNK, PART, CHUNKS, PARTS = 16 << 20, 32 << 20, 16, 12
+CHUNK, PART, CHUNKS, PARTS = 8 << 20, 32 << 20, 16, 12
 #: Bytes that are worked on at once, grams whose predictions are.
 WINDOW, SLICE = 1 << 20, 1 << 15
 #: Count added to both bits; AdaGrad rate, start weight, grams of a step, passes within a part, rounds of averaging over parts.
