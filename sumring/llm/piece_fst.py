@@ -128,9 +128,13 @@ class Machine:
         self.unk = sp.unk_id()
         with open(model, "rb") as f:
             self.bpe = wire(wire(f.read()).get(2, [b""])[-1]).get(3, [1])[-1] == 2
-        self.longest = max(map(len, self.id), default=1)
-        # The piece trie: -1 for an inner state, the id for a final one.
-        self.trie = dict.fromkeys((p[:k] for p in self.id for k in range(1, len(p) + 1)), -1) | self.id
+        # The piece trie: a state is its id (-1 if it is not final) and its arcs by character.
+        self.root: dict = {}
+        for p, i in self.id.items():
+            arcs = self.root
+            for c in p[:-1]:
+                arcs = arcs.setdefault(c, [-1, {}])[1]
+            arcs.setdefault(p[-1], [-1, {}])[0] = i
         joined = {c for p in self.id if len(p) > 1 for c in p}
         self.joined = joined
         self.valid: dict[int, bool] = {}
@@ -175,7 +179,7 @@ class Machine:
     def compose(self, segment: str) -> list[int]:
         """Best path of a segment in the tropical semiring. For BPE a position is reached with one last piece at most (the machine is
         unambiguous), so states are positions that remember it; for unigrams positions alone are states."""
-        n, trie, valid, bpe = len(segment), self.trie.get, self.valid.get, self.bpe
+        n, root, valid, bpe = len(segment), self.root, self.valid.get, self.bpe
         cost, last, back = [float("inf")] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
         cost[0] = 0.0
         fallback: dict[int, list[int]] = {}
@@ -184,26 +188,25 @@ class Machine:
             so_far = cost[i]
             if so_far == float("inf"):
                 continue
-            s, single = last[i], False
-            for j in range(i + 1, n + 1):
-                t = trie(segment[i:j])
-                if t is None:
+            s, arcs, j = last[i], root, i
+            row, weight = s * pieces, so_far + 1.0
+            while j < n:
+                state = arcs.get(segment[j])
+                if state is None:
                     break
+                t, arcs = state
+                j += 1
                 if t < 0:
                     continue
-                if j == i + 1:
-                    single = True
-                if bpe:
-                    if s >= 0:
-                        ok = valid(s * pieces + t)
-                        if not (self.arc(s, t) if ok is None else ok):
-                            continue
-                    weight = so_far + 1.0
-                else:
+                if not bpe:
                     weight = so_far - self.score[t]
                 if weight < cost[j]:
+                    if bpe and s >= 0:
+                        ok = valid(row + t)
+                        if not (self.arc(s, t) if ok is None else ok):
+                            continue
                     cost[j], last[j], back[j] = weight, t, i
-            if not single and so_far + 1e3 < cost[i + 1]:  # byte fallback: no piece is this character, nothing merges across it
+            if so_far + 1e3 < cost[i + 1] and (segment[i] not in root or root[segment[i]][0] < 0):  # byte fallback: no piece is this character, nothing merges across it
                 raw = segment[i].encode("utf-8", "surrogatepass")
                 fallback[i + 1] = [self.byte.get(b, self.unk) for b in raw] if self.byte else [self.unk]
                 cost[i + 1], last[i + 1], back[i + 1] = so_far + 1e3, -1, i
