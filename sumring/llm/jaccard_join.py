@@ -4,11 +4,12 @@ Shingles are hashed into groups. Two uses of the same idea:
 
 1. Routing. Sets A, B with Jaccard >= t differ in at most d = (|A| + |B|) (1 - t) / (1 + t) shingles, so of d + 1 groups at least one
    holds the very same shingles in both. Each document sends one key per group (a hash of the group's content, by size class);
-   linked documents share a key. Keys say "same tenth of the document", so a frequent line or passage alone makes no candidates.
-   Documents that share keys form candidate clusters, found as components of (document, least document of the key).
-2. Count-vector R-tree. Within a cluster each set is a point, its counts by ``GROUPS`` groups. The overlap of two sets is at most the
-   sum of the coordinate-wise minima of their points; of a point and a tree node, of the point and the node's upper corner. Nodes and
-   points that cannot reach the overlap needed are pruned, the rest is verified on the sets. Pairs already in one class are skipped.
+   linked documents share a key. All documents of a key are in the star of the key's least document.
+2. Count-vector R-tree. Each set is a point, its counts by ``GROUPS`` groups. The overlap of two sets is at most the sum of the
+   coordinate-wise minima of their points; of a point and a tree node, of the point and the node's upper corner. Within a star the tree
+   finds which documents may link at all; components of these pairs are the candidate clusters, so that a passage which many documents
+   share brings none together. Within a cluster the tree prunes again, and the rest is verified on the sets. Pairs already in one class
+   are skipped.
 
 Clusters of over ``BLOCK`` shingles are cut into blocks: one block of leaders meets all blocks; then only documents outside the cluster's
 largest class, in blocks of their own, meet all blocks. Every pair is thereby tested or known to be connected; no task holds more
@@ -89,12 +90,12 @@ def _keyed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     s = shingle_set(hashes[at : at + c], k)
                     at += c
                     m = mix(s + np.uint64(3))
-                    rows.append((doc_id, len(s), int(m.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(m).view(np.int64)) if len(s) else 0, keys_of(s, num, den).view(np.int64) if len(s) else None))
+                    rows.append((doc_id, len(s), count_vector(s).astype("<u4").tobytes(), int(m.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(m).view(np.int64)) if len(s) else 0, keys_of(s, num, den).view(np.int64) if len(s) else None))
                 yield pd.DataFrame(rows, columns=cols)
 
-    cols = ["doc_id", "n", "d1", "d2", "keys"]
+    cols = ["doc_id", "n", "point", "d1", "d2", "keys"]
     ids = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # exact in pandas, nulls included
-    return ids.mapInPandas(run, "doc_id string, n long, d1 long, d2 long, keys array<long>").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return ids.mapInPandas(run, "doc_id string, n long, point binary, d1 long, d2 long, keys array<long>").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 class Tree:
@@ -168,6 +169,58 @@ def join_block(ids: np.ndarray, items: list[np.ndarray], left: np.ndarray, right
     return least[roots]
 
 
+def star_classes(points: np.ndarray, sizes: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
+    """Classes (least index) of sets that may link, by the bound on their points: all that may link with the first one, then what the tree
+    finds for each of the others."""
+    bound = np.minimum(points, points[0]).sum(1)
+    may = (bound * (den + num) >= num * (sizes + sizes[0])) & (sizes * den >= sizes[0] * num) & (sizes[0] * den >= sizes * num)
+    label = np.where(may, 0, np.arange(len(sizes)))
+    rest = np.flatnonzero(~may)
+    tree = Tree(points, sizes) if len(rest) and len(sizes) > 2 else None
+    for i in rest if tree else ():
+        met = np.unique(label[np.append(tree.search(points[i], sizes[i], num, den), i)])
+        if len(met) > 1:
+            label[np.isin(label, met)] = met[0]
+    return label
+
+
+def _candidates(near: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (a, b) between documents of one star of ``near`` (doc_id a, least doc_id b of a key) that may link by their points. A star holds all
+    documents of its keys, so nothing that links is lost; that a passage is in both is not enough to come together."""
+    star = near.select(F.col("b").alias("least"), F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("least"), F.col("b").alias("doc_id")).distinct())
+    rows = star.join(known.select("doc_id", "n", "point"), "doc_id").select("least", "doc_id", "n", "point").repartition("least").sortWithinPartitions("least", "doc_id")
+
+    def run(it):
+        held: list[pd.DataFrame] = []
+
+        def classed(parts: list[pd.DataFrame]):
+            pdf = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+            star, ids = pdf["least"].to_numpy(), pdf["doc_id"].to_numpy()
+            points = np.frombuffer(b"".join(pdf["point"]), "<u4").reshape(-1, GROUPS).astype(np.int64)
+            sizes, at = pdf["n"].to_numpy(), np.flatnonzero(np.r_[True, star[1:] != star[:-1], True])
+            first = np.empty(len(ids), np.int64)
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                first[a:b] = ids[a + star_classes(points[a:b], sizes[a:b], num, den)]
+            keep = first != ids
+            return pd.DataFrame({"a": ids[keep], "b": first[keep]})
+
+        for pdf in it:  # a star is held until the next begins
+            star = pdf["least"].to_numpy()
+            last = int(np.flatnonzero(star == star[-1])[0]) if len(pdf) else 0
+            if held and (last > 0 or (len(pdf) and star[0] != held[-1]["least"].iloc[-1])):
+                whole = [*held, pdf.iloc[:last]] if last else held
+                held = []
+                yield classed(whole)
+            elif last:
+                yield classed([pdf.iloc[:last]])
+            if len(pdf):
+                held.append(pdf.iloc[last:])
+        if held:
+            yield classed(held)
+
+    return rows.mapInPandas(run, "a long, b long")
+
+
 def _with_text(docs: DataFrame, members: DataFrame) -> DataFrame:
     """``members`` (doc_id, cluster, ...) with their texts, which compress better than their sets; a repeated doc_id comes once per row of
     ``docs``."""
@@ -220,8 +273,8 @@ def classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -
     keys = real.join(F.broadcast(copies) if few else copies, "doc_id", "left_anti").select("doc_id", F.explode("keys").alias("key"))
     keys = keys.repartition("key")  # one shuffle serves the count and the join
     least = keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "least")
-    near = keys.join(least, "key").where("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
-    cluster = materialize(connected_components(near, "jcand").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "jclu")
+    near = materialize(keys.join(least, "key").where("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct(), "jnear")
+    cluster = materialize(connected_components(_candidates(near, known, num, den), "jcand").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "jclu")
     known = materialize(known.select("doc_id", "n"), "jsize")
     discard(keyed)
     weight = known.groupBy("doc_id").agg(F.max("n").alias("n")).join(cluster, "doc_id")
