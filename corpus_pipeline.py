@@ -55,7 +55,7 @@ STAGES = [
     ("SentencePiece encoding", encoding_stage),
 ]
 
-#: SQL cannot express the classifier, the join at this scale, or the tokenizer; tests compare with a brute-force version.
+#: SQL cannot express the classifier, the join at this scale, or the tokenizer; tests compare with a plain Python version.
 ORACLE_SQL = None
 
 
