@@ -4,11 +4,12 @@ Shingles are hashed into groups. Two uses of the same idea:
 
 1. Routing. Sets A, B with Jaccard >= t differ in at most d = (|A| + |B|) (1 - t) / (1 + t) shingles, so of d + 1 groups at least one
    holds the very same shingles in both. Each document sends one key per group (a hash of the group's content, by size class);
-   linked documents share a key. Keys say "same tenth of the document", so a frequent line or passage alone makes no candidates.
-   Documents that share keys form candidate clusters, found as components of (document, least document of the key).
-2. Count-vector R-tree. Within a cluster each set is a point, its counts by ``GROUPS`` groups. The overlap of two sets is at most the
-   sum of the coordinate-wise minima of their points; of a point and a tree node, of the point and the node's upper corner. Nodes and
-   points that cannot reach the overlap needed are pruned, the rest is verified on the sets. Pairs already in one class are skipped.
+   linked documents share a key. All documents of a key are in the star of the key's least document.
+2. Count-vector R-tree. Each set is a point, its counts by groups. The overlap of two sets is at most the sum of the coordinate-wise
+   minima of their points; of a point and a tree node, of the point and the node's upper corner. Within a star (points of ``POINT``
+   groups) the tree finds which documents may link; components of these pairs are the candidate clusters, so that documents which only
+   share a passage are not chained together. A star of over ``STAR`` documents is one candidate as a whole. Within a cluster (points of
+   ``GROUPS`` groups) the tree prunes again, and the rest is verified on the sets. Pairs already in one class are skipped.
 
 Clusters of over ``BLOCK`` shingles are cut into blocks: one block of leaders meets all blocks; then only documents outside the cluster's
 largest class, in blocks of their own, meet all blocks. Every pair is thereby tested or known to be connected; no task holds more
@@ -30,6 +31,8 @@ NUM, DEN = 90, 100
 SHINGLE = 3
 #: Coordinates of the points, tree fan-out, shingles (8 bytes each) of a block.
 GROUPS, FANOUT, BLOCK = 64, 16, 1 << 20
+#: Coordinates of the points in stars, documents of a star up to which its tree is searched, pairs bounded at a time.
+POINT, STAR, _PAIRS = 256, 2048, 1 << 12
 #: Size classes grow by this factor; one spare group for so many.
 CLASS, SPARE = 1.25, 3
 #: Ids (8 bytes each) of candidates, of copies and of dropped documents up to which they are broadcast; beyond it joins shuffle.
@@ -75,8 +78,8 @@ def keys_of(shingles: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _keyed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, a digest of the set (d1, d2), and its keys."""
+def _per_text(docs: DataFrame, row, fields: str) -> DataFrame:
+    """doc_id and ``fields``, which ``row`` makes of the hashes of each text's words."""
 
     def run(it):
         worker_tables()
@@ -84,17 +87,33 @@ def _keyed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             ids, texts = pdf["doc_id"].to_numpy(), [(t or "").encode("utf-8", "surrogatepass") for t in pdf["text"]]
             for a, b in blocks(texts, _BATCH):
                 hashes, counts = word_hashes(texts[a:b])
-                rows, at = [], 0
-                for doc_id, c in zip(ids[a:b], counts, strict=True):
-                    s = shingle_set(hashes[at : at + c], k)
-                    at += c
-                    m = mix(s + np.uint64(3))
-                    rows.append((doc_id, len(s), int(m.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(m).view(np.int64)) if len(s) else 0, keys_of(s, num, den).view(np.int64) if len(s) else None))
-                yield pd.DataFrame(rows, columns=cols)
-
-    cols = ["doc_id", "n", "d1", "d2", "keys"]
+                split = np.split(hashes, np.cumsum(counts)[:-1])
+                yield pd.DataFrame([(i, *row(h)) for i, h in zip(ids[a:b], split, strict=True)], columns=cols)
+
+    cols = ["doc_id", *(f.split()[0] for f in fields.split(", "))]
     ids = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # exact in pandas, nulls included
-    return ids.mapInPandas(run, "doc_id string, n long, d1 long, d2 long, keys array<long>").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return ids.mapInPandas(run, f"doc_id string, {fields}").withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def _points(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, size n and point of the set, and a digest of it (d1, d2)."""
+
+    def row(words: np.ndarray):
+        s = shingle_set(words, k)
+        m = mix(s + np.uint64(3))
+        return len(s), count_vector(s, POINT).astype("<u4").tobytes(), int(m.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(m).view(np.int64)) if len(s) else 0
+
+    return _per_text(docs, row, "n long, point binary, d1 long, d2 long")
+
+
+def _keys(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, key: one row for each routing key. They are made anew from the texts, as they would take more room than these."""
+
+    def row(words: np.ndarray):
+        s = shingle_set(words, k)
+        return (keys_of(s, num, den).view(np.int64) if len(s) else None,)
+
+    return _per_text(docs, row, "keys array<long>").select("doc_id", F.explode("keys").alias("key"))
 
 
 class Tree:
@@ -117,27 +136,35 @@ class Tree:
 
     def search(self, point: np.ndarray, size: int, num: int = NUM, den: int = DEN) -> np.ndarray:
         """Indices whose overlap with ``point`` may reach num / den of the union."""
-        nodes = np.arange(len(self.levels[-1][0]))
+        return self.pairs(point[None], np.array([size]), num, den)[1]
+
+    def pairs(self, points: np.ndarray, sizes: np.ndarray, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray]:
+        """(i, j): the overlap of ``points[i]`` with the tree's point j may reach num / den of the union."""
+        top = len(self.levels[-1][0])
+        query, nodes = np.repeat(np.arange(len(points)), top), np.tile(np.arange(top), len(points))
         for depth in range(len(self.levels) - 1, -2, -1):
             if depth >= 0:
-                top, low, high = self.levels[depth]
-                top, low, high = top[nodes], low[nodes], high[nodes]
+                corner, low, high = self.levels[depth]
+                at = nodes
             else:
-                i = self.order[nodes]
-                top, low, high = self.points[i], self.sizes[i], self.sizes[i]
-            bound = np.minimum(top, point).sum(1)
+                corner, low, high = self.points, self.sizes, self.sizes
+                at = self.order[nodes]
+            size = sizes[query]
+            ok = (low[at] * num <= size * den) & (high[at] * den >= size * num)
+            query, nodes, at, size = query[ok], nodes[ok], at[ok], size[ok]
+            bound = [np.minimum(corner[at[a : a + _PAIRS]], points[query[a : a + _PAIRS]]).sum(1) for a in range(0, len(at), _PAIRS)]
             # overlap >= num / den * (size + other - overlap), for the least other size of the node
-            ok = (bound * (den + num) >= num * (size + low)) & (low * num <= size * den) & (high * den >= size * num)
-            nodes = nodes[ok]
+            ok = np.concatenate([*bound, np.zeros(0, np.int64)]) * (den + num) >= num * (size + low[at])
+            query, nodes = query[ok], nodes[ok]
             if depth >= 0:
                 count = len(self.levels[depth - 1][0]) if depth else len(self.order)
-                nodes = (nodes[:, None] * FANOUT + np.arange(FANOUT)).reshape(-1)
-                nodes = nodes[nodes < count]
-        return self.order[nodes]
+                query, nodes = np.repeat(query, FANOUT), (nodes[:, None] * FANOUT + np.arange(FANOUT)).reshape(-1)
+                query, nodes = query[nodes < count], nodes[nodes < count]
+        return query, self.order[nodes]
 
 
-def count_vector(items: np.ndarray) -> np.ndarray:
-    return np.bincount((items.view(np.uint64) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
+def count_vector(items: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    return np.bincount((items.view(np.uint64) % np.uint64(groups)).astype(np.int64), minlength=groups)
 
 
 def linked(a: np.ndarray, b: np.ndarray, num: int = NUM, den: int = DEN) -> bool:
@@ -168,6 +195,50 @@ def join_block(ids: np.ndarray, items: list[np.ndarray], left: np.ndarray, right
     return least[roots]
 
 
+def star_classes(points: np.ndarray, sizes: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
+    """Classes (least index) of sets that may link, by the bound on their points: all that may link with the first one, then what the tree
+    finds for the others."""
+    bound = np.minimum(points, points[0]).sum(1)
+    may = (bound * (den + num) >= num * (sizes + sizes[0])) & (sizes * den >= sizes[0] * num) & (sizes[0] * den >= sizes * num)
+    may[0] = True
+    label = np.where(may, 0, np.arange(len(sizes)))
+    rest = np.flatnonzero(~may)
+    if len(rest):
+        i, j = Tree(points, sizes).pairs(points[rest], sizes[rest], num, den)
+        i = rest[i]
+        while True:
+            before = label.copy()
+            least = np.minimum(label[i], label[j])
+            np.minimum.at(label, label[i], least)
+            np.minimum.at(label, label[j], least)
+            label = label[label]
+            if (label == before).all():
+                break
+    return label
+
+
+def _candidates(near: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (a, b) between documents of one star of ``near`` (doc_id a, least doc_id b of a key) that may link by their points. A star holds
+    all documents of its keys, so nothing that links is lost. Stars of over ``STAR`` documents keep their edges as they are."""
+    large = near.groupBy("b").count().where(F.col("count") > STAR).select("b")
+    large = F.broadcast(large) if large.count() <= BROADCAST_IDS else large
+    small = near.join(large, "b", "left_anti").select(F.col("b").alias("least"), F.col("a").alias("doc_id"))
+    star = small.unionByName(small.select("least", F.col("least").alias("doc_id")).distinct())
+    points = known.select("doc_id", "n", "point", "d1", "d2").repartition("doc_id").dropDuplicates(["doc_id", "n", "d1", "d2"])
+    parts = near.count() // STAR + 1  # so that a part holds about STAR points, and one star more at most
+    rows = star.join(points, "doc_id").select("least", "doc_id", "n", "point", F.pmod(F.xxhash64("least"), F.lit(parts)).alias("part"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["least", "doc_id"], kind="stable")
+        star, ids, sizes = pdf["least"].to_numpy(), pdf["doc_id"].to_numpy(), pdf["n"].to_numpy()
+        points = np.frombuffer(b"".join(pdf["point"]), "<u4").reshape(-1, POINT).astype(np.int32)
+        at = np.flatnonzero(np.r_[True, star[1:] != star[:-1], True])
+        first = np.concatenate([ids[a + star_classes(points[a:b], sizes[a:b], num, den)] for a, b in zip(at[:-1], at[1:], strict=True)])
+        return pd.DataFrame({"a": ids[first != ids], "b": first[first != ids]})
+
+    return rows.groupBy("part").applyInPandas(run, "a long, b long").unionByName(near.join(large, "b", "left_semi").select("a", "b"))
+
+
 def _with_text(docs: DataFrame, members: DataFrame) -> DataFrame:
     """``members`` (doc_id, cluster, ...) with their texts, which compress better than their sets; a repeated doc_id comes once per row of
     ``docs``."""
@@ -207,7 +278,7 @@ def classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -
     nothing and have a null component. Rows that repeat a doc_id are one node (n_shingles is each row's own).
     """
     small_batches(docs.sparkSession)
-    known = keyed = materialize(_keyed(docs, k, num, den), "jkeys")
+    known = pointed = materialize(_points(docs, k), "jpoints")
     real = known.where("doc_id is not null and n > 0")
     # Equal sets link; one of them stands for all. Rows of a large group are spread by a salt, and a group's least id goes to each salt it has.
     spread = real.select("doc_id", "n", "d1", "d2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
@@ -217,14 +288,15 @@ def classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -
     rep = materialize(spread.join(same, ["n", "d1", "d2", "salt"]).select("doc_id", "rep").distinct(), "jrep")
     copies = rep.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("rep")).alias("own")).where("not own").select("doc_id")
     few = copies.count() <= BROADCAST_IDS
-    keys = real.join(F.broadcast(copies) if few else copies, "doc_id", "left_anti").select("doc_id", F.explode("keys").alias("key"))
-    keys = keys.repartition("key")  # one shuffle serves the count and the join
+    single = docs.select("doc_id", "text").where("doc_id is not null").join(F.broadcast(copies) if few else copies, "doc_id", "left_anti")
+    keys = _keys(single, k, num, den).repartition("key")  # one shuffle serves the count and the join
     least = keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "least")
-    near = keys.join(least, "key").where("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
-    cluster = materialize(connected_components(near, "jcand").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "jclu")
+    near = materialize(keys.join(least, "key").where("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct(), "jnear")
+    cluster = materialize(connected_components(_candidates(near, real, num, den), "jcand").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "jclu")
     known = materialize(known.select("doc_id", "n"), "jsize")
-    discard(keyed)
-    weight = known.groupBy("doc_id").agg(F.max("n").alias("n")).join(cluster, "doc_id")
+    discard(pointed)
+    discard(near)
+    weight = known.groupBy("doc_id").agg(F.greatest(F.max("n"), F.lit(GROUPS)).alias("n")).join(cluster, "doc_id")
     size = weight.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     member = weight.join(size, "cluster").withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     member = materialize(member, "jmem")

@@ -366,9 +366,10 @@ def test_fingerprint_ranges_beyond_one_level(spark, monkeypatch):
     assert sorted(map(tuple, minhash.fingerprints(df).collect()), key=str) == want
 
 
-@pytest.mark.parametrize("block", [jaccard_join.BLOCK, 500])
-def test_jaccard_join(spark, docs, block, monkeypatch):
+@pytest.mark.parametrize("block, star", [(jaccard_join.BLOCK, jaccard_join.STAR), (500, jaccard_join.STAR), (500, 1)])
+def test_jaccard_join(spark, docs, block, star, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "STAR", star)
     out = jaccard_join.classes(docs).collect()
     rows = [(r["doc_id"], sets(r["text"], 3)) for r in docs.collect()]
     parent = {i: i for i, _ in rows if i is not None}
@@ -648,3 +649,18 @@ def test_pipeline(spark, tmp_path):
     got = sorted((r["doc_id"], tuple(r["piece_ids"])) for r in out)
     want = plain_pipeline([r[:4] for r in rows], model)
     assert got == want and 20 < len(got) and all(r["round_trip"] for r in out)
+
+
+def test_star_classes_keep_linked_sets_together():
+    rng = np.random.default_rng(4)
+    passage = rng.integers(0, 1 << 62, 60, dtype=np.uint64)
+    sets_ = []
+    for _ in range(40):
+        own = np.unique(np.concatenate([passage, rng.integers(0, 1 << 62, int(rng.integers(40, 600)), dtype=np.uint64)]))
+        for _ in range(int(rng.integers(1, 4))):
+            sets_.append(np.unique(np.where(rng.random(len(own)) < 0.06, rng.integers(0, 1 << 62, len(own), dtype=np.uint64), own)))
+    points, sizes = np.array([jaccard_join.count_vector(x, jaccard_join.POINT) for x in sets_]), np.array([len(x) for x in sets_])
+    label = jaccard_join.star_classes(points, sizes, 80, 100)
+    pairs = [(i, j) for i in range(len(sets_)) for j in range(i) if jaccard_join.linked(sets_[i], sets_[j], 80, 100)]
+    assert pairs and all(label[i] == label[j] for i, j in pairs)
+    assert len(set(label.tolist())) > 20  # the shared passage joins no classes
