@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, discard, materialize, small_batches, worker_tables
@@ -289,9 +289,9 @@ def classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -
     copies = rep.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("rep")).alias("own")).where("not own").select("doc_id")
     few = copies.count() <= BROADCAST_IDS
     single = docs.select("doc_id", "text").where("doc_id is not null").join(F.broadcast(copies) if few else copies, "doc_id", "left_anti")
-    keys = _keys(single, k, num, den).repartition("key")  # one shuffle serves the count and the join
-    least = keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "least")
-    near = materialize(keys.join(least, "key").where("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct(), "jnear")
+    # A window, as the keys are then made and shuffled once; it streams a key's rows and spills.
+    keys = _keys(single, k, num, den).withColumn("least", F.min("doc_id").over(Window.partitionBy("key")))
+    near = materialize(keys.where("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct(), "jnear")
     cluster = materialize(connected_components(_candidates(near, real, num, den), "jcand").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "jclu")
     known = materialize(known.select("doc_id", "n"), "jsize")
     discard(pointed)
