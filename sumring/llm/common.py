@@ -137,7 +137,10 @@ MOST_HUBS = 500_000
 
 
 def _with_least(edges: DataFrame, of: DataFrame, n_edges: int) -> DataFrame:
-    """``edges`` (a, b) with ``m``, the least of node ``a`` in ``of`` (a, m, k edges). Edges of hubs are not shuffled."""
+    """``edges`` (a, b) with ``m``, the least of node ``a`` in ``of`` (a, m, k edges). Edges of hubs are not shuffled; where all nodes are no
+    more than hubs may be, no edges are."""
+    if 2 * n_edges <= MOST_HUBS:
+        return edges.join(F.broadcast(of.select("a", "m")), "a")
     hub = max(HUB, 2 * n_edges // MOST_HUBS)
     hubs = F.broadcast(of.where(F.col("k") > hub).select("a", "m"))
     few = edges.join(F.broadcast(of.where(F.col("k") > hub).select("a")), "a", "left_anti")
