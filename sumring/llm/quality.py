@@ -27,7 +27,7 @@ from .wordhash import LOWER, word_hashes
 #: Labelled training documents at most, those of least xxhash64(doc_id).
 MAX_LABELS = 20_000
 #: Preference pairs for each document of the rarer class; pairs that are worked on at once.
-PAIRS_EACH, PAIR_BLOCK = 24, 16_384
+PAIRS_EACH, PAIR_BLOCK = 24, 2_048
 #: Ridge penalty per pair, of surface and of hashed features (which are many and each say little); training rounds at most.
 L2, L2_HASHED, ROUNDS = 1e-4, 0.05, 25
 CUT = 0.3
@@ -124,10 +124,11 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> d
     a document labelled twice counts twice."""
     rows = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), 5) != 0)).select("doc_id", F.col("quality").cast("int").alias("quality"))
     picked = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_labels)  # bounded: it may be broadcast
-    got = _featured(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")).select("quality", "x").toPandas()
-    x = np.array(got["x"].tolist(), float).reshape(-1, N_FEATURES)
-    order = np.lexsort([*x.T, got["quality"].to_numpy()]) if len(x) else np.zeros(0, int)
-    return fit(x[order], got["quality"].to_numpy()[order] == 1)
+    got = _featured(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")).select("quality", "x").toArrow()
+    x, good = got["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES), got["quality"].to_numpy() == 1
+    del got
+    order = np.lexsort([*x.T, good]) if len(x) else np.zeros(0, int)
+    return fit(x[order], good[order])
 
 
 def scored(docs: DataFrame, model: dict, out: str = "quality_score") -> DataFrame:
