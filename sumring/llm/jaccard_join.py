@@ -7,7 +7,7 @@ Shingles are hashed into groups. Two uses of the same idea:
    linked documents share a key. All documents of a key are in the star of the key's least document.
 2. Count-vector R-tree. Each set is a point, its counts by groups. The overlap of two sets is at most the sum of the coordinate-wise
    minima of their points; of a point and a tree node, of the point and the node's upper corner. Within a star (points of ``POINT``
-   groups) the tree finds which documents may link; components of these pairs are the candidate clusters, so that documents which only
+   groups, of more for long texts, as full groups tell nothing apart) the tree finds which documents may link; components of these pairs are the candidate clusters, so that documents which only
    share a passage are not chained together. A star of over ``STAR`` documents is one candidate as a whole. Within a cluster (points of
    ``GROUPS`` groups) the tree prunes again, and the rest is verified on the sets. Pairs already in one class are skipped.
 
@@ -31,8 +31,11 @@ NUM, DEN = 90, 100
 SHINGLE = 3
 #: Coordinates of the points, tree fan-out, shingles (8 bytes each) of a block.
 GROUPS, FANOUT, BLOCK = 64, 16, 1 << 20
-#: Coordinates of the points in stars, documents of a star up to which its tree is searched, pairs bounded at a time.
-POINT, STAR, _PAIRS = 256, 2048, 1 << 12
+#: Least and most coordinates of the points in stars, shingles for which a group is added between them; beyond the most, bounds are looser
+#: and nothing is lost.
+POINT, WIDEST, DENSE = 256, 4096, 8
+#: Documents of a star up to which its tree is searched, coordinates bounded at a time.
+STAR, _CELLS = 2048, 1 << 20
 #: Size classes grow by this factor; one spare group for so many.
 CLASS, SPARE = 1.25, 3
 #: Ids (8 bytes each) of candidates, of copies and of dropped documents up to which they are broadcast; beyond it joins shuffle.
@@ -101,7 +104,7 @@ def _points(docs: DataFrame, k: int) -> DataFrame:
     def row(words: np.ndarray):
         s = shingle_set(words, k)
         m = mix(s + np.uint64(3))
-        return len(s), count_vector(s, POINT).astype("<u4").tobytes(), int(m.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(m).view(np.int64)) if len(s) else 0
+        return len(s), count_vector(s, coordinates(len(s))).astype("<u4").tobytes(), int(m.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(m).view(np.int64)) if len(s) else 0
 
     return _per_text(docs, row, "n long, point binary, d1 long, d2 long")
 
@@ -152,7 +155,8 @@ class Tree:
             size = sizes[query]
             ok = (low[at] * num <= size * den) & (high[at] * den >= size * num)
             query, nodes, at, size = query[ok], nodes[ok], at[ok], size[ok]
-            bound = [np.minimum(corner[at[a : a + _PAIRS]], points[query[a : a + _PAIRS]]).sum(1) for a in range(0, len(at), _PAIRS)]
+            step = max(1, _CELLS // points.shape[1])
+            bound = [np.minimum(corner[at[a : a + step]], points[query[a : a + step]]).sum(1) for a in range(0, len(at), step)]
             # overlap >= num / den * (size + other - overlap), for the least other size of the node
             ok = np.concatenate([*bound, np.zeros(0, np.int64)]) * (den + num) >= num * (size + low[at])
             query, nodes = query[ok], nodes[ok]
@@ -167,6 +171,20 @@ def count_vector(items: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     return np.bincount((items.view(np.uint64) % np.uint64(groups)).astype(np.int64), minlength=groups)
 
 
+def coordinates(n: int) -> int:
+    """Coordinates of the point of ``n`` shingles in stars: ``POINT``, doubled up to ``WIDEST`` while groups hold over ``DENSE`` on average."""
+    width = POINT
+    while width < WIDEST and n > DENSE * width:
+        width *= 2
+    return width
+
+
+def folded(points: list[bytes]) -> np.ndarray:
+    """Points of the fewest coordinates among ``points``: of two widths the larger is a multiple, so that its groups add up to the smaller's."""
+    width = min(map(len, points)) // 4
+    return np.array([np.frombuffer(p, "<u4").reshape(-1, width).sum(0) for p in points], np.int32)
+
+
 def linked(a: np.ndarray, b: np.ndarray, num: int = NUM, den: int = DEN) -> bool:
     inter = len(np.intersect1d(a, b, assume_unique=True))
     return den * inter >= num * (len(a) + len(b) - inter) and inter > 0
@@ -231,9 +249,9 @@ def _candidates(near: DataFrame, known: DataFrame, num: int, den: int) -> DataFr
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["least", "doc_id"], kind="stable")
         star, ids, sizes = pdf["least"].to_numpy(), pdf["doc_id"].to_numpy(), pdf["n"].to_numpy()
-        points = np.frombuffer(b"".join(pdf["point"]), "<u4").reshape(-1, POINT).astype(np.int32)
+        points = pdf["point"].tolist()
         at = np.flatnonzero(np.r_[True, star[1:] != star[:-1], True])
-        first = np.concatenate([ids[a + star_classes(points[a:b], sizes[a:b], num, den)] for a, b in zip(at[:-1], at[1:], strict=True)])
+        first = np.concatenate([ids[a + star_classes(folded(points[a:b]), sizes[a:b], num, den)] for a, b in zip(at[:-1], at[1:], strict=True)])
         return pd.DataFrame({"a": ids[first != ids], "b": first[first != ids]})
 
     return rows.groupBy("part").applyInPandas(run, "a long, b long").unionByName(near.join(large, "b", "left_semi").select("a", "b"))

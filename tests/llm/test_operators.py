@@ -664,3 +664,23 @@ def test_star_classes_keep_linked_sets_together():
     pairs = [(i, j) for i in range(len(sets_)) for j in range(i) if jaccard_join.linked(sets_[i], sets_[j], 80, 100)]
     assert pairs and all(label[i] == label[j] for i, j in pairs)
     assert len(set(label.tolist())) > 20  # the shared passage joins no classes
+
+
+def test_points_of_long_texts_fold_and_keep_their_bound():
+    """Around 8 * 256 shingles points of two widths meet; the bound is never below the overlap, and linked sets stay together."""
+    rng = np.random.default_rng(17)
+    assert [jaccard_join.coordinates(n) for n in (0, 2048, 2049, 5000, 10**7)] == [256, 256, 512, 1024, 4096]
+    sets_ = []
+    for n in (1900, 2040, 4500, 40_000):
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        sets_ += [np.unique(base), np.unique(np.r_[base, rng.integers(0, 1 << 63, n // 9, dtype=np.uint64)]), np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))]
+    points = [jaccard_join.count_vector(s, jaccard_join.coordinates(len(s))).astype("<u4").tobytes() for s in sets_]
+    assert len({len(p) for p in points}) > 2
+    for i in range(0, len(sets_), 3):
+        own, near, other = sets_[i : i + 3]
+        both = jaccard_join.folded(points[i : i + 3])
+        assert (both.sum(1) == [len(own), len(near), len(other)]).all()
+        assert np.minimum(both[0], both[1]).sum() >= len(np.intersect1d(own, near))
+        label = jaccard_join.star_classes(both, both.sum(1), 80, 100)
+        assert label[1] == 0
+        assert label[2] == 2
